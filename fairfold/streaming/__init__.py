@@ -1,0 +1,4 @@
+"""Intentionally empty: nothing this library answers is a question over an unbounded stream.
+
+Predictions, folds and profiles are facts about a finished, immutable snapshot.
+"""
