@@ -38,6 +38,7 @@ def contender_scores(folds: DataFrame, contenders: DataFrame, objective: Objecti
     picks = [
         F.max(F.when(target, F.col("value"))).alias("score"),
         F.max(F.when(target, F.col("std"))).alias("std"),
+        F.max(F.when(target, F.col("per_fold"))).alias("per_fold"),
         F.count(F.lit(1)).alias("measured"),
     ] + [
         F.max(F.when(F.col("metric") == c.metric, F.col("value"))).alias(f"observed_{i}")
@@ -67,6 +68,7 @@ def contender_scores(folds: DataFrame, contenders: DataFrame, objective: Objecti
         "run_id", "contender_key", "is_baseline", "state", "cost",
         F.when(ran, F.col("score")).alias("score"),
         F.when(ran, F.col("std")).alias("std"),
+        F.when(ran, F.col("per_fold")).alias("per_fold"),
         (reason == "").alias("eligible"), reason.alias("reason"),
     )
 
@@ -101,69 +103,74 @@ def ranked(scores: DataFrame, objective: Objective) -> DataFrame:
     )
 
 
-def compare_pairs(folds: DataFrame, pairs: DataFrame, objective: Objective) -> DataFrame:
-    """Paired per-fold comparison of (run_id, leader, follower) on the folds both were measured on.
+def paired(leader: Column, follower: Column, objective: Objective) -> Column:
+    """Compare two ``array<struct<fold,value>>`` on the folds both were measured on.
 
-    A pair with no common fold yields no row: that is not a tie.
+    A struct of mean and population std of the difference, folds compared and won, and whether the
+    sign holds on every fold and the mean exceeds the spread.  NULL when there is no common fold:
+    that is not a tie.  Arrays have one entry per fold, so this needs no join.
     """
-    values = folds.filter(
-        (F.col("split") == fixed.SPLIT_CV) & (F.col("metric") == objective.metric) & F.col("value").isNotNull()
-    ).select("run_id", "contender_key", "fold", "value")
-    left = values.select("run_id", F.col("contender_key").alias("leader"), "fold", F.col("value").alias("a"))
-    right = values.select("run_id", F.col("contender_key").alias("follower"), "fold", F.col("value").alias("b"))
-    difference = (F.col("a") - F.col("b")) * F.lit(1.0 if objective.higher_is_better else -1.0)
-    summary = (
-        pairs.join(left, ["run_id", "leader"])
-        .join(right, ["run_id", "follower", "fold"])
-        .withColumn("difference", difference)
-        .groupBy("run_id", "leader", "follower")
-        .agg(
-            F.avg("difference").alias("mean"),
-            F.stddev_pop("difference").alias("spread"),
-            F.count(F.lit(1)).alias("folds_compared"),
-            F.count_if(F.col("difference") > 0).alias("folds_won"),
-        )
-    )
-    consistent = (F.col("folds_won") == 0) | (F.col("folds_won") == F.col("folds_compared"))
-    clear = F.abs(F.col("mean")) > fixed.STABILITY_RATIO * F.col("spread")
-    return summary.select(
-        "run_id", "leader", "follower",
-        F.round("mean", 6).alias("mean_difference"),
-        F.round("spread", 6).alias("std_difference"),
-        "folds_compared", "folds_won", (consistent & clear).alias("stable"),
-    )
-
-
-def _pairs(board: DataFrame, baselines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    nexts = board.filter("next_key is not null").select(
-        "run_id", F.col("contender_key").alias("leader"), F.col("next_key").alias("follower")
+    sign = F.lit(1.0 if objective.higher_is_better else -1.0)
+    lookup = F.map_from_entries(follower)
+    differences = F.filter(
+        F.transform(leader, lambda x: (x["value"] - F.try_element_at(lookup, x["fold"])) * sign),
+        lambda d: d.isNotNull(),
     )
-    against = (
-        board.filter("rank is not null")
-        .select("run_id", F.col("contender_key").alias("leader"))
-        .join(baselines.select("run_id", F.col("contender_key").alias("follower")), "run_id")
-        .filter("leader <> follower")
+    n = F.size(differences)
+    mean = F.aggregate(differences, F.lit(0.0), lambda a, d: a + d) / n
+    spread = F.sqrt(F.aggregate(differences, F.lit(0.0), lambda a, d: a + (d - mean) * (d - mean)) / n)
+    won = F.size(F.filter(differences, lambda d: d > 0))
+    stable = ((won == 0) | (won == n)) & (F.abs(mean) > fixed.STABILITY_RATIO * spread)
+    return F.when(
+        n > 0,
+        F.struct(
+            F.round(mean, 6).alias("mean_difference"),
+            F.round(spread, 6).alias("std_difference"),
+            n.cast("long").alias("folds_compared"),
+            won.cast("long").alias("folds_won"),
+            stable.alias("stable"),
+        ),
     )
-    return nexts, against
 
 
-def _compared(compared: DataFrame, prefix: str) -> DataFrame:
-    return compared.select(
-        "run_id", F.col("leader").alias("contender_key"),
-        *[
-            F.col(c).alias(f"{prefix}_{c}")
-            for c in ("follower", "mean_difference", "std_difference", "folds_compared", "folds_won", "stable")
-        ],
+def compare_pairs(folds: DataFrame, pairs: DataFrame, objective: Objective) -> DataFrame:
+    """Paired comparison of every (run_id, leader, follower); a pair without common folds has no row."""
+    values = cross_validated(folds.filter(F.col("metric") == objective.metric))
+    a = values.select("run_id", F.col("contender_key").alias("leader"), F.col("per_fold").alias("a"))
+    b = values.select("run_id", F.col("contender_key").alias("follower"), F.col("per_fold").alias("b"))
+    return (
+        pairs.join(a, ["run_id", "leader"])
+        .join(b, ["run_id", "follower"])
+        .select("run_id", "leader", "follower", paired(F.col("a"), F.col("b"), objective).alias("c"))
+        .filter("c is not null")
+        .select("run_id", "leader", "follower", "c.*")
     )
 
 
 def leaderboard(folds: DataFrame, contenders: DataFrame, objective: Objective) -> DataFrame:
-    """Ranked rows first, excluded rows with their reason, each with both paired comparisons."""
+    """Every contender with its rank or the reason for having none, and both paired comparisons.
+
+    One pass over the fold metrics: the next row and the baseline are reached by window functions
+    over the contenders of a run, not by joining the metrics with themselves.
+    """
     board = ranked(contender_scores(folds, contenders, objective), objective)
-    nexts, against = _pairs(board, contenders.filter("is_baseline"))
-    keys = ["run_id", "contender_key"]
-    return board.join(_compared(compare_pairs(folds, nexts, objective), "next"), keys, "left").join(
-        _compared(compare_pairs(folds, against, objective), "baseline"), keys, "left"
+    by_rank = Window.partitionBy("run_id", "eligible").orderBy(*_rank_order(objective))
+    run = Window.partitionBy("run_id")
+    baseline_folds = F.max(F.when(F.col("is_baseline"), F.col("per_fold"))).over(run)
+    has_rank = F.col("rank").isNotNull()
+    board = board.withColumn("__next", F.lead("per_fold").over(by_rank)).withColumn("__base", baseline_folds)
+    board = board.withColumn(
+        "next", F.when(F.col("next_key").isNotNull(), paired(F.col("per_fold"), F.col("__next"), objective))
+    ).withColumn(
+        "versus",
+        F.when(has_rank & ~F.col("is_baseline"), paired(F.col("per_fold"), F.col("__base"), objective)),
+    )
+    fields = ("mean_difference", "std_difference", "folds_compared", "folds_won", "stable")
+    return board.select(
+        "run_id", "contender_key", "is_baseline", "state", "cost", "rank", "score", "std", "eligible",
+        "reason", "next_key", "decided_by",
+        *[F.col(f"next.{c}").alias(f"next_{c}") for c in fields],
+        *[F.col(f"versus.{c}").alias(f"baseline_{c}") for c in fields],
     )
 
 

@@ -275,6 +275,8 @@ def cross_validated(folds: DataFrame) -> DataFrame:
             F.count("value").alias("folds_measured"),
             F.count(F.lit(1)).alias("folds_total"),
             F.min_by("note", F.when(F.col("note") != "", F.col("fold"))).alias("first_note"),
+            # at most one entry per fold
+            F.sort_array(F.collect_list(F.struct("fold", "value"))).alias("per_fold"),
         )
     )
     measured, total = F.col("folds_measured"), F.col("folds_total")
@@ -287,5 +289,5 @@ def cross_validated(folds: DataFrame) -> DataFrame:
         "run_id", "contender_key", "metric",
         F.round("mean", 6).alias("value"),
         F.when(measured > 1, F.round("spread", 6)).alias("std"),
-        "folds_measured", "folds_total", note.alias("note"),
+        "folds_measured", "folds_total", note.alias("note"), "per_fold",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("measure",)
+GROUPS = ("measure", "setup")
 
 
 def load_queries():
