@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("measure", "setup")
+GROUPS = ("measure", "setup", "evidence")
 
 
 def load_queries():
