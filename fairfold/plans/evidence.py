@@ -9,7 +9,7 @@ from fairfold.operators import leakage as lk
 from fairfold.operators import readiness as rd
 from fairfold.plans import derived as d
 from fairfold.plans.registry import query, table
-from fairfold.plans.setup import FORWARD, FORWARD_SQL, GROUPED, K5, KFOLD_SQL, lineitem_rows
+from fairfold.plans.setup import FORWARD, FORWARD_SQL, GROUPED, K5, KFOLD_SQL, STRATIFIED_SQL, lineitem_rows
 from fairfold.spec import Protocol, TaskSpec
 
 # few columns with few values, so that copies of rows do cross the folds
@@ -187,8 +187,22 @@ def leakage_single_feature_probe_regression(spark, sf):
     return lk.probe_scores(lk.probe_histograms(rows, NUMBER_SPEC), NUMBER_SPEC, K5)
 
 
-@query("leakage_report", """
+def _any_crossing(assigned: str, key: str) -> str:
+    """CTE ``crossed(share, hit)``: K-fold validation rows repeated in training, and any holdout repeat."""
+    return assigned + f""",
+keyed AS (SELECT a.part, a.chunk, {key} AS k FROM assigned a JOIN orders_task t USING (row_id)),
+spread AS (SELECT k, count(DISTINCT chunk) AS chunks, sum(CASE WHEN part = 'pool' THEN 1 ELSE 0 END) AS pooled,
+                  sum(CASE WHEN part = 'holdout' THEN 1 ELSE 0 END) AS held FROM keyed GROUP BY k),
+crossed AS (SELECT sum(CASE WHEN chunks > 1 THEN pooled ELSE 0 END) * 1e0 / sum(pooled) AS share,
+                   bool_or(chunks > 1 OR (pooled > 0 AND held > 0)) AS hit FROM spread)"""
+
+
+REPORT_KEY = "t.o_totalprice || '/' || t.o_orderstatus || '/' || t.o_orderpriority || '/' || coalesce(t.closing_reason, '-')"
+
+
+@query("leakage_report", "WITH " + _any_crossing(KFOLD_SQL, REPORT_KEY) + """
 SELECT 'target_copy_among_features' AS code, true AS blocking, true AS evaluated, 'copied' AS columns UNION ALL
+SELECT 'duplicate_rows_cross_folds', share >= 5e-2, true, '' FROM crossed WHERE hit UNION ALL
 SELECT 'single_feature_reconstructs_target', false, true, 'closing_reason,copied,o_orderpriority' UNION ALL
 SELECT 'missingness_encodes_target', false, true, 'closing_reason' UNION ALL
 SELECT 'post_outcome_naming', false, true, 'closing_reason'""")
@@ -207,7 +221,8 @@ def leakage_report_regression(spark, sf):
     return found.filter(keep).select("code", "blocking", "evaluated", F.array_join("columns", ",").alias("columns"))
 
 
-@query("leakage_risk", "SELECT 'confirmed' AS risk, CAST(4 AS BIGINT) AS signals, CAST(0 AS BIGINT) AS not_evaluated FROM orders LIMIT 1")
+@query("leakage_risk", "WITH " + _any_crossing(KFOLD_SQL, REPORT_KEY) + """
+SELECT 'confirmed' AS risk, CAST(4 + CASE WHEN hit THEN 1 ELSE 0 END AS BIGINT) AS signals, CAST(0 AS BIGINT) AS not_evaluated FROM crossed""")
 def leakage_risk(spark, sf):
     return lk.risk(lk.inspect(_class_rows(spark, sf), CLASS_SPEC, K5))
 
@@ -293,13 +308,14 @@ def readiness_finding_order(spark, sf):
     return lk.ordered(lk.inspect(_class_rows(spark, sf), CLASS_SPEC, K5)).select("code", "severity", "evidence_level", "blocking")
 
 
-@query("task_analysis", """
+@query("task_analysis", "WITH " + _any_crossing(STRATIFIED_SQL, "t.o_totalprice || '/' || t.o_orderstatus || '/' || t.urgent") + """
 SELECT 'task_type' AS item, 'binary' AS value UNION ALL SELECT 'splitter', 'stratified_k_fold' UNION ALL
-SELECT 'risk', 'none' UNION ALL SELECT 'status', 'READY' FROM orders LIMIT 1""")
+SELECT 'risk', CASE WHEN share >= 5e-2 THEN 'confirmed' WHEN hit THEN 'high' ELSE 'none' END FROM crossed UNION ALL
+SELECT 'status', CASE WHEN share >= 5e-2 THEN 'BLOCKED' WHEN hit THEN 'HIGH_RISK' ELSE 'READY' END FROM crossed""")
 def task_analysis(spark, sf):
     from fairfold.plans.analyze import analyze_task
 
-    # price is unique per row here, so no copies cross and nothing names, times or groups the rows
+    # nothing names, times or groups these rows; only repeated (price, status, target) can cross
     o = d.orders_task(spark, sf).select("row_id", "urgent", "o_orderstatus", "o_totalprice")
     return analyze_task(o, "urgent", row_id="row_id").summary(spark).filter(
         F.col("item").isin("task_type", "splitter", "risk", "status")
