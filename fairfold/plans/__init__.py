@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("measure", "setup", "evidence")
+GROUPS = ("measure", "setup", "evidence", "diagnose")
 
 
 def load_queries():
