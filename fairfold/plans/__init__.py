@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("measure", "setup", "evidence", "diagnose")
+GROUPS = ("measure", "setup", "evidence", "diagnose", "compete")
 
 
 def load_queries():

@@ -105,13 +105,14 @@ def diagnostics_confidence_bins(spark, sf):
 
 @query("diagnostics_residuals", "WITH " + d.REGRESSION_SQL + """,
 r AS (SELECT contender_key, y_pred - y_true AS e, y_true FROM reg WHERE split = 'cv')
-SELECT contender_key, count(*) AS n, round(avg(e), 4) AS mean, round(stddev_pop(e), 4) AS std, round(min(e), 4) AS "min", round(max(e), 4) AS "max",
+SELECT contender_key, count(*) AS n, round(avg(e), 2) AS mean, round(stddev_pop(e), 2) AS std, round(min(e), 4) AS "min", round(max(e), 4) AS "max",
        abs(avg(e)) > 1e-1 * stddev_pop(e) AS systematic_bias, round(min(y_true), 4) AS target_min, round(max(y_true), 4) AS target_max,
        round(quantile_cont(e, 5e-2), 4) AS q05, round(quantile_cont(e, 25e-2), 4) AS q25, round(quantile_cont(e, 5e-1), 4) AS median,
        round(quantile_cont(e, 75e-2), 4) AS q75, round(quantile_cont(e, 95e-2), 4) AS q95 FROM r GROUP BY contender_key""")
 def diagnostics_residuals(spark, sf):
     s = dg.residual_summary(d.regression_predictions(spark, sf)).drop("run_id")
-    return s.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
+    digits = {"mean": 2, "std": 2}
+    return s.select(*[F.round(c, digits.get(c, 4)).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
 @query("diagnostics_error_by_target_range", "WITH " + d.REGRESSION_SQL + """,
