@@ -16,7 +16,6 @@ from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
     LogisticRegression,
-    OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import SQLTransformer
@@ -107,6 +106,8 @@ def finish(scored: DataFrame, keep: list[str], spec: TaskSpec, contender: Conten
     columns = [F.col(c) for c in keep]
     if not spec.is_classification:
         return scored.select(*columns, F.col("prediction").cast("double").alias("y_pred"))
+    if "prediction" not in scored.columns:
+        scored = _combine(scored, spec)
     known = labels_literal(spec.labels)
     guess = F.get(known, F.col("prediction").cast("int"))
     proba = F.lit(None).cast("array<float>")
@@ -136,7 +137,7 @@ def _median(train: DataFrame, spec: TaskSpec) -> PipelineModel:
 
 
 def _estimator(contender: Contender, spec: TaskSpec, train: DataFrame, seed: int):
-    p, many = contender.params, spec.task_type == "multiclass"
+    p = contender.params
     names = {"featuresCol": "features", "labelCol": "label"}
     if contender.adapter == "logistic":
         # an unscaled L2 penalty of strength 1/c per total loss is 1/(c n) per mean loss
@@ -156,11 +157,9 @@ def _estimator(contender: Contender, spec: TaskSpec, train: DataFrame, seed: int
         common = {"maxIter": p["max_iter"], "stepSize": p["learning_rate"], "maxDepth": p.get("max_depth", 5), "seed": seed}
         if not spec.is_classification:
             return GBTRegressor(**common, **names)
-        one = GBTClassifier(**common, **names)
-        return OneVsRest(classifier=one, rawPredictionCol="raw", **names) if many else one
+        return GBTClassifier(**common, **names)
     if contender.adapter == "svm":
-        one = LinearSVC(maxIter=p["max_iter"], regParam=1e-3, **names)
-        return OneVsRest(classifier=one, rawPredictionCol="raw", **names) if many else one
+        return LinearSVC(maxIter=p["max_iter"], regParam=1e-3, **names)
     raise RefusedError("unknown_adapter", contender.adapter)
 
 
@@ -184,20 +183,48 @@ def fit(contender: Contender, train: DataFrame, spec: TaskSpec, seed: int) -> Fi
     # the fit makes several passes over the assembled vectors; spilling to disk is fine
     prepared = prepared.persist()
     try:
-        model = _estimator(contender, spec, prepared, seed).fit(prepared)
+        estimator = _estimator(contender, spec, prepared, seed)
+        if spec.task_type == "multiclass" and contender.adapter in ("boosting", "svm"):
+            models = _one_against_rest(estimator, prepared, spec)
+        else:
+            models = [estimator.fit(prepared)]
     finally:
         prepared.unpersist()
-    stages = [*recipe.stages, model]
-    if contender.adapter == "boosting" and spec.task_type == "multiclass":
-        stages.append(_scores_to_probabilities())
-    return Fitted(contender, spec, PipelineModel(stages), list(spec.labels))
+    return Fitted(contender, spec, PipelineModel([*recipe.stages, *models]), list(spec.labels))
 
 
-def _scores_to_probabilities() -> SQLTransformer:
-    """Per-class margins of one-vs-rest boosting as normalised probabilities."""
-    margin = "transform(vector_to_array(raw), m -> 1D / (1D + exp(-2D * m)))"
-    total = f"aggregate({margin}, 0D, (a, b) -> a + b)"
-    return SQLTransformer(statement=f"SELECT *, transform({margin}, m -> m / {total}) AS probability FROM __THIS__")
+def _one_against_rest(estimator, prepared: DataFrame, spec: TaskSpec) -> list:
+    """A binary model per class seen in training, each with output columns of its own."""
+    seen = {int(r["label"]) for r in prepared.select("label").distinct().collect()}  # at most the classes
+    models = []
+    for i in sorted(seen):
+        names = {"labelCol": "one", "rawPredictionCol": f"raw_{i}", "predictionCol": f"prediction_{i}"}
+        if estimator.hasParam("probabilityCol"):
+            names["probabilityCol"] = f"probability_{i}"
+        one = estimator.copy({estimator.getParam(k): v for k, v in names.items()})
+        models.append(one.fit(prepared.withColumn("one", (F.col("label") == i).cast("double"))))
+    return models
+
+
+def _combine(scored: DataFrame, spec: TaskSpec) -> DataFrame:
+    """One-against-rest scores as a prediction and, where there are any, normalised probabilities.
+
+    A class without training rows has no model and gets no mass.
+    """
+    given = any(c.startswith("probability_") for c in scored.columns)
+    prefix = "probability" if given else "raw"
+    absent = F.lit(0.0 if given else float("-inf"))
+    every = F.array(*[
+        F.get(vector_to_array(f"{prefix}_{i}"), F.lit(1)) if f"{prefix}_{i}" in scored.columns else absent
+        for i in range(len(spec.labels))
+    ])
+    scored = scored.withColumn("__every", every)
+    best = (F.array_position("__every", F.array_max("__every")) - 1).cast("double")
+    scored = scored.withColumn("prediction", best)
+    if not given:
+        return scored
+    total = F.aggregate("__every", F.lit(0.0), lambda a, b: a + b)
+    return scored.withColumn("probability", F.transform("__every", lambda s: s / total))
 
 
 class KnnFitted:
