@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("measure", "setup", "evidence", "diagnose", "compete")
+GROUPS = ("measure", "setup", "evidence", "diagnose", "compete", "intake")
 
 
 def load_queries():
