@@ -91,19 +91,19 @@ def assign(
             F.col(spec.row_id).alias("row_id"), *carried,
             moment_micros(spec.time, dtype_of(df, spec.time)).cast("double").alias("__ts"),
         )
-        ranked = value_rank(timed, "__ts", "row_id", n_rows=n, rows_per_bucket=rows_per_bucket).drop("__ts")
+        ranked = value_rank(timed, "__ts", "row_id", n_rows=n, out="__rank", rows_per_bucket=rows_per_bucket).drop("__ts")
         held = max(1, round(n * protocol.holdout_size))
-        held_out = F.col("rank") > n - held
+        held_out = F.col("__rank") > n - held
         pool_rows = n - held
         if protocol.forward:
-            chunk = equal_chunk(F.col("rank") - 1, pool_rows, k + 1)
+            chunk = equal_chunk(F.col("__rank") - 1, pool_rows, k + 1)
             return _finish(ranked, held_out, chunk)
         # too few periods for forward chaining: the tail is held out, the pool is cut at random
-        pool = ranked.filter(~held_out).drop("rank").withColumn(
+        pool = ranked.filter(~held_out).drop("__rank").withColumn(
             "__h", seeded_hash(protocol.seed, "order", F.col("row_id"))
         )
-        pool = hash_rank(pool, "__h", "row_id", n_rows=pool_rows, rows_per_bucket=rows_per_bucket).drop("__h")
-        cut = _finish(pool, F.lit(False), equal_chunk(F.col("rank") - 1, pool_rows, k))
+        pool = hash_rank(pool, "__h", "row_id", n_rows=pool_rows, out="__rank", rows_per_bucket=rows_per_bucket).drop("__h")
+        cut = _finish(pool, F.lit(False), equal_chunk(F.col("__rank") - 1, pool_rows, k))
         late = _finish(ranked.filter(held_out), F.lit(True), F.lit(None).cast("int"))
         return cut.unionByName(late)
 
@@ -123,25 +123,26 @@ def assign(
             seeded_hash(protocol.seed, "order", F.col(spec.row_id)).alias("__h"),
         )
         ranked = hash_rank(
-            hashed, "__h", "row_id", n_rows=n, within=("__c",), n_groups=len(counts), rows_per_bucket=rows_per_bucket
+            hashed, "__h", "row_id", n_rows=n, within=("__c",), n_groups=len(counts), out="__rank",
+            rows_per_bucket=rows_per_bucket,
         )
         quota = F.element_at(_literal_map(quotas), F.col("__c"))
         start = F.element_at(_literal_map(starts), F.col("__c"))
         # one random order per class serves both cuts: its head is held out, the rest is dealt to folds
-        chunk = ((F.col("rank") - quota - 1 + start) % k).cast("int")
-        return _finish(ranked, F.col("rank") <= quota, chunk).drop("__c", "__h")
+        chunk = ((F.col("__rank") - quota - 1 + start) % k).cast("int")
+        return _finish(ranked, F.col("__rank") <= quota, chunk).drop("__c", "__h")
 
     held = math.ceil(protocol.holdout_size * n)
-    ranked = hash_rank(hashed, "__h", "row_id", n_rows=n, rows_per_bucket=rows_per_bucket).drop("__h")
-    chunk = equal_chunk(F.col("rank") - held - 1, n - held, k)
-    return _finish(ranked, F.col("rank") <= held, chunk)
+    ranked = hash_rank(hashed, "__h", "row_id", n_rows=n, out="__rank", rows_per_bucket=rows_per_bucket).drop("__h")
+    chunk = equal_chunk(F.col("__rank") - held - 1, n - held, k)
+    return _finish(ranked, F.col("__rank") <= held, chunk)
 
 
 def _finish(ranked: DataFrame, held_out: Column, chunk: Column) -> DataFrame:
     return (
         ranked.withColumn("part", F.when(held_out, "holdout").otherwise("pool"))
         .withColumn("chunk", F.when(~held_out, chunk).cast("int"))
-        .drop("rank")
+        .drop("__rank")
     )
 
 
@@ -186,12 +187,13 @@ def _by_group(rows, spec, protocol, carried, label, rows_per_bucket) -> DataFram
     if not spec.group:
         raise RefusedError("group_column_missing")
     plan, n_groups, n_rows = group_plan(rows, spec, protocol, label, rows_per_bucket)
-    slim = rows.select(F.col(spec.row_id).alias("row_id"), *carried, group_text(spec.group).alias("g"))
+    plan = plan.withColumnsRenamed({"g": "__g", "n": "__n"})
+    slim = rows.select(F.col(spec.row_id).alias("row_id"), *carried, group_text(spec.group).alias("__g"))
     if n_groups <= 1_000_000:
-        joined = slim.join(bounded_broadcast(plan, n_groups), "g")
+        joined = slim.join(bounded_broadcast(plan, n_groups), "__g")
     else:
         joined = attach_by_group(slim, plan, n_rows)
-    return joined.select("row_id", *[c for c in slim.columns if c not in ("row_id", "g")], "part", "chunk")
+    return joined.select("row_id", *[c for c in slim.columns if c not in ("row_id", "__g")], "part", "chunk")
 
 
 def attach_by_group(rows: DataFrame, plan: DataFrame, n_rows: int) -> DataFrame:
@@ -200,10 +202,10 @@ def attach_by_group(rows: DataFrame, plan: DataFrame, n_rows: int) -> DataFrame:
     Entities above one thousandth of all rows number at most a thousand, so they are broadcast; the
     remaining ones are small by definition and are joined by shuffling.
     """
-    hot = F.broadcast(plan.filter(F.col("n") * HOT_SHARE > n_rows))
-    hot_rows = rows.join(hot, "g")
-    cold = plan.filter(F.col("n") * HOT_SHARE <= n_rows)
-    cold_rows = rows.join(hot.select("g"), "g", "left_anti").join(cold, "g")
+    hot = F.broadcast(plan.filter(F.col("__n") * HOT_SHARE > n_rows))
+    hot_rows = rows.join(hot, "__g")
+    cold = plan.filter(F.col("__n") * HOT_SHARE <= n_rows)
+    cold_rows = rows.join(hot.select("__g"), "__g", "left_anti").join(cold, "__g")
     return hot_rows.unionByName(cold_rows)
 
 
