@@ -13,6 +13,7 @@ from fairfold.spec import FeatureKinds
 
 FLOATING = (T.FloatType, T.DoubleType)
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+NON_ASCII = r"[^\x00-\x7F]"
 NUMERIC = (*FLOATING, *INTEGRAL, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -72,7 +73,7 @@ def _compose(text: pd.Series) -> pd.Series:
 
 def nfc(column: Column) -> Column:
     """Unicode NFC. Only non-ASCII cells are handed to Python; ASCII is already normal."""
-    foreign = F.when(column.rlike(r"[^\x00-\x7F]"), column)
+    foreign = F.when(column.rlike(NON_ASCII), column)
     return F.coalesce(_compose(foreign), column)
 
 

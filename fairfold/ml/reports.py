@@ -37,11 +37,8 @@ def learning_curve(
     keep = tuple(dict.fromkeys([*spec.features, spec.target]))
     # read again for every fit, so written once to the shared checkpoint folder
     assigned = with_target(fd.assign(df, spec, protocol, keep=keep), spec).drop(spec.target).checkpoint()
-    subsets = fd.growing_subsets(assigned, protocol, fractions).checkpoint()
-    sizes = {
-        (r["fraction"], r["fold"]): r["n"]
-        for r in subsets.groupBy("fraction", "fold").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
+    cuts = fd.subset_cuts(assigned, protocol, fractions)
+    sizes = {key: n for key, (n, _) in cuts.items()}
     parts, skipped = [], []
     for fraction in fractions:
         for fold in range(protocol.n_splits):
@@ -49,8 +46,7 @@ def learning_curve(
             if n < fixed.MIN_SUBSET_ROWS:
                 skipped.append((fraction, fold, "too_few_rows"))
                 continue
-            ids = subsets.filter((F.col("fraction") == fraction) & (F.col("fold") == fold)).select("row_id")
-            training = assigned.filter(fd.train_of(fold, protocol)).join(ids, "row_id", "left_semi")
+            training = assigned.filter(fd.train_of(fold, protocol) & fd.in_subset(protocol, cuts[fraction, fold][1]))
             try:
                 fitted = fit(contender, training, spec, protocol.seed)
             except RefusedError as error:

@@ -13,13 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairfold import fixed
-from fairfold.functions.scalars import dtype_of, logical_type, moment_micros, nfc, plain_decimal, plain_float
+from fairfold.functions.scalars import NON_ASCII, dtype_of, logical_type, moment_micros, nfc, plain_decimal, plain_float
 from fairfold.spec import Protocol, RefusedError
 
 ALGORITHM = "row-tree-sha256-v1"
 
 
-def canonical_cell(df: DataFrame, name: str) -> Column:
+def _foreign_text(df: DataFrame, columns: list[str]) -> set[str]:
+    """String columns with any non-ASCII cell; only those need Unicode normalisation."""
+    texts = [c for c in columns if logical_type(dtype_of(df, c)) == "string"]
+    if not texts:
+        return set()
+    checks = [F.coalesce(F.max(F.col(f"`{c}`").rlike(NON_ASCII)), F.lit(False)).alias(f"c{i}") for i, c in enumerate(texts)]
+    row = df.agg(*checks).first()
+    return {c for i, c in enumerate(texts) if row[f"c{i}"]}
+
+
+def canonical_cell(df: DataFrame, name: str, *, ascii_only: bool = False) -> Column:
     """Text form of a cell that does not depend on the physical width, zero sign or time unit."""
     dtype, c = dtype_of(df, name), F.col(f"`{name}`")
     kind = logical_type(dtype)
@@ -36,15 +46,16 @@ def canonical_cell(df: DataFrame, name: str) -> Column:
     if kind == "binary":
         return F.hex(c)
     if kind == "string":
-        return nfc(c)
+        return c if ascii_only else nfc(c)
     return c.cast("string")
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> Column:
     """SHA-256 over length-prefixed cells; a missing cell differs from an empty one."""
     pieces = []
+    foreign = _foreign_text(df, columns)
     for name in columns:
-        text = canonical_cell(df, name)
+        text = canonical_cell(df, name, ascii_only=name not in foreign)
         pieces.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-;")))
     return F.sha2(F.concat(*pieces), 256)
 

@@ -281,14 +281,19 @@ def subset_size(train_rows: int, fraction: float) -> int:
     return min(max(fixed.MIN_SUBSET_ROWS, round(train_rows * fraction)), train_rows)
 
 
+def subset_hash(protocol: Protocol) -> Column:
+    """Order in which training rows enter growing subsets; ties end in the row id."""
+    return F.struct(seeded_hash(protocol.seed, "subset", F.col("row_id")).alias("h"), F.col("row_id").alias("i"))
+
+
 def growing_subsets(
     assignments: DataFrame, protocol: Protocol, fractions: tuple[float, ...] = fixed.CURVE_FRACTIONS,
     *, rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """fraction, fold, row_id: nested training subsets; validation rows are never touched."""
+    """fraction, fold, row_id, order: nested training subsets; validation rows are never touched."""
     sizes = {r["fold"]: r["train_rows"] for r in fold_sizes(assignments, protocol).collect()}
     members = assignments.filter("part = 'pool'").select("row_id", F.explode(training_folds(protocol)).alias("fold"))
-    hashed = members.withColumn("__h", seeded_hash(protocol.seed, "subset", F.col("row_id")))
+    hashed = members.withColumn("order", subset_hash(protocol)).withColumn("__h", F.col("order.h"))
     ranked = hash_rank(
         hashed, "__h", "row_id", n_rows=sum(sizes.values()), within=("fold",), n_groups=len(sizes),
         rows_per_bucket=rows_per_bucket,
@@ -304,12 +309,30 @@ def growing_subsets(
         for f in fractions
     ])
     return (
-        ranked.select("fold", "row_id", F.col("rank"), F.explode(limits).alias("x"))
+        ranked.select("fold", "row_id", "order", F.col("rank"), F.explode(limits).alias("x"))
         .filter(F.col("rank") <= F.col("x.limit"))
-        .select("x.fraction", "fold", "row_id")
+        .select("x.fraction", "fold", "row_id", "order")
     )
 
 
+def subset_cuts(
+    assignments: DataFrame, protocol: Protocol, fractions: tuple[float, ...] = fixed.CURVE_FRACTIONS
+) -> dict[tuple[float, int], tuple[int, tuple[str, int]]]:
+    """(fraction, fold) -> (rows, last row in subset order).
+
+    With these few values membership is a comparison on the row itself, so no fit needs a join.
+    """
+    ends = growing_subsets(assignments, protocol, fractions).groupBy("fraction", "fold").agg(
+        F.count(F.lit(1)).alias("n"), F.max("order").alias("last")
+    )
+    return {(r["fraction"], r["fold"]): (r["n"], (r["last"]["h"], r["last"]["i"])) for r in ends.collect()}
+
+
+def in_subset(protocol: Protocol, last: tuple[str, int]) -> Column:
+    end = F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).cast("long").alias("i"))
+    return subset_hash(protocol) <= end
+
+
 def permutation_pairs(
     rows: DataFrame, repeats: int, seed: int, *, n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET
 ) -> DataFrame:

@@ -45,8 +45,9 @@ def unite_parts(parts: list[DataFrame], *, classification: bool) -> DataFrame:
         united.groupBy("run_id", "contender_key")
         .agg(F.max(F.col("proba").isNull()).alias("__lacks"))
     )
+    # one row per contender of the runs at hand
     return (
-        united.join(lacking, ["run_id", "contender_key"])
+        united.join(F.broadcast(lacking), ["run_id", "contender_key"])
         .withColumn("proba", F.when(~F.col("__lacks"), F.col("proba")))
         .drop("__lacks")
     )

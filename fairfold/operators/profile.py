@@ -6,6 +6,7 @@ for the columns that can need them, and quartiles come from exact order statisti
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from fairfold import fixed
 from fairfold.functions.scalars import FLOATING, INTEGRAL, TEMPORAL, dtype_of, label_text, logical_type
-from fairfold.operators.ranking import exact_quantiles
+from fairfold.operators.ranking import exact_order_statistics, exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -174,9 +175,14 @@ def numeric_quartiles(df: DataFrame, stats: dict[str, ColumnStats]) -> dict[str,
     if not names:
         return {}
     counts = {c: stats[c].present for c in names}
-    nearest = exact_quantiles(df, {c: [0.25, 0.75] for c in names}, rule="nearest", counts=counts)
-    middle = exact_quantiles(df, {c: [0.5] for c in names}, rule="linear", counts=counts)
-    return {c: (nearest[c][0], middle[c][0], nearest[c][1]) for c in names}
+    places = {}
+    for c, n in counts.items():
+        middle = (n - 1) / 2
+        places[c] = (math.floor((n - 1) * 0.25 + 0.5), math.floor(middle), math.ceil(middle), math.floor((n - 1) * 0.75 + 0.5))
+    found = exact_order_statistics(df, {c: sorted(set(p)) for c, p in places.items()}, counts)
+    return {
+        c: (found[c][a], (found[c][low] + found[c][high]) / 2, found[c][b]) for c, (a, low, high, b) in places.items()
+    }
 
 
 PROFILE_SCHEMA = (

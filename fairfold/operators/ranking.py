@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
+ROWS_PER_BUCKET = 250_000
 BROADCAST_ROWS = 1_000_000
 MAX_SPLITS = 10_000
 
@@ -144,7 +144,7 @@ def exact_order_statistics(
     wanted: dict[str, list[int]],
     counts: dict[str, int],
     *,
-    final_rows: int = 200_000,
+    final_rows: int = 1_000_000,
 ) -> dict[str, dict[int, float]]:
     """The exact k-th smallest non-null value of several numeric columns.
 
@@ -169,16 +169,27 @@ def exact_order_statistics(
         wide = [b for b in brackets if inside[id(b)] > final_rows and b.low < b.high]
         if not wide:
             break
-        cuts = []
-        for i, b in enumerate(wide):
-            share = (b.rank - below[id(b)] + 0.5) / inside[id(b)]
-            low, high = max(0.0, share - 3e-4), min(1.0, share + 3e-4)
-            value = F.when(member(b), F.col(b.column).cast("double"))
-            cuts.append(F.percentile_approx(value, [low, high], 10_000).alias(f"q{i}"))
-        found = df.agg(*cuts).first()
+        # ranks that still share a bracket share one sketch
+        shared: dict[tuple[str, float, float], list[_Bracket]] = {}
+        for b in wide:
+            shared.setdefault((b.column, b.low, b.high), []).append(b)
+        sketches = []
+        for i, members in enumerate(shared.values()):
+            shares = []
+            for b in members:
+                share = (b.rank - below[id(b)] + 0.5) / inside[id(b)]
+                shares += [max(0.0, share - 3e-4), min(1.0, share + 3e-4)]
+            value = F.when(member(members[0]), F.col(members[0].column).cast("double"))
+            sketches.append(F.percentile_approx(value, shares, 10_000).alias(f"q{i}"))
+        row = df.agg(*sketches).first()
+        found = {
+            id(b): (row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1])
+            for i, members in enumerate(shared.values())
+            for j, b in enumerate(members)
+        }
         checks = []
         for i, b in enumerate(wide):
-            low, high = found[f"q{i}"]
+            low, high = found[id(b)]
             value = F.col(b.column).cast("double")
             checks += [
                 F.count_if(value < F.lit(low)).alias(f"b{i}"),
@@ -186,7 +197,7 @@ def exact_order_statistics(
             ]
         seen = df.agg(*checks).first()
         for i, b in enumerate(wide):
-            low, high = found[f"q{i}"]
+            low, high = found[id(b)]
             if seen[f"b{i}"] <= b.rank < seen[f"b{i}"] + seen[f"n{i}"]:
                 b.low, b.high = low, high
                 below[id(b)], inside[id(b)] = seen[f"b{i}"], seen[f"n{i}"]
@@ -246,7 +257,7 @@ def exact_quantiles(
     *,
     rule: str = "linear",
     counts: dict[str, int] | None = None,
-    final_rows: int = 200_000,
+    final_rows: int = 1_000_000,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of several columns; ``rule`` is ``linear`` or ``nearest``."""
     if counts is None:

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairfold.operators.ranking import bounded_broadcast
+from fairfold.session import spread
 
 
-def with_row_id(spark: SparkSession, files: list[str], out: str = "row_id", known_files: int | None = None) -> DataFrame:
+def with_row_id(spark: SparkSession, files: list[str], out: str = "row_id") -> DataFrame:
     """Parquet files in the declared order, numbered by file offset plus position inside the file.
 
     ``_metadata.row_index`` comes from the reader itself, so a recomputed task numbers its rows the
-    same way; nothing is shuffled as long as the file table fits a broadcast.
+    same way.  The offsets are counted once, one number per file (a list the driver holds anyway);
+    a table of one file needs none.
     """
-    df = spark.read.parquet(*files).select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
-    counts = df.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
-    order = _declared_order(files)
-    # one row per file: the window below never sees data rows
-    before = Window.orderBy(order, "__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
-    joined = df.join(bounded_broadcast(offsets, known_files or 100_000, 200_000), "__file")
+    df = spark.read.parquet(*files)
+    physical = df.inputFiles()
+    numbered = df.select("*", F.col("_metadata.row_index").alias(out))
+    if len(physical) <= 1:
+        return spread(numbered)
+    place = F.col("_metadata.file_path").alias("__file")
+    counts = {r["__file"]: r["n"] for r in df.select(place).groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()}
+    declared = [path.split("://")[-1].rstrip("/") for path in files]
+
+    def position(name: str) -> tuple[int, str]:
+        """Index of the declared path (a file or a folder of files) and the name inside it."""
+        for i, path in enumerate(declared):
+            if name.endswith(path) or f"{path}/" in name:
+                return i, name
+        return len(declared), name
+
+    offsets, before = [], 0
+    for name in sorted(counts, key=position):
+        offsets.append((name, before))
+        before += counts[name]
+    table = spark.createDataFrame(offsets, "__file string, __offset long")
+    data = spread(df.select("*", place, F.col("_metadata.row_index").alias("__pos")))
+    joined = data.join(bounded_broadcast(table, len(offsets)), "__file")
     return joined.withColumn(out, F.col("__offset") + F.col("__pos")).drop("__file", "__pos", "__offset")
-
-
-def _declared_order(files: list[str]):
-    """Position of the declared path a file belongs to (a path may be a folder of files)."""
-    order = F.lit(len(files))
-    for i, path in reversed(list(enumerate(files))):
-        order = F.when(F.col("__file").contains(path.split("://")[-1].rstrip("/")), i).otherwise(order)
-    return order

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "fairfold", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -43,3 +43,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="fairfold-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain scan at least one partition per core.
+
+    A table kept in one or two files would otherwise be worked on by as many tasks.  A table of many
+    files has more partitions than that already and passes unchanged.  Meant for scans only: asking a
+    scan for its partitions runs no job.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)

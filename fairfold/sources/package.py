@@ -157,7 +157,7 @@ def read_package(
         files = [f"{folder}/{name}" for name in data["files"]]
         if not same_schema(spark, files):
             raise RefusedError("package_parts_schema_mismatch")
-        frame = with_row_id(spark, files, row_id, known_files=len(files))
+        frame = with_row_id(spark, files, row_id)
         declared = read_document(spark, f"{folder}/schema.json")
         code = schema_violation(frame, declared["columns"] if declared else None, row_id)
         if code:

@@ -37,15 +37,12 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects; falls back to one object per line."""
-    whole = spark.read.option("multiLine", True).json(path)
+    """One object per line, or a JSON array of objects spread over many lines."""
     lines = spark.read.json(path)
-    # an array read line by line yields nothing but corrupt records, and lines read as a whole stop
-    # after the first object, so the reading with the usable columns and more rows is the right one
-    usable = [c for c in lines.columns if c != "_corrupt_record"]
-    if usable and "_corrupt_record" not in lines.columns:
+    if lines.columns and "_corrupt_record" not in lines.columns:
         return lines
-    return whole.drop("_corrupt_record") if [c for c in whole.columns if c != "_corrupt_record"] else lines
+    # a file that is one document cannot be split, so each file is one task here
+    return spark.read.option("multiLine", True).json(path).drop("_corrupt_record")
 
 
 def sniff_dialects(spark: SparkSession, path: str) -> DataFrame:
