@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,9 @@ def moment(column: Column | str, dtype: T.DataType) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     if isinstance(dtype, T.StringType):
         return F.try_to_timestamp(column)
+    if isinstance(dtype, T.TimestampNTZType) and SparkSession.active().conf.get("spark.sql.session.timeZone") != "UTC":
+        # a moment without a zone is UTC, whatever zone the session shows times in
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), column).cast("timestamp")
     return column.cast("timestamp")
 
 
@@ -43,14 +46,16 @@ def moment_micros(column: Column | str, dtype: T.DataType) -> Column:
 
 def calendar_parts(column: Column | str, dtype: T.DataType) -> dict[str, Column]:
     """Calendar parts of a date; Monday is 0 and the epoch part is fractional days."""
-    ts = moment(column, dtype)
+    instant = moment(column, dtype)
+    plain = F.col(column) if isinstance(column, str) else column
+    ts = plain if isinstance(dtype, T.TimestampNTZType) else instant
     return {
         "year": F.year(ts).cast("double"),
         "month": F.month(ts).cast("double"),
         "day": F.day(ts).cast("double"),
         "dayofweek": F.weekday(ts).cast("double"),
         "quarter": F.quarter(ts).cast("double"),
-        "epoch_days": F.unix_micros(ts) / F.lit(86_400_000_000.0),
+        "epoch_days": F.unix_micros(instant) / F.lit(86_400_000_000.0),
     }
 
 

@@ -56,12 +56,26 @@ def leakage_duplicate_crossing_forward(spark, sf):
     return _crossing(spark, sf, FORWARD)
 
 
-@query("leakage_duplicate_crossing_lineitem")
+LINEITEM_CROSSING_SQL = """
+l AS (SELECT row_number() OVER () - 1 AS row_id, l_quantity || '/' || l_discount || '/' || l_tax || '/' || l_returnflag AS k, l_returnflag AS c FROM lineitem),
+sizes AS (SELECT c, count(*) AS m FROM l GROUP BY 1),
+quota AS (SELECT c, m, floor(2e-1 * m) + CASE WHEN row_number() OVER (ORDER BY 2e-1 * m - floor(2e-1 * m) DESC, c)
+  <= ceil(2e-1 * sum(m) OVER ()) - sum(floor(2e-1 * m)) OVER () THEN 1 ELSE 0 END AS q FROM sizes),
+starts AS (SELECT *, coalesce(sum(m - q) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM quota),
+a AS (SELECT k, r > q AS pooled, CASE WHEN r > q THEN (r - q - 1 + s) % 5 END AS chunk
+      FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5('42:order:' || row_id), row_id) AS r FROM l) JOIN starts USING (c)),
+spread AS (SELECT k, count(DISTINCT chunk) AS chunks, sum(CASE WHEN pooled THEN 1 ELSE 0 END) AS pool, sum(CASE WHEN pooled THEN 0 ELSE 1 END) AS held FROM a GROUP BY k)
+SELECT sum(CASE WHEN chunks > 1 THEN pool ELSE 0 END)::BIGINT AS crossing_validation_rows, sum(CASE WHEN pool > 0 THEN held ELSE 0 END)::BIGINT AS crossing_holdout_rows,
+       sum(pool)::BIGINT AS validation_rows, (SELECT count(DISTINCT chunk) FROM a JOIN spread USING (k) WHERE chunks > 1 AND pooled)::INTEGER AS affected_folds,
+       round(sum(CASE WHEN chunks > 1 THEN pool ELSE 0 END) * 1e0 / sum(pool), 6) AS share FROM spread"""
+
+
+@query("leakage_duplicate_crossing_lineitem", "WITH " + LINEITEM_CROSSING_SQL)
 def leakage_duplicate_crossing_lineitem(spark, sf):
     spec = TaskSpec("l_returnflag", "multiclass", ("l_quantity", "l_discount", "l_tax"), ("A", "N", "R"))
     protocol = Protocol("stratified_k_fold", holdout="stratified")
     a = fd.assign(lineitem_rows(spark, sf), spec, protocol, keep=(*spec.features, spec.target))
-    return lk.duplicate_crossing(a, spec, protocol).withColumn("affected_folds", F.size("affected_folds"))
+    return lk.duplicate_crossing(a, spec, protocol).withColumns({"affected_folds": F.size("affected_folds"), "share": F.round("share", 6)})
 
 
 @query("leakage_group_crossing", "WITH " + KFOLD_SQL + """
@@ -303,7 +317,12 @@ def readiness_status(spark, sf):
     return rd.status(rd.assess(o, CLASS_SPEC, K5, leaks)).select("status")
 
 
-@query("readiness_finding_order")
+@query("readiness_finding_order", "WITH " + _any_crossing(KFOLD_SQL, REPORT_KEY) + """
+SELECT 'target_copy_among_features' AS code, 'high_risk' AS severity, 'structural' AS evidence_level, true AS blocking UNION ALL
+SELECT 'duplicate_rows_cross_folds', 'high_risk', 'structural', share >= 5e-2 FROM crossed WHERE hit UNION ALL
+SELECT 'single_feature_reconstructs_target', 'high_risk', 'evidence', false UNION ALL
+SELECT 'missingness_encodes_target', 'high_risk', 'evidence', false UNION ALL
+SELECT 'post_outcome_naming', 'info', 'heuristic', false""")
 def readiness_finding_order(spark, sf):
     return lk.ordered(lk.inspect(_class_rows(spark, sf), CLASS_SPEC, K5)).select("code", "severity", "evidence_level", "blocking")
 

@@ -90,7 +90,7 @@ def scan_bad_cells(spark, sf):
 def scan_ordered_parts(spark, sf):
     root, s = scratch(spark), table(spark, sf, "supplier")
     for i in range(3):
-        s.filter(F.col("s_suppkey") % 3 == i).orderBy("s_suppkey").coalesce(1).write.parquet(f"{root}/part-{i}")
+        s.filter(F.col("s_suppkey") % 3 == i).orderBy("s_suppkey").write.parquet(f"{root}/part-{i}")
     return with_row_id(spark, [f"{root}/part-1", f"{root}/part-2", f"{root}/part-0"]).select("row_id", "s_suppkey")
 
 
@@ -109,60 +109,78 @@ def scan_union_parts(spark, sf):
 # --- package ---------------------------------------------------------------------------------------------
 
 
-def write_package(spark, sf, *, defect: str = "", known: str | None = None) -> str:
-    """The customer table as a package of two parts, with one planted defect.
-
-    ``known`` is the content fingerprint when an earlier package of the same rows has measured it.
-    """
+def package_parts(spark, sf, *, defect: str = "") -> tuple[str, dict]:
+    """The customer table as two ordered parts, and the documents that describe them truthfully."""
     folder, c = scratch(spark), table(spark, sf, "customer")
-    parts = []
     for i in range(2):
         piece = c.filter(F.col("c_custkey") % 2 == i)
         if defect == "parts_differ" and i == 1:
             piece = piece.withColumn("c_acctbal", F.col("c_acctbal").cast("string"))
         if defect == "key_repeated" and i == 1:
             piece = piece.withColumn("c_custkey", F.col("c_custkey") - 1)
-        piece.coalesce(1).write.parquet(f"{folder}/data/part-{i}")
+        # a global order by key, in as many files as it takes
+        piece.orderBy("c_custkey").write.parquet(f"{folder}/data/part-{i}")
     digests = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
         .select(F.element_at(F.split("path", folder + "/", 2), 2).alias("path"), F.sha2("content", 256).alias("h")).orderBy("path").collect()
     )
-    parts = [{"path": r["path"], "sha256": r["h"]} for r in digests]
-    files = [p["path"] for p in parts]
-    value = known or "0" * 64
-    if defect == "fingerprint":
-        value = "f" * 64
-    elif known is None and defect != "parts_differ":
-        frame = with_row_id(spark, [f"{folder}/{f}" for f in files])
-        value = content_fingerprint(frame, "row_id").first()["fingerprint"]
+    files = [r["path"] for r in digests]
+    value = "0" * 64
+    if not defect:
+        value = content_fingerprint(with_row_id(spark, [f"{folder}/{f}" for f in files]), "row_id").first()["fingerprint"]
     manifest = {
-        "format": pk.PACKAGE_FORMAT, "format_version": {"future_major": "2.0.0", "future_minor": "1.7.0"}.get(defect, "1.0.0"),
+        "format": pk.PACKAGE_FORMAT, "format_version": "1.0.0",
         "data": {
-            "files": files, "row_count": c.count() + (1 if defect == "row_count" else 0), "row_count_exact": True,
-            "row_key": ["c_custkey"], "content_fingerprint": {"algorithm": "other" if defect == "algorithm" else ALGORITHM, "value": value},
+            "files": files, "row_count": c.count(), "row_count_exact": True, "row_key": ["c_custkey"],
+            "content_fingerprint": {"algorithm": ALGORITHM, "value": value},
         },
-        "parts": parts,
+        "parts": [{"path": r["path"], "sha256": r["h"]} for r in digests],
     }
-    if defect == "corrupted":
-        parts[0]["sha256"] = "0" * 64
-    if defect == "missing":
-        files.append("data/part-9/none.parquet")
-    if defect == "duplicate":
-        parts.append(parts[0])
-    if defect == "traversal":
-        files[0] = "../outside.parquet"
-    if defect == "format":
-        manifest["format"] = "other.package"
     columns = [{"name": f.name, "position": i, "logical_type": logical_type(f.dataType)} for i, f in enumerate(c.schema)]
-    if defect == "schema":
-        columns[0]["logical_type"] = "string"
-    documents = {"manifest": manifest, "schema": {"columns": columns}, "profile": {"computed_on": {"sampled": defect == "sampled"}}}
-    for name, document in documents.items():
-        one = spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1)
-        one.write.text(f"{folder}/{name}.json")
+    return folder, {"manifest": manifest, "schema": {"columns": columns}, "profile": {"computed_on": {"sampled": False}}}
+
+
+def plant(documents: dict, defect: str) -> dict:
+    """The documents with one defect."""
+    documents = json.loads(json.dumps(documents))
+    manifest = documents["manifest"]
+    data = manifest["data"]
+    if defect == "future_major":
+        manifest["format_version"] = "2.0.0"
+    elif defect == "future_minor":
+        manifest["format_version"] = "1.7.0"
+    elif defect == "sampled":
+        documents["profile"]["computed_on"]["sampled"] = True
+    elif defect == "corrupted":
+        manifest["parts"][0]["sha256"] = "0" * 64
+    elif defect == "missing":
+        data["files"].append("data/part-9/none.parquet")
+    elif defect == "duplicate":
+        manifest["parts"].append(manifest["parts"][0])
+    elif defect == "traversal":
+        data["files"][0] = "../outside.parquet"
+    elif defect == "format":
+        manifest["format"] = "other.package"
+    elif defect == "schema":
+        documents["schema"]["columns"][0]["logical_type"] = "string"
+    elif defect == "row_count":
+        data["row_count"] += 1
+    elif defect == "algorithm":
+        data["content_fingerprint"]["algorithm"] = "other"
+    elif defect == "fingerprint":
+        data["content_fingerprint"]["value"] = "f" * 64
+    return documents
+
+
+def write_package(spark, sf, *, defect: str = "") -> str:
+    """A package folder with its documents as files."""
+    folder, documents = package_parts(spark, sf, defect=defect if defect in OWN_PARTS else "")
+    for name, document in plant(documents, defect).items():
+        spark.createDataFrame([(json.dumps(document),)], "value string").coalesce(1).write.text(f"{folder}/{name}.json")
     return folder
 
 
+OWN_PARTS = ("parts_differ", "key_repeated")
 DEFECTS = {
     "": None, "future_minor": None, "sampled": None, "future_major": "package_version_unsupported",
     "corrupted": "package_integrity_failed", "missing": "package_part_missing", "duplicate": "package_duplicate_entry",
@@ -177,10 +195,11 @@ DEFECTS = {
     " UNION ALL ".join(f"SELECT '{k}' AS defect, {repr(v) if v else 'NULL'} AS code" for k, v in DEFECTS.items()),
 )
 def package_acceptance(spark, sf):
-    intact = pk.read_package(spark, write_package(spark, sf))
-    known = intact.manifest["data"]["content_fingerprint"]["value"]
-    rows = [("", intact.code)]
-    rows += [(k, pk.read_package(spark, write_package(spark, sf, defect=k, known=known)).code) for k in DEFECTS if k]
+    folder, documents = package_parts(spark, sf)
+    rows = []
+    for defect in DEFECTS:
+        where, told = package_parts(spark, sf, defect=defect) if defect in OWN_PARTS else (folder, plant(documents, defect))
+        rows.append((defect, pk.accept(spark, where, told["manifest"], told["schema"], told["profile"]).code))
     return spark.createDataFrame(rows, "defect string, code string")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from fairfold import fixed
@@ -572,11 +574,36 @@ def folds_rank_buckets(spark, sf):
     return value_rank(ranked, "o_totalprice", "row_id", n_rows=n, out="by_value", rows_per_bucket=1_000).select("row_id", "by_hash", "by_value")
 
 
-@query("fingerprint_split")
+def _tree_sql(digests: str, header: str) -> str:
+    """Three levels of runs of 65 536 row ids, then the root, over CTE ``digests(i, h)``."""
+    levels = digests
+    for k in range(3):
+        levels += f""",
+level{k + 1} AS (SELECT i // 65536 AS i, sha256(string_agg(i || '=' || h, chr(10) ORDER BY i)) AS h FROM level{k} GROUP BY i // 65536)"""
+    return levels + f""" SELECT 'row-tree-sha256-v1' AS algorithm, sha256('{header}' || chr(10) || string_agg(h, chr(10) ORDER BY i)) AS fingerprint FROM level3"""
+
+
+@query("fingerprint_split", "WITH " + _tree_sql(
+    FORWARD_SQL + ", level0 AS (SELECT row_id AS i, sha256(row_id || '|' || part || '|' || coalesce(CAST(chunk AS VARCHAR), '-')) AS h FROM assigned)",
+    '["forward_chaining", 5, true]'))
 def fingerprint_split(spark, sf):
     return split_fingerprint(fd.assign(d.orders_task(spark, sf), SIMPLE, FORWARD), FORWARD)
 
 
-@query("fingerprint_content")
+LINEITEM_TYPES = {
+    "l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_linenumber": "integer", "l_quantity": "float",
+    "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_returnflag": "string", "l_linestatus": "string",
+    "l_shipdate": "datetime",
+}
+
+
+def _cell_sql(name: str, kind: str) -> str:
+    text = f"CAST({f'epoch_us({name})' if kind == 'datetime' else name} AS VARCHAR)"
+    return f"strlen({text}) || ':' || {text}"
+
+
+@query("fingerprint_content", "WITH " + _tree_sql(
+    "level0 AS (SELECT row_number() OVER () - 1 AS i, sha256(" + " || ".join(_cell_sql(k, v) for k, v in LINEITEM_TYPES.items()) + ") AS h FROM lineitem)",
+    json.dumps(list(LINEITEM_TYPES.items()))))
 def fingerprint_content(spark, sf):
     return content_fingerprint(lineitem_rows(spark, sf), "row_id")

@@ -141,16 +141,29 @@ def read_package(
     spark: SparkSession, folder: str, *, package_format: str = PACKAGE_FORMAT, row_id: str = fixed.RESERVED_ROW_ID
 ) -> Package:
     """The accepted table in declared part order with its row id, or the code of the first failed check."""
-    none = spark.createDataFrame([], VIOLATION)
-    manifest: dict[str, Any] = {}
     try:
-        manifest = read_document(spark, f"{folder}/manifest.json")
+        manifest, profile, schema = (read_document(spark, f"{folder}/{n}.json") for n in ("manifest", "profile", "schema"))
+    except RefusedError as error:
+        return _refused(spark, {}, error)
+    return accept(spark, folder, manifest, schema, profile, package_format=package_format, row_id=row_id)
+
+
+def _refused(spark: SparkSession, manifest: dict[str, Any] | None, error: RefusedError) -> Package:
+    found = spark.createDataFrame([(9, error.code, str(error))], VIOLATION)
+    return Package(None, manifest or {}, error.code, found)
+
+
+def accept(
+    spark: SparkSession, folder: str, manifest: dict[str, Any] | None, schema: dict[str, Any] | None = None,
+    profile: dict[str, Any] | None = None, *, package_format: str = PACKAGE_FORMAT, row_id: str = fixed.RESERVED_ROW_ID,
+) -> Package:
+    """Check the parts below ``folder`` against their documents, cheapest checks first."""
+    try:
         warnings = check_manifest(manifest, package_format)
         broken = part_violations(spark, folder, manifest)
         first = broken.agg(F.min_by("code", "check_no")).first()[0]
         if first:
             return Package(None, manifest, first, broken, warnings)
-        profile = read_document(spark, f"{folder}/profile.json")
         if profile and (profile.get("computed_on") or {}).get("sampled"):
             warnings.append("sampled_profile")
         data = manifest["data"]
@@ -158,8 +171,7 @@ def read_package(
         if not same_schema(spark, files):
             raise RefusedError("package_parts_schema_mismatch")
         frame = with_row_id(spark, files, row_id)
-        declared = read_document(spark, f"{folder}/schema.json")
-        code = schema_violation(frame, declared["columns"] if declared else None, row_id)
+        code = schema_violation(frame, schema["columns"] if schema else None, row_id)
         if code:
             raise RefusedError(code)
         if "row_count" in data:
@@ -170,16 +182,13 @@ def read_package(
                 if data.get("row_count_exact"):
                     raise RefusedError("package_row_count_mismatch", f"{check['declared']} declared, {check['actual']} found")
                 warnings.append("row_count_differs")
-        if data.get("row_key"):
-            wrong = key_violations(frame, data["row_key"])
-            if wrong.limit(1).count():
-                raise RefusedError("package_row_key_invalid")
+        if data.get("row_key") and key_violations(frame, data["row_key"]).limit(1).count():
+            raise RefusedError("package_row_key_invalid")
         identity = data.get("content_fingerprint") or {}
         if identity.get("algorithm") != ALGORITHM:
             raise RefusedError("package_fingerprint_algorithm_unknown", str(identity.get("algorithm")))
         if content_fingerprint(frame, row_id).first()["fingerprint"] != identity.get("value"):
             raise RefusedError("package_fingerprint_mismatch")
-        return Package(frame, manifest, None, none, warnings)
+        return Package(frame, manifest, None, spark.createDataFrame([], VIOLATION), warnings)
     except RefusedError as error:
-        found = spark.createDataFrame([(9, error.code, str(error))], VIOLATION)
-        return Package(None, manifest or {}, error.code, found)
+        return _refused(spark, manifest, error)
