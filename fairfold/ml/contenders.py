@@ -266,8 +266,9 @@ class KnnFitted:
                 votes = []
                 guesses = []
                 points = np.stack(pdf["__x"].to_numpy()) if len(pdf) else np.zeros((0, train.shape[1]))
-                for start in range(0, len(points), 256):
-                    block = points[start : start + 256]
+                step = max(1, 8_000_000 // len(train))  # keeps a distance block below 64 MB
+                for start in range(0, len(points), step):
+                    block = points[start : start + step]
                     distance = norms[None, :] - 2 * block @ train.T  # the query's own norm is constant
                     chosen = np.argpartition(distance, k - 1, axis=1)[:, :k]
                     near = label[chosen]

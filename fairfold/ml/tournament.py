@@ -76,7 +76,10 @@ def run(
     spark = df.sparkSession
     options = {"rows_per_bucket": rows_per_bucket} if rows_per_bucket else {}
     keep = tuple(dict.fromkeys([*spec.features, spec.target]))
-    fd.assign(df, spec, protocol, keep=keep, **options).write.mode("overwrite").parquet(f"{path}/rows/run_id={run_id}")
+    # partitioned by chunk, so the predicate of a training or validation side prunes whole folders
+    fd.assign(df, spec, protocol, keep=keep, **options).write.mode("overwrite").partitionBy("part", "chunk").parquet(
+        f"{path}/rows/run_id={run_id}"
+    )
     assigned = with_target(spark.read.parquet(f"{path}/rows/run_id={run_id}"), spec)
     if spec.target not in spec.features:
         assigned = assigned.drop(spec.target)

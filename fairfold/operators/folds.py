@@ -19,6 +19,7 @@ from fairfold.functions.ordering import seeded_hash
 from fairfold.functions.scalars import dtype_of, label_text, moment_micros
 from fairfold.operators.ranking import ROWS_PER_BUCKET, bounded_broadcast, hash_rank, value_rank
 from fairfold.operators.task import usable
+from fairfold.session import ensure_checkpoint_dir
 from fairfold.spec import Protocol, RefusedError, TaskSpec
 
 HOT_SHARE = 1_000  # a group above 1/1000 of all rows is hot; there can be at most 1000 of them
@@ -159,6 +160,9 @@ def group_plan(
         )
     else:
         groups = rows.groupBy(g.alias("g")).agg(F.count(F.lit(1)).alias("n")).withColumn("c", F.lit(""))
+    # one slim row per entity, ranked twice below: worth one scan of the table instead of several
+    ensure_checkpoint_dir(rows.sparkSession)
+    groups = groups.checkpoint()
     facts = groups.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rows")).first()
     n_groups, n_rows = facts["groups"], facts["rows"] or 0
     if n_rows < protocol.n_splits + 1:

@@ -131,13 +131,24 @@ def _protocol(df: DataFrame, spec: TaskSpec, protocol: Protocol, rows: int, stat
     return found
 
 
-def assess(df: DataFrame, spec: TaskSpec, protocol: Protocol, leakage: DataFrame | None = None) -> DataFrame:
-    """All readiness findings; leakage signals join in under ``leakage.<code>`` with their severity."""
+def assess(
+    df: DataFrame, spec: TaskSpec, protocol: Protocol, leakage: DataFrame | None = None, *,
+    stats: dict[str, ColumnStats] | None = None,
+) -> DataFrame:
+    """All readiness findings; leakage signals join in under ``leakage.<code>`` with their severity.
+
+    ``stats`` of the features and the target spare an aggregation when the caller has them already.
+    """
     y = F.col(spec.target)
-    extra = {"lost": F.count_if(y.isNull())}
-    if not spec.is_classification:
-        extra |= {"ym": F.avg(y.cast("double")), "ys": F.stddev_samp(y.cast("double"))}
-    rows, stats, more = column_stats(df, spec.features, extra=extra)
+    if stats is None:
+        extra = {"lost": F.count_if(y.isNull())}
+        if not spec.is_classification:
+            extra |= {"ym": F.avg(y.cast("double")), "ys": F.stddev_samp(y.cast("double"))}
+        rows, stats, more = column_stats(df, spec.features, extra=extra)
+    else:
+        goal = stats[spec.target]
+        rows, more = goal.rows, {"lost": goal.missing, "ym": goal.mean, "ys": goal.std}
+        stats = {c: stats[c] for c in spec.features}
     c = context_values(rows, more["lost"], stats, protocol)
     found = _size(c)
     found += _target(df, spec, protocol, c, (more.get("ym"), more.get("ys")))

@@ -220,12 +220,18 @@ def propose_task(
     row_id: str,
     row_key: tuple[str, ...] = (),
     identifier_hints: tuple[str, ...] = (),
+    stats: dict[str, ColumnStats] | None = None,
 ) -> TaskProposal:
-    """Task type, features, exclusions and structural candidates for a target column."""
+    """Task type, features, exclusions and structural candidates for a target column.
+
+    ``stats`` of all columns spare the aggregation when the caller has them already.
+    """
     if target not in df.columns:
         raise RefusedError("unknown_column", target)
     columns = [c for c in df.columns if c != row_id]
-    rows, stats, _ = column_stats(df, columns)
+    if stats is None:
+        _, stats, _ = column_stats(df, columns)
+    rows = stats[target].rows
     goal = stats[target]
     task, refusal = target_verdict(goal)
     if refusal:

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairfold.operators import folds, leakage, protocol, readiness, task
+from fairfold.operators import folds, leakage, profile, protocol, readiness, task
 from fairfold.session import ensure_checkpoint_dir
-from fairfold.spec import Protocol, TaskSpec
+from fairfold.spec import Protocol, RefusedError, TaskSpec
 
 
 @dataclass(frozen=True)
@@ -40,13 +40,21 @@ def analyze_task(
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    proposal = task.propose_task(df, target, row_id=row_id)
+    if target not in df.columns:
+        raise RefusedError("unknown_column", target)
+    # the one pass with distinct counts; everything below reads these numbers
+    _, stats, _ = profile.column_stats(df, [c for c in df.columns if c != row_id])
+    proposal = task.propose_task(df, target, row_id=row_id, stats=stats)
     spec = TaskSpec(
         target, proposal.task_type, proposal.features, proposal.labels, positive or proposal.positive, group, time, row_id
     )
-    chosen = protocol.recommend(df, spec, n_splits=n_splits, holdout_size=holdout_size, seed=seed)
+    # with a partly unknown target the rule needs the numbers of the usable rows instead
+    known = None if stats[target].missing else (stats[target].rows, stats)
+    chosen = protocol.recommend(
+        df, spec, n_splits=n_splits, holdout_size=holdout_size, seed=seed, feature_stats=known
+    )
     keep = tuple(dict.fromkeys([*spec.features, target, *(c for c in (group, time) if c)]))
     assigned = folds.assign(df, spec, chosen, keep=keep).checkpoint()
     leaks = leakage.inspect(assigned, spec, chosen).checkpoint()  # a few rows, read by three reports
-    ready = readiness.assess(df, spec, chosen, leaks)
+    ready = readiness.assess(df, spec, chosen, leaks, stats=stats)
     return Analysis(spec, chosen, assigned, leaks, ready)
