@@ -85,16 +85,21 @@ def _regression(predictions: DataFrame) -> DataFrame:
     return _melt(wide, fixed.METRICS_BY_TASK["regression"])
 
 
-def normalised_probabilities(predictions: DataFrame) -> DataFrame:
-    """Adds ``q`` (probabilities as doubles divided by their sum) and ``mass`` (the sum)."""
-    doubles = F.transform("proba", lambda p: p.cast("double"))
-    return (
-        predictions.withColumn("q", doubles)
-        .withColumn("mass", F.aggregate("q", F.lit(0.0), lambda a, b: a + b))
-        .withColumn(
-            "q", F.when(F.col("mass") > 0, F.transform("q", lambda p: p / F.col("mass"))).otherwise(F.col("q"))
-        )
-    )
+def probability_mass(proba: Column, classes: int) -> Column:
+    """Sum of the class probabilities as a double; short arrays are summed without a loop."""
+    if classes > 16:
+        return F.aggregate(proba, F.lit(0.0), lambda a, p: a + p.cast("double"))
+    return sum((F.get(proba, F.lit(i)).cast("double") for i in range(1, classes)), F.get(proba, F.lit(0)).cast("double"))
+
+
+def with_mass(predictions: DataFrame, classes: int) -> DataFrame:
+    return predictions.withColumn("mass", probability_mass(F.col("proba"), classes))
+
+
+def share_of(position: Column) -> Column:
+    """Probability at a position divided by the mass, as a double."""
+    p = F.get("proba", position).cast("double")
+    return F.when(F.col("mass") > 0, p / F.col("mass")).otherwise(p)
 
 
 def _classification(predictions: DataFrame, spec: TaskSpec) -> DataFrame:
@@ -102,14 +107,14 @@ def _classification(predictions: DataFrame, spec: TaskSpec) -> DataFrame:
     k = len(spec.labels)
     positive = spec.metric_positive
     binary = spec.task_type == "binary"
-    rows = normalised_probabilities(predictions.select(*PART, "y_true", "y_pred", "proba"))
+    rows = with_mass(predictions.select(*PART, "y_true", "y_pred", "proba"), k)
     unusable = F.col("proba").isNull() | (F.size("proba") != k)
-    p_true = F.get("q", (F.array_position(labels, F.col("y_true")) - 1).cast("int"))
+    p_true = share_of((F.array_position(labels, F.col("y_true")) - 1).cast("int"))
     clipped = F.greatest(
         F.least(p_true, F.lit(1 - fixed.LOG_LOSS_EPSILON)), F.lit(fixed.LOG_LOSS_EPSILON)
     )
     position = spec.labels.index(positive) if positive in spec.labels else 1
-    p_positive = F.get("q", F.lit(position))
+    p_positive = share_of(F.lit(position))
     hit = (F.col("y_true") == F.lit(positive)).cast("double")
 
     cells = rows.groupBy(*PART, "y_true", "y_pred").agg(

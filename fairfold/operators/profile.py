@@ -1,6 +1,6 @@
 """Dataset profile: a fixed number of Spark jobs whatever the number of columns.
 
-Job 1 is one wide aggregation (counts, exact distinct counts, moments).  Value counts are taken only
+Counts and moments are one wide aggregation, exact distinct counts another.  Value counts are taken only
 for the columns that can need them, and quartiles come from exact order statistics by narrowing.
 """
 
@@ -74,30 +74,32 @@ class ColumnStats:
 def column_stats(
     df: DataFrame, columns: list[str] | tuple[str, ...], *, exact: bool = True, extra: dict[str, Column] | None = None
 ) -> tuple[int, dict[str, ColumnStats], dict]:
-    """One aggregation over the table for all columns together.
+    """Two aggregations over the table for all columns together: moments, then distinct counts.
 
     ``exact=False`` swaps the distinct counts for HyperLogLog estimates, which removes the only shuffle.
     """
-    measures = [F.count(F.lit(1)).alias("rows")]
+    plain = [F.count(F.lit(1)).alias("rows")]
+    distinct = []
     for i, name in enumerate(columns):
         c = F.col(f"`{name}`")
-        measures.append(F.count_if(c.isNull()).alias(f"m{i}"))
-        distinct = (
-            F.count_distinct(F.struct(c))
-            if exact
-            else F.approx_count_distinct(c) + F.max(c.isNull().cast("int"))
-        )
-        measures.append(distinct.alias(f"u{i}"))
+        plain.append(F.count_if(c.isNull()).alias(f"m{i}"))
+        if exact:
+            distinct.append(F.count_distinct(F.struct(c)).alias(f"u{i}"))
+        else:
+            plain.append((F.approx_count_distinct(c) + F.max(c.isNull().cast("int"))).alias(f"u{i}"))
         if logical_type(dtype_of(df, name)) in ("integer", "float", "decimal"):
             number = c.cast("double")
             exact_type = c.cast("long") if isinstance(dtype_of(df, name), INTEGRAL) else number
-            measures += [
+            plain += [
                 F.min(exact_type).alias(f"lo{i}"), F.max(exact_type).alias(f"hi{i}"),
                 F.avg(number).alias(f"av{i}"), F.stddev_samp(number).alias(f"sd{i}"),
             ]
     for key, expression in (extra or {}).items():
-        measures.append(expression.alias(key))
-    row = df.agg(*measures).first().asDict()
+        plain.append(expression.alias(key))
+    row = df.agg(*plain).first().asDict()
+    if distinct:
+        # distinct counts expand every row once per column, so nothing else rides along in that job
+        row |= df.agg(*distinct).first().asDict()
     stats = {
         name: ColumnStats(
             name, dtype_of(df, name), row["rows"], row[f"m{i}"], row[f"u{i}"],

@@ -227,7 +227,8 @@ def exact_order_statistics(
             ]
         )
         values = (
-            df.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"))
+            df.select(F.explode(cells).alias("x"))
+            .filter("x is not null")
             .groupBy("x.g", (F.col("x.v") + F.lit(0.0)).alias("v"))
             .agg(F.count(F.lit(1)).alias("n"))
         )

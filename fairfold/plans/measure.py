@@ -408,8 +408,8 @@ SELECT contender_key, fold, round(score, 6) AS score, CAST(cpos AS BIGINT) AS tr
 )
 def roc_curve_points(spark, sf):
     p = pr.of_split(d.binary_predictions(spark, sf), fixed.SPLIT_HOLDOUT)
-    rows = mt.normalised_probabilities(p).filter("proba is not null")
-    scores = rows.select("contender_key", "fold", F.get("q", F.lit(1)).alias("score"), (F.col("y_true") == "yes").alias("hit"))
+    rows = mt.with_mass(p, 2).filter("proba is not null")
+    scores = rows.select("contender_key", "fold", mt.share_of(F.lit(1)).alias("score"), (F.col("y_true") == "yes").alias("hit"))
     return mt.curve_points(scores, ["contender_key", "fold"]).select(
         "contender_key", "fold", F.round("score", 6).alias("score"),
         F.col("cpos").alias("true_positives"), F.col("cneg").alias("false_positives"),
