@@ -226,10 +226,16 @@ def package_row_key(spark, sf):
     return pk.key_violations(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("package_type_gate", """SELECT 'customer' AS name, CAST(NULL AS VARCHAR) AS code UNION ALL SELECT 'events', NULL UNION ALL SELECT 'embeddings', 'package_unsupported_dtype'""")
+@query("package_type_gate", """SELECT 'customer' AS name, CAST(NULL AS VARCHAR) AS code, count(*) AS readable_rows FROM customer UNION ALL SELECT 'events', NULL, count(*) FROM events
+UNION ALL SELECT 'embeddings', 'package_unsupported_dtype', CAST(0 AS BIGINT)""")
 def package_type_gate(spark, sf):
-    rows = [(n, pk.schema_violation(table(spark, sf, n), None, "row_id")) for n in ("customer", "events", "embeddings")]
-    return spark.createDataFrame(rows, "name string, code string")
+    parts = []
+    for name in ("customer", "events", "embeddings"):
+        t = table(spark, sf, name)
+        code = pk.schema_violation(t, None, "row_id")
+        readable = t if code is None else t.limit(0)
+        parts.append(readable.agg(F.lit(name).alias("name"), F.lit(code).cast("string").alias("code"), F.count(F.lit(1)).alias("readable_rows")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- snapshots ---------------------------------------------------------------------------------------------
