@@ -178,7 +178,7 @@ def group_plan(
             stratum = F.when(F.col("c") == c, float(i) * 2.0**40).otherwise(stratum)
     pool = value_rank(
         pool.withColumn("size_order", stratum - F.col("n")), "size_order", "h", n_rows=n_groups - held,
-        tie_bucket=F.substring("h", 1, 3), rows_per_bucket=rows_per_bucket,
+        hex_tie=True, rows_per_bucket=rows_per_bucket,
     )
     plan = pool.select("g", "n", F.lit("pool").alias("part"), serpentine(F.col("rank") - 1, protocol.n_splits).alias("chunk"))
     out = groups.filter(F.col("hr") <= held).select(

@@ -79,14 +79,15 @@ def value_rank(
     *,
     n_rows: int,
     descending: bool = False,
-    tie_bucket: Column | None = None,
+    hex_tie: bool = False,
     out: str = "rank",
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    max_splits: int = MAX_SPLITS,
 ) -> DataFrame:
     """1-based rank by ``value`` (unknown first), ties by ``tie``, over the whole table.
 
-    ``value`` must be numeric; it is compared as a double.  ``tie_bucket`` is a coarsening of ``tie``
-    that keeps its order; by default ``tie`` is a dense integer id cut into runs.
+    ``value`` must be numeric; it is compared as a double.  ``tie`` is a dense integer id, or a uniform
+    hexadecimal text with ``hex_tie``; either is cut into runs where many rows share one value.
     """
     key = F.col(value).cast("double")
     key = F.nanvl(-key if descending else key, F.lit(math.inf))
@@ -95,34 +96,39 @@ def value_rank(
     if n_rows <= rows_per_bucket:
         ranked = work.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
         return ranked.drop("__v")
-    parts = min(MAX_SPLITS, math.ceil(n_rows / rows_per_bucket) * 2)
-    probabilities = [i / parts for i in range(1, parts)]
-    points = work.stat.approxQuantile("__v", probabilities, 0.25 / parts)
-    points = sorted(set(points))
-    if tie_bucket is None:
-        tie_bucket = F.floor(F.col(tie) / F.lit(rows_per_bucket)).cast("string")
-        width = 1 + n_rows // rows_per_bucket
-        tie_bucket = F.lpad(tie_bucket, 19, "0")
-    else:
-        width = 4096
-    edges = [-math.inf, *points, math.inf]
+    parts = min(max_splits, math.ceil(n_rows / rows_per_bucket) * 2)
+    # the extremes are split points too, so nothing lies outside the outer ones
+    points = work.stat.approxQuantile("__v", [i / parts for i in range(parts + 1)], 0.25 / parts)
+    edges = [-math.inf, *sorted({p for p in points if abs(p) != math.inf}), math.inf]
     if len(edges) < 3:
         edges = [-math.inf, 0.0, math.inf]
+    # beyond the affordable number of split points, an interval is subdivided evenly by value
+    finer = max(1, math.ceil(n_rows / (parts * rows_per_bucket)))
+    if hex_tie:
+        digits = 1
+        while digits < 6 and n_rows / 16**digits > rows_per_bucket:
+            digits += 1
+        run, runs = F.substring(tie, 1, digits), 16**digits
+    else:
+        run = F.lpad(F.floor(F.col(tie) / F.lit(rows_per_bucket)).cast("string"), 19, "0")
+        runs = 1 + n_rows // rows_per_bucket
     cut = Bucketizer(splits=edges, inputCol="__v", outputCol="__k", handleInvalid="keep")
-    cut_rows = cut.transform(work)
-    # unknown values must come first, in a bucket of their own
-    starts = F.array(*[F.lit(float(e)) for e in edges[:-1]])
-    single = F.col("__v").isNull() | (
-        F.col("__v") == F.element_at(starts, (F.coalesce(F.col("__k"), F.lit(0.0)) + 1).cast("int"))
-    )
-    cut_rows = (
-        cut_rows.withColumn("__b", F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(F.col("__k").cast("int")))
+    bounds = F.array(*[F.lit(float(e)) for e in edges])
+    # an unknown value has no bucket; it must come first, in a bucket of its own
+    at = F.coalesce(F.col("__k"), F.lit(0.0)).cast("int")
+    rows = cut.transform(work).withColumn("__low", F.get(bounds, at)).withColumn("__high", F.get(bounds, at + 1))
+    single = F.col("__v").isNull() | (F.col("__v") == F.col("__low"))
+    inside = F.lit("")
+    if finer > 1:
+        share = (F.col("__v") - F.col("__low")) / (F.col("__high") - F.col("__low"))
+        inside = F.lpad(F.coalesce(F.floor(share * finer), F.lit(0)).cast("string"), 12, "0")
+    rows = (
+        rows.withColumn("__b", F.when(F.col("__v").isNull(), F.lit(-1)).otherwise(at))
         .withColumn("__open", F.when(single, F.lit(0)).otherwise(F.lit(1)))
-        .withColumn("__t", F.when(single, tie_bucket).otherwise(F.lit("")))
-        .drop("__k")
+        .withColumn("__t", F.when(single, run).otherwise(inside))
+        .drop("__k", "__low", "__high")
     )
-    bound = 2 * len(edges) * width
-    ranked = _number_inside(cut_rows, [], ["__b", "__open", "__t"], order, out, bound)
+    ranked = _number_inside(rows, [], ["__b", "__open", "__t"], order, out, len(edges) * (runs + finer))
     return ranked.drop("__v", "__b", "__open", "__t")
 
 

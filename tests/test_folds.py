@@ -99,6 +99,12 @@ def test_bucketed_ranks_equal_the_plain_window(spark):
     assert got.filter("rank <> want").count() == 0 and got.count() == 2000
     plain = df.withColumn("want", F.row_number().over(Window.orderBy("h", "row_id")))
     assert hash_rank(plain, "h", "row_id", n_rows=2000, rows_per_bucket=20).filter("rank <> want").count() == 0
+    few = value_rank(df, "v", "row_id", n_rows=2000, rows_per_bucket=20, max_splits=4)
+    smooth = df.withColumn("v", (i * 37 % 1999) * 0.5)
+    fine = value_rank(smooth.withColumn("want", F.row_number().over(Window.orderBy("v", "row_id"))), "v", "row_id", n_rows=2000, rows_per_bucket=20, max_splits=4)
+    want = df.withColumn("want", F.row_number().over(Window.orderBy(F.col("v").asc_nulls_first(), "row_id")))
+    assert few.join(want.select("row_id", "want"), "row_id").filter("rank <> want").count() == 0
+    assert fine.filter("rank <> want").count() == 0 and fine.count() == 2000
     down = value_rank(df.filter("v is not null"), "v", "row_id", n_rows=2000, descending=True, rows_per_bucket=50)
     want = df.filter("v is not null").withColumn("want", F.row_number().over(Window.orderBy(F.desc("v"), "row_id")))
     assert down.join(want.select("row_id", "want"), "row_id").filter("rank <> want").count() == 0
@@ -147,3 +153,9 @@ def test_fingerprints_see_values_order_and_sides_but_not_layout(spark):
     protocol = Protocol("k_fold", 5)
     a = fd.assign(df, SPEC, protocol)
     assert split_fingerprint(a, protocol).first() != split_fingerprint(a, Protocol("forward_chaining", 5)).first()
+
+
+def test_hexadecimal_ties(spark):
+    df = numbered(spark, 1000).select((i % 3).alias("size"), seeded_hash(3, "g", i).alias("h"))
+    want = df.withColumn("want", F.row_number().over(Window.orderBy("size", "h")))
+    assert value_rank(want, "size", "h", n_rows=1000, hex_tie=True, rows_per_bucket=50).filter("rank <> want").count() == 0
