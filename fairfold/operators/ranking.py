@@ -240,18 +240,16 @@ def exact_order_statistics(
         )
         upto = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         cumulative = values.withColumn("upto", F.sum("n").over(upto))
-        picks = []
-        for i, (_, members) in enumerate(keyed):
-            for b in members:
-                target = b.rank - below[id(b)]
-                picks.append(
-                    F.min(F.when((F.col("g") == i) & (F.col("upto") > target), F.col("v"))).alias(
-                        f"p{len(picks)}"
-                    )
-                )
-        row = cumulative.agg(*picks).first()
-        for value, b in zip(row, [b for _, members in keyed for b in members], strict=True):
-            b.answer = value
+        asked = [b for _, members in keyed for b in members]
+        group_of = [i for i, (_, members) in enumerate(keyed) for _ in members]
+        targets = df.sparkSession.createDataFrame(
+            [(g, k, b.rank - below[id(b)]) for k, (g, b) in enumerate(zip(group_of, asked, strict=True))],
+            "g int, k int, target long",
+        )
+        # each wanted rank falls into exactly one run of equal values
+        hits = cumulative.join(F.broadcast(targets), "g").filter("upto > target and upto - n <= target")
+        for r in hits.select("k", "v").collect():
+            asked[r["k"]].answer = r["v"]
     answers: dict[str, dict[int, float]] = {}
     for b in brackets:
         answers.setdefault(b.column, {})[b.rank] = b.answer
