@@ -109,7 +109,7 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     ranked = stored(ranked)
     postings = index.where(F.col("term").isNotNull()).select("row", "term", "positions")
 
-    first = ranked.select("window", "size", F.col("by_rarity")[0]["term"].alias("term"), F.col("by_rarity")[0]["offset"].alias("offset"), F.col("by_rarity")[1].alias("next"))
+    first = ranked.select("window", "size", F.col("by_rarity")[0]["term"].alias("term"), F.col("by_rarity")[0]["offset"].alias("offset"), F.get("by_rarity", F.lit(1)).alias("next"))
     rarest = matching(postings, stored(first.select("term").distinct()), ["term"], "left_semi")
     starts = rarest.join(first, "term").select("row", "window", "size", "next", F.explode("positions").alias("p"), "offset").select(
         "row", "window", "size", (F.col("p") - F.col("offset")).alias("start"), F.col("next")["term"].alias("term"), F.col("next")["offset"].alias("offset")

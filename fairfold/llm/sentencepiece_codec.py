@@ -162,11 +162,11 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, pieces) -> DataFrame:
     starts = spread.select("key", "word", F.explode(F.sequence(F.lit(1), length)).alias("start"))
     spans = starts.select("key", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), length - F.col("start") + 1))).alias("size"))
     edges = spans.withColumn("piece", F.substring(F.col("word"), F.col("start"), F.col("size"))).join(F.broadcast(table), "piece", "left")
-    # a character without a piece is spelt by its bytes; until then its id is its negative code
+    # a character without a piece is spelt by its bytes; until then its id is -1 less its code
     spelt = logp[vocabulary.byte[0]]
     edges = edges.where("id is not null or size = 1").select(
         "key", "word", (F.col("start") + F.col("size") - 1).alias("end"), (F.col("start") - 1).alias("begin"),
-        F.coalesce("weight", F.octet_length("piece") * float(spelt)).alias("weight"), F.coalesce("id", -F.ascii("piece")).alias("id"),
+        F.coalesce("weight", F.octet_length("piece") * float(spelt)).alias("weight"), F.coalesce("id", -F.ascii("piece") - 1).alias("id"),
     )
     lattice = edges.groupBy("key", "word").agg(F.array_sort(F.collect_list(F.struct("end", "begin", "weight", "id"))).alias("edges"))
     start = F.struct(
@@ -212,7 +212,7 @@ def _answer(pieces):
         codes = dict(zip(encoded["word"].to_pylist(), encoded["ids"].to_pylist(), strict=True))
         for word, ids in codes.items():
             if min(ids) < 0:  # a character without a piece
-                codes[word] = [x for i in ids for x in ([i] if i >= 0 else byte[list(chr(-i).encode("utf-8", "replace"))].tolist())]
+                codes[word] = [x for i in ids for x in ([i] if i >= 0 else byte[list(chr(-i - 1).encode("utf-8", "replace"))].tolist())]
         out = []
         for key, chunk, a in zip(*(packed[n].to_pylist() for n in ("key", "chunk", "a")), strict=True):
             own = [codes[w] for w in _words_of(a)]
