@@ -140,13 +140,11 @@ NEAR_ZERO_SHARE = 0.01
 LARGEST_ERRORS = 20
 TOP_CONFUSIONS = 10
 ERROR_ROWS_DEFAULT = 50
-ERROR_ROWS_MAX = 500
 HIGH_CORRELATION = 0.8
 RESIDUAL_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 # --- importance --------------------------------------------------------------------------------
 IMPORTANCE_MIN_ROWS = 30
-IMPORTANCE_MAX_REPEATS = 20
 
 # --- preprocessing -----------------------------------------------------------------------------
 MIN_CATEGORY_FREQUENCY = 2
@@ -160,7 +158,6 @@ KNN_MAX_TRAIN_ROWS = 200_000
 # --- package intake ----------------------------------------------------------------------------
 PACKAGE_MAJOR = 1
 FINGERPRINT_CHUNK = 65_536
-PREVIEW_MAX = 200
 COMPARE_MIN_RUNS = 2
 COMPARE_MAX_RUNS = 6
 FORMATS = {
@@ -172,4 +169,3 @@ FORMATS = {
     ".ndjson": "ndjson",
 }
 DELIMITERS = (",", ";", "\t", "|")
-CSV_SCHEMA_ROWS = 10_000

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairfold.operators.ranking import bounded_broadcast
 from fairfold.session import spread
+from fairfold.spec import RefusedError
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"^\w+:/+", "/", path).rstrip("/")
 
 
 def with_row_id(spark: SparkSession, files: list[str], out: str = "row_id") -> DataFrame:
@@ -23,14 +31,15 @@ def with_row_id(spark: SparkSession, files: list[str], out: str = "row_id") -> D
         return spread(numbered)
     place = F.col("_metadata.file_path").alias("__file")
     counts = {r["__file"]: r["n"] for r in df.select(place).groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()}
-    declared = [path.split("://")[-1].rstrip("/") for path in files]
+    declared = [_plain(path) for path in files]
 
     def position(name: str) -> tuple[int, str]:
         """Index of the declared path (a file or a folder of files) and the name inside it."""
+        plain = _plain(unquote(name))
         for i, path in enumerate(declared):
-            if name.endswith(path) or f"{path}/" in name:
-                return i, name
-        return len(declared), name
+            if plain.endswith(path) or f"{path}/" in plain:
+                return i, plain
+        raise RefusedError("undeclared_part", name)
 
     offsets, before = [], 0
     for name in sorted(counts, key=position):

@@ -78,7 +78,7 @@ def scan_bad_cells(spark, sf):
     path = f"{scratch(spark)}/bad.csv"
     s = table(spark, sf, "supplier")
     s.select("s_suppkey", "s_acctbal").write.option("header", True).csv(path)
-    schema = rd.csv_schema(spark, path, ",", "UTF-8")
+    schema = rd.read_csv(spark, path).schema
     # numbers that turn into words, and extra cells at the end of a line
     line = F.when(F.col("s_suppkey") % 10 == 9, F.concat_ws(",", "s_suppkey", F.lit("n/a"))).otherwise(F.concat_ws(",", "s_suppkey", "s_acctbal", F.lit("extra")))
     s.select(line.alias("value")).write.text(f"{path}-raw")
@@ -94,7 +94,7 @@ def scan_ordered_parts(spark, sf):
     return with_row_id(spark, [f"{root}/part-1", f"{root}/part-2", f"{root}/part-0"]).select("row_id", "s_suppkey")
 
 
-@query("scan_page", "SELECT o_orderkey AS row_id, o_orderstatus FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 1200")
+@query("scan_page", "SELECT o_orderkey AS row_id, o_orderstatus FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 1500")
 def scan_page(spark, sf):
     return rd.page(d.orders_task(spark, sf), "row_id", 1000, 500).select("row_id", "o_orderstatus")
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairfold import fixed
 from fairfold.spec import RefusedError
 
-SAMPLE_LINES = 50
+BAD_LINE = "_corrupt_record"
 
 
 def format_of(path: str) -> str:
@@ -31,93 +32,136 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
         return read_csv(spark, path, **options)
     if kind == "parquet":
         return spark.read.parquet(path)
-    if kind == "ndjson":
-        return spark.read.json(path)
     return read_json(spark, path)
 
 
+def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Non-blank lines of all files below ``path`` with their file and place in it."""
+    return spark.read.option("recursiveFileLookup", "true").option("encoding", encoding).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        # the place inside one block, which one task reads in order
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i")).alias("place"),
+    ).filter(F.trim("value") != "")
+
+
+def _json_parts(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files with one object a line, and files that are one document; each file says so by its first line."""
+    first = _lines(spark, path).groupBy("file").agg(F.min_by(F.trim("value"), "place").alias("first"))
+    documents = (F.col("first").startswith("[") & ~F.col("first").endswith("]")) | (F.col("first") == "{")
+    found = first.select("file", documents.alias("document")).collect()
+    return sorted(unquote(r["file"]) for r in found if not r["document"]), sorted(unquote(r["file"]) for r in found if r["document"])
+
+
+def _json_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    schema = spark.read.option("columnNameOfCorruptRecord", BAD_LINE).json(files).schema
+    schema = T.StructType([f for f in schema if f.name != BAD_LINE] + [T.StructField(BAD_LINE, T.StringType())])
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    # a line may also hold a whole array
+    one = F.array(F.from_json("value", schema, {"columnNameOfCorruptRecord": BAD_LINE}))
+    rows = F.when(F.trim("value").startswith("["), F.from_json("value", T.ArrayType(schema))).otherwise(one)
+    return lines.select("file", "value", F.explode_outer(rows).alias("row"))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One object per line, or a JSON array of objects spread over many lines."""
-    lines = spark.read.json(path)
-    if lines.columns and "_corrupt_record" not in lines.columns:
-        return lines
-    # a file that is one document cannot be split, so each file is one task here
-    return spark.read.option("multiLine", True).json(path).drop("_corrupt_record")
+    """One object per line, or a JSON array of objects spread over many lines; decided file by file.
 
+    A line that is no JSON is no row; ``bad_json_lines`` returns these lines.
+    """
+    lines, documents = _json_parts(spark, path)
+    frames = []
+    if lines:
+        frames.append(_json_lines(spark, lines).filter(F.col("row").isNotNull() & F.col("row")[BAD_LINE].isNull()).select("row.*").drop(BAD_LINE))
+    if documents:
+        # a file that is one document cannot be split, so each file is one task here
+        frames.append(spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", BAD_LINE).json(documents).drop(BAD_LINE))
+    if not frames:
+        raise RefusedError("table_unreadable", path)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
-def sniff_dialects(spark: SparkSession, path: str) -> DataFrame:
-    """(file, delimiter) for every file below ``path``, from its first lines; default is a comma.
 
-    The delimiter that splits the lines of a file most evenly wins, then the one that splits more.
-    Only the first block of each file is looked at, and a task forwards at most 50 lines per file.
+def bad_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line`` of lines that are no JSON."""
+    lines, _ = _json_parts(spark, path)
+    if not lines:
+        return spark.createDataFrame([], "file string, line string")
+    bad = F.col("row").isNull() | F.col("row")[BAD_LINE].isNotNull()
+    return _json_lines(spark, lines).filter(bad).select("file", F.col("value").alias("line"))
+
+
+def file_facts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(file, delimiter, header, breaks) for every file below ``path``, from all its lines in one pass.
+
+    The delimiter that splits the lines of a file most evenly wins, then the one that splits more; the
+    default is a comma.  ``breaks`` says that a quoted cell goes over several lines: some line holds an
+    odd number of quotes.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", "true").text(path)
-        .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-        .filter((F.col("start") == 0) & (F.length("value") > 0))
-        .withColumn("__i", F.monotonically_increasing_id())  # order inside one block, which one task reads
-    )
-    head = (
-        lines.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("__i")))
-        .filter(F.col("place") <= SAMPLE_LINES)
-        .withColumn("plain", F.regexp_replace("value", '"[^"]*"', ""))
+    plain = F.regexp_replace("value", '"[^"]*"', "")
+    counts = [(F.length(plain) - F.length(F.replace(plain, F.lit(x)))).alias(f"n{i}") for i, x in enumerate(fixed.DELIMITERS)]
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    facts = _lines(spark, path, encoding).select("file", "value", "place", odd.alias("odd"), *counts).groupBy("file").agg(
+        F.min_by("value", "place").alias("header"), F.max("odd").alias("breaks"),
+        *[f(f"n{i}").alias(f"{n}{i}") for i in range(len(counts)) for f, n in ((F.avg, "mean"), (F.stddev_pop, "spread"))],
     )
-    counted = head.select(
-        "file", "place", F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.lit(x).alias("delimiter"), (F.length("plain") - F.length(F.replace("plain", F.lit(x)))).alias("n"))
-            for i, x in enumerate(fixed.DELIMITERS)
-        ])).alias("d"),
-    )
-    fit = counted.groupBy("file", "d.i", "d.delimiter").agg(
-        F.avg("d.n").alias("mean"), F.stddev_pop("d.n").alias("spread")
+    ranked = F.array_max(F.array(*[
+        F.struct(
+            (F.col(f"mean{i}") > 0).alias("found"), (-F.try_divide(f"spread{i}", f"mean{i}")).alias("even"), F.col(f"mean{i}").alias("mean"),
+            F.lit(-i).alias("i"), F.lit(x).alias("delimiter"),
+        )
+        for i, x in enumerate(fixed.DELIMITERS)
+    ]))
+    return facts.withColumn("b", ranked).select(
+        "file", F.when(F.col("b.found"), F.col("b.delimiter")).otherwise(",").alias("delimiter"), "header", "breaks"
     )
-    ranked = F.struct((F.col("mean") > 0).alias("found"), (-F.try_divide("spread", "mean")).alias("even"), "mean", (-F.col("i")).alias("i"))
-    best = fit.groupBy("file").agg(F.max_by(F.struct("delimiter", "mean"), ranked).alias("b"))
-    return best.select("file", F.when(F.col("b.mean") > 0, F.col("b.delimiter")).otherwise(",").alias("delimiter"))
 
 
-def csv_schema(spark: SparkSession, path: str, separator: str, encoding: str) -> T.StructType:
-    """Types from the first 10 000 rows of one file; the rest of the data is not read for this."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
-    if not files:
-        raise RefusedError("table_unreadable", path)
-    lines = spark.read.option("encoding", encoding).text(files[0]).limit(fixed.CSV_SCHEMA_ROWS + 1)
-    sample = spark.sparkContext.parallelize([r["value"] for r in lines.collect()], 1)
-    return (
-        spark.read.option("header", True).option("sep", separator).option("inferSchema", True).option("prefersDate", True)
-        .csv(sample).schema
-    )
+def sniff_dialects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, delimiter) for every file below ``path``."""
+    return file_facts(spark, path).select("file", "delimiter")
 
 
-def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header. A cell that does not fit its column's type is missing, extra cells are cut off."""
-    if separator is None:
-        return read_mixed_csv(spark, path, encoding=encoding)
-    schema = csv_schema(spark, path, separator, encoding)
-    return (
-        spark.read.schema(schema).option("header", True).option("sep", separator).option("encoding", encoding)
-        .option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").csv(path)
-    )
+def _wider(kinds: list[T.DataType]) -> T.DataType:
+    """One type that holds the cells of all groups of files; text where nothing else does."""
+    order = (T.IntegerType, T.LongType, T.DecimalType, T.DoubleType)
+    if all(k == kinds[0] for k in kinds):
+        return kinds[0]
+    if all(isinstance(k, order) for k in kinds):
+        widest = max(kinds, key=lambda k: [isinstance(k, o) for o in order].index(True))
+        return T.DoubleType() if isinstance(widest, T.DecimalType) else widest
+    return T.StringType()
 
 
-def read_mixed_csv(spark: SparkSession, path: str, *, encoding: str = "UTF-8") -> DataFrame:
-    """A folder of CSV files in several dialects as one table: one read per dialect, then a union."""
+def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """A CSV file, or a folder of them in several dialects, as one table; cells are matched by header.
+
+    Files with one delimiter and header line are read together, those with line breaks in quoted cells
+    whole.  Types come from all rows of all files: a column with a cell that is no number is text, so no
+    cell gets lost by its type.  Cells beyond the header's are cut off, missing ones are NULL.
+    """
+    groups: dict[tuple, list[str]] = {}
     # one entry per file, like the file listing the driver holds anyway
-    found: dict[str, list[str]] = {}
-    for r in sniff_dialects(spark, path).collect():
-        found.setdefault(r["delimiter"], []).append(r["file"])
-    if not found:
+    for r in file_facts(spark, path, encoding).collect():
+        groups.setdefault((separator or r["delimiter"], r["header"], r["breaks"]), []).append(unquote(r["file"]))
+    if not groups:
         raise RefusedError("table_unreadable", path)
-    frames = []
-    for separator, files in sorted(found.items()):
-        schema = csv_schema(spark, files[0], separator, encoding)
-        frames.append(
-            spark.read.schema(schema).option("header", True).option("sep", separator).option("encoding", encoding)
-            .option("mode", "PERMISSIVE").csv(files)
-        )
+    readers, kinds = [], {}
+    for (delimiter, _, breaks), files in sorted(groups.items()):
+
+        def reader(delimiter=delimiter, breaks=breaks):
+            return spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", breaks).option("mode", "PERMISSIVE")
+
+        schema = reader().option("inferSchema", True).option("prefersDate", True).csv(files).schema
+        readers.append((reader, files, schema))
+        for f in schema:
+            kinds.setdefault(f.name, []).append(f.dataType)
+    frames = [
+        reader().schema(T.StructType([T.StructField(f.name, _wider(kinds[f.name])) for f in schema])).csv(files) for reader, files, schema in readers
+    ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+read_mixed_csv = read_csv
+
+
 def same_schema(spark: SparkSession, files: list[str]) -> bool:
     """Whether all parts have the names, order and types of the first; reads footers only."""
     try:
@@ -128,7 +172,8 @@ def same_schema(spark: SparkSession, files: list[str]) -> bool:
 
 
 def page(df: DataFrame, row_id: str, offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset + limit - 1 by row id (limit at most 200): a filter, not a skip."""
-    limit = max(1, min(int(limit), fixed.PREVIEW_MAX))
-    offset = max(0, int(offset))
+    """Rows offset .. offset + limit - 1 by row id: a filter, not a skip."""
+    if int(limit) < 1 or int(offset) < 0:
+        raise RefusedError("bad_page", f"{offset}, {limit}")
+    limit, offset = int(limit), int(offset)
     return df.filter((F.col(row_id) >= offset) & (F.col(row_id) < offset + limit))

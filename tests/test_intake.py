@@ -1,7 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fairfold.functions.scalars import moment
 from fairfold.operators import history as hs
+from fairfold.operators.rowid import with_row_id
 from fairfold.plans.intake import write_package
 from fairfold.sources import package as pk
 from fairfold.sources import readers as rd
@@ -23,12 +26,39 @@ def test_formats(spark, tmp_path):
     assert rd.read_table(spark, str(tmp_path / "c.json")).count() == 3
 
 
-def test_bad_cells_and_ragged_lines(spark, tmp_path):
-    lines = ["id,x"] + [f"{k},{k * 2}" for k in range(10_050)] + ["oops,7", "5,6,7,8", "9"]
+def test_late_cells_and_ragged_lines(spark, tmp_path):
+    lines = ["id,x"] + [f"{k},{k * 2}" for k in range(10_050)] + ["oops,7.5", "5,6,7,8", "9"]
     (tmp_path / "a.csv").write_text("\n".join(lines))
     rows = rd.read_table(spark, str(tmp_path / "a.csv"))
-    assert rows.count() == 10_053 and rows.filter("id is null and x = 7").count() == 1
-    assert rows.filter("id = 9 and x is null").count() == 1
+    assert rows.count() == 10_053 and rows.filter("id = 'oops' and x = 7.5").count() == 1
+    assert rows.filter("id = '9' and x is null").count() == 1
+
+
+def test_headers_breaks_and_bad_lines(spark, tmp_path):
+    folder = tmp_path / "two words"
+    folder.mkdir()
+    (folder / "a.csv").write_text("a,b\n1,2\n")
+    (folder / "b.csv").write_text('b;a\n30;"x\ny"\n')
+    got = {(r["a"], r["b"]) for r in rd.read_csv(spark, str(folder)).collect()}
+    assert got == {("1", 2), ("x\ny", 30)}
+    (tmp_path / "c.json").write_text('{"a": 1}\n{"a": \n{"a": 2}\n{"a": 3}\n{"a": 4}\n')
+    rows = rd.read_table(spark, str(tmp_path / "c.json"))
+    assert rows.columns == ["a"] and sorted(r["a"] for r in rows.collect()) == [1, 2, 3, 4]
+    assert [r["line"] for r in rd.bad_json_lines(spark, str(tmp_path / "c.json")).collect()] == ['{"a": ']
+
+
+def test_declared_order_on_encoded_paths(spark, tmp_path):
+    parts = [str(tmp_path / f"part {i}") for i in (1, 0)]
+    for i, part in enumerate(parts):
+        spark.range(i * 10, i * 10 + 3).coalesce(1).write.parquet(part)
+    got = with_row_id(spark, parts).orderBy("row_id").collect()
+    assert [r["id"] for r in got] == [0, 1, 2, 10, 11, 12]
+
+
+def test_only_dates_are_moments(spark):
+    rows = spark.createDataFrame([("1001",), ("12:30",), ("2024-02-03",), ("2024-2-3 04:05:06",), ("x",)], "t string")
+    got = [r[0] for r in rows.select(moment("t", T.StringType()).isNotNull()).collect()]
+    assert got == [False, False, True, True, False]
 
 
 @pytest.mark.parametrize("defect,code", [("", None), ("sampled", None), ("corrupted", "package_integrity_failed"), ("fingerprint", "package_fingerprint_mismatch")])
@@ -62,3 +92,5 @@ def test_run_comparison_bounds(spark):
     assert [r["condition"] for r in hs.compare_runs(changed, ["a", "b"]).collect()] == ["seed"]
     with pytest.raises(RefusedError):
         hs.compare_runs(runs, ["a"])
+    with pytest.raises(RefusedError):
+        hs.compare_runs(runs, ["a", "nope"])
