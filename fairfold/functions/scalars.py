@@ -33,7 +33,8 @@ def moment(column: Column | str, dtype: T.DataType) -> Column:
     """A timestamp from a temporal or a string column; unparsable text is unknown, never an error."""
     column = F.col(column) if isinstance(column, str) else column
     if isinstance(dtype, T.StringType):
-        return F.try_to_timestamp(column)
+        # a year, a clock time or a code of digits is not a date; a clock time would even become today's
+        return F.when(F.trim(column).rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(column))
     if isinstance(dtype, T.TimestampNTZType) and SparkSession.active().conf.get("spark.sql.session.timeZone") != "UTC":
         # a moment without a zone is UTC, whatever zone the session shows times in
         return F.convert_timezone(F.lit("UTC"), F.current_timezone(), column).cast("timestamp")

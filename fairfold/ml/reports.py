@@ -121,7 +121,8 @@ def permutation_importance(
     n = rows.count()
     if n < fixed.IMPORTANCE_MIN_ROWS:
         raise RefusedError("holdout_too_small", f"{n} rows")
-    repeats = max(1, min(repeats, fixed.IMPORTANCE_MAX_REPEATS))
+    if repeats < 1:
+        raise RefusedError("bad_repeats", str(repeats))
     base = rows.select("row_id", "y", *spec.features)
     every = permuted(base, spec.features, repeats, seed, n).unionByName(
         base.withColumns({"feature": F.lit(""), "repeat": F.lit(-1)})

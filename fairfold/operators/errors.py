@@ -9,6 +9,8 @@ from fairfold import fixed
 from fairfold.operators.predictions import labels_literal, of_split
 from fairfold.spec import RefusedError, TaskSpec
 
+BROADCAST_ROWS = 10_000  # error rows that are shipped to the tasks; more are joined by shuffle
+
 
 def matching(
     predictions: DataFrame, spec: TaskSpec, kind: str = "all_mistakes", *, actual: str | None = None, predicted: str | None = None
@@ -37,15 +39,17 @@ def select_error_rows(
     predictions: DataFrame, snapshot: DataFrame, spec: TaskSpec, kind: str = "all_mistakes", *,
     limit: int = fixed.ERROR_ROWS_DEFAULT, actual: str | None = None, predicted: str | None = None,
 ) -> DataFrame:
-    """The first ``limit`` rows (1..500) of one contender with features, context and probabilities.
+    """The first ``limit`` rows of one contender with features, context and probabilities.
 
-    The limit comes first; only its at most 500 ids are sent to the snapshot, and what comes back is
-    as small again.
+    The limit comes first; only its ids are sent to the snapshot.
     """
-    limit = max(1, min(int(limit), fixed.ERROR_ROWS_MAX))
+    if int(limit) < 1:
+        raise RefusedError("bad_limit", str(limit))
+    limit = int(limit)
     rows, order = matching(predictions, spec, kind, actual=actual, predicted=predicted)
     top = rows.orderBy(*order).limit(limit)
-    wanted = F.broadcast(top.select("row_id"))
+    small = F.broadcast if limit <= BROADCAST_ROWS else (lambda df: df)
+    wanted = small(top.select("row_id"))
     seen = [c for c in spec.features if c in snapshot.columns]
     rest = [c for c in snapshot.columns if c not in seen and c != spec.row_id]
     found = (
@@ -53,7 +57,7 @@ def select_error_rows(
         .join(wanted, "row_id", "left_semi")
         .select("row_id", F.struct(*seen).alias("features"), F.struct(*rest).alias("context"))
     )
-    joined = top.join(F.broadcast(found), "row_id", "left")
+    joined = top.join(small(found), "row_id", "left")
     if spec.is_classification:
         rounded = F.transform("proba", lambda p: F.round(p.cast("double"), 6))
         joined = joined.withColumn(

@@ -35,6 +35,9 @@ def compare_runs(runs: DataFrame, run_ids: list[str]) -> DataFrame:
     if not fixed.COMPARE_MIN_RUNS <= len(set(run_ids)) <= fixed.COMPARE_MAX_RUNS:
         raise RefusedError("compare_needs_2_to_6_runs", str(len(run_ids)))
     picked = runs.filter(F.col("run_id").isin(*run_ids))
+    unknown = set(run_ids) - {r["run_id"] for r in picked.select("run_id").distinct().collect()}
+    if unknown:
+        raise RefusedError("unknown_run", ",".join(sorted(unknown)))
     text = lambda c: F.to_json(c) if dict(runs.dtypes)[c].startswith("array") else F.col(c).cast("string")
     values = picked.select(
         "run_id", F.explode(F.array(*[F.struct(F.lit(c).alias("condition"), text(c).alias("value")) for c in CONDITIONS])).alias("x")

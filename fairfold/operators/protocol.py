@@ -79,11 +79,11 @@ def recommend(
     if not spec.time:
         found = time_candidates(rows_df, features, spec.row_id)
         if found:
-            warnings.append("time_columns_not_used:" + ",".join(found[:3]))
+            warnings.append("time_columns_not_used:" + ",".join(found))
     if not spec.group:
         found = group_candidates(rows, features)
         if found:
-            warnings.append("group_columns_not_used:" + ",".join(found[:3]))
+            warnings.append("group_columns_not_used:" + ",".join(found))
     if rows < fixed.SMALL_DATASET_ROWS:
         warnings.append("small_dataset")
     if round(rows * holdout_size) < fixed.MIN_ROWS_FOR_INTERVALS:

@@ -210,8 +210,11 @@ def exact_order_statistics(
             elif b.rank < seen[f"b{i}"]:  # approximation missed: keep the side that holds the rank
                 b.high = low
                 inside[id(b)] = seen[f"b{i}"]
-            else:
-                b.low = high
+            else:  # the side above, without the value itself
+                above = below[id(b)] + inside[id(b)]
+                b.low = math.nextafter(high, math.inf)
+                below[id(b)] = seen[f"b{i}"] + seen[f"n{i}"]
+                inside[id(b)] = above - below[id(b)]
 
     for b in brackets:
         if b.low == b.high:

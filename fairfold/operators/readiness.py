@@ -119,11 +119,11 @@ def _protocol(df: DataFrame, spec: TaskSpec, protocol: Protocol, rows: int, stat
     if not protocol.forward and not spec.time:
         names = time_candidates(df, stats, spec.row_id)
         if names:
-            found.append(_row("time_structure_ignored", "high_risk", "protocol", {"columns": ",".join(names[:3])}, columns=names[:3]))
+            found.append(_row("time_structure_ignored", "high_risk", "protocol", {"columns": ",".join(names)}, columns=names))
     if protocol.splitter not in GROUP_AWARE and not spec.group:
         names = group_candidates(rows, stats)
         if names:
-            found.append(_row("group_structure_ignored", "high_risk", "protocol", {"columns": ",".join(names[:3])}, columns=names[:3]))
+            found.append(_row("group_structure_ignored", "high_risk", "protocol", {"columns": ",".join(names)}, columns=names))
     if c["holdout_rows"] < fixed.MIN_ROWS_FOR_INTERVALS:
         found.append(_row("holdout_too_small_for_intervals", "caution", "protocol", {"rows": c["holdout_rows"]}))
     if protocol.notes:

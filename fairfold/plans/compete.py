@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -42,14 +42,8 @@ def planted(spark, sf):
 
 
 def scratch(spark) -> str:
-    """A new folder below the cluster's shared one, or below the local temporary folder in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/fairfold-{uuid.uuid4().hex}"
-    ensure_checkpoint_dir(spark)
-    return tempfile.mkdtemp(prefix="fairfold-run-")
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fairfold-{uuid.uuid4().hex}"
 
 
 # --- preprocessing ------------------------------------------------------------------------------------

@@ -181,7 +181,7 @@ def error_rows_confident(spark, sf):
     return rows.select("row_id", "fold", "y_true", "y_pred", F.col("probabilities")["yes"].alias("p_yes"), F.col("features.o_orderstatus").alias("status"))
 
 
-@query("error_rows_false_positive", "WITH " + d.BINARY_SQL + " SELECT row_id, fold FROM bin WHERE split = 'cv' AND contender_key = 'fair' AND y_pred = 'yes' AND y_true = 'no' ORDER BY row_id LIMIT 500")
+@query("error_rows_false_positive", "WITH " + d.BINARY_SQL + " SELECT row_id, fold FROM bin WHERE split = 'cv' AND contender_key = 'fair' AND y_pred = 'yes' AND y_true = 'no' ORDER BY row_id LIMIT 10000")
 def error_rows_false_positive(spark, sf):
     p = _of(d.binary_predictions(spark, sf), "fair")
     return er.select_error_rows(p, d.orders_task(spark, sf), d.BINARY, "false_positive", limit=10_000).select("row_id", "fold")

@@ -15,10 +15,10 @@ from tests.tables import accuracy_folds, numbered, pick
 
 i = F.col("row_id")
 BINARY = TaskSpec("y", "binary", ("x",), ("no", "yes"), "yes")
-ARENA = TaskSpec("churned", "binary", ("amount", "tenure", "plan"), ("False", "True"), "True")
+CHURN = TaskSpec("churned", "binary", ("amount", "tenure", "plan"), ("False", "True"), "True")
 
 
-def arena(spark, n=300):
+def churn_rows(spark, n=300):
     amount = (i * 41) % 233
     return numbered(spark, n).select(
         "row_id", (amount * 1.0).alias("amount"), ((i % 37) * 1.0).alias("tenure"), pick(["basic", "pro", "max"]).alias("plan"), (amount > 120).alias("churned")
@@ -81,7 +81,7 @@ def finished(spark, tmp_path_factory):
         ct.REGISTRY["baseline_majority"], ct.variant("random_forest", n_estimators=10, max_depth=4), ct.variant("svm_linear", max_iter=10),
         ct.REGISTRY["ridge"], "xgboost",
     ]
-    return tm.run(arena(spark), ARENA, Protocol("stratified_k_fold", 2, "stratified", seed=7), entries, run_id="r", path=path, parallel=2)
+    return tm.run(churn_rows(spark), CHURN, Protocol("stratified_k_fold", 2, "stratified", seed=7), entries, run_id="r", path=path, parallel=2)
 
 
 def test_tournament_states_and_folds(finished):
@@ -95,18 +95,18 @@ def test_tournament_states_and_folds(finished):
 
 
 def test_signal_is_found_and_missing_probabilities_are_named(finished):
-    folds = mt.fold_metrics(finished[0], ARENA)
+    folds = mt.fold_metrics(finished[0], CHURN)
     cv = {(r["contender_key"], r["metric"]): r for r in mt.cross_validated(folds).collect()}
     assert cv[("random_forest", "roc_auc")]["value"] > 0.95 and cv[("baseline_majority", "roc_auc")]["value"] == 0.5
     assert cv[("svm_linear", "roc_auc")]["value"] is None and cv[("svm_linear", "roc_auc")]["note"] == mt.NO_PROBABILITIES
 
 
 def test_saved_model_scores_without_refit(spark, finished, tmp_path):
-    fitted, rows = finished[2]["random_forest"], arena(spark)
+    fitted, rows = finished[2]["random_forest"], churn_rows(spark)
     manifest = ar.save(fitted, str(tmp_path), run_id="r", dataset="d", protocol={}, training_rows=240, sample=rows)
     loaded, again = ar.load(spark, str(tmp_path))
     assert again["checksum"] == manifest["checksum"] and loaded.spec.labels == ("False", "True")
-    a = fitted.predict(ct.with_target(rows, ARENA)).select("row_id", F.col("proba").alias("p"))
+    a = fitted.predict(ct.with_target(rows, CHURN)).select("row_id", F.col("proba").alias("p"))
     shuffled = rows.select("plan", "row_id", "tenure", F.lit(1).alias("surplus"), "amount")
     b = ar.score(loaded, shuffled, keep=("row_id",)).select("row_id", F.col("proba").alias("q"))
     assert a.join(b, "row_id").filter("p = q").count() == 300
@@ -116,7 +116,7 @@ def test_saved_model_scores_without_refit(spark, finished, tmp_path):
 
 
 def test_tampered_model_is_not_loaded(spark, finished, tmp_path):
-    ar.save(finished[2]["baseline_majority"], str(tmp_path), run_id="r", dataset="d", protocol={}, training_rows=1, sample=arena(spark))
+    ar.save(finished[2]["baseline_majority"], str(tmp_path), run_id="r", dataset="d", protocol={}, training_rows=1, sample=churn_rows(spark))
     (tmp_path / "model" / "extra").write_text("x")
     with pytest.raises(RefusedError) as error:
         ar.load(spark, str(tmp_path))
@@ -125,19 +125,19 @@ def test_tampered_model_is_not_loaded(spark, finished, tmp_path):
 
 def test_importance_finds_the_column_that_matters(spark, finished):
     got = {r["feature"]: r for r in rp.importance_of_run(
-        finished[0].filter("contender_key = 'random_forest'"), arena(spark), finished[2]["random_forest"], ARENA, repeats=3).collect()}
+        finished[0].filter("contender_key = 'random_forest'"), churn_rows(spark), finished[2]["random_forest"], CHURN, repeats=3).collect()}
     assert got["amount"]["mean_drop"] > 0.3 and abs(got["plan"]["mean_drop"]) < 0.1
-    again = rp.importance_of_run(finished[0].filter("contender_key = 'random_forest'"), arena(spark), finished[2]["random_forest"], ARENA, repeats=3)
+    again = rp.importance_of_run(finished[0].filter("contender_key = 'random_forest'"), churn_rows(spark), finished[2]["random_forest"], CHURN, repeats=3)
     assert {r["feature"]: r["mean_drop"] for r in again.collect()} == {k: v["mean_drop"] for k, v in got.items()}
 
 
 def test_learning_curve(spark):
-    points, skipped = rp.learning_curve(arena(spark), ARENA, Protocol("stratified_k_fold", 2, "stratified"), ct.REGISTRY["baseline_majority"], fractions=(0.05, 0.5, 1.0))
+    points, skipped = rp.learning_curve(churn_rows(spark), CHURN, Protocol("stratified_k_fold", 2, "stratified"), ct.REGISTRY["baseline_majority"], fractions=(0.05, 0.5, 1.0))
     got = {r["fraction"]: r for r in points.collect()}
     assert [got[f]["train_rows"] for f in (0.05, 0.5, 1.0)] == [20, 60, 120] and got[1.0]["mean"] == 0.5 and skipped.count() == 0
     assert rp.curve_verdict(points, "roc_auc").first()["verdict"] == "plateau"
     with pytest.raises(RefusedError):
-        rp.learning_curve(arena(spark), ARENA, Protocol("stratified_k_fold", 11), ct.REGISTRY["baseline_majority"])
+        rp.learning_curve(churn_rows(spark), CHURN, Protocol("stratified_k_fold", 11), ct.REGISTRY["baseline_majority"])
 
 
 @pytest.mark.parametrize("means,spreads,verdict", [
