@@ -42,13 +42,18 @@ def load(model_file: str = MODEL) -> Vocabulary:
     return Vocabulary(text, np.array([model.get_score(i) for i in range(size)]), hashes, byte, model.unk_id())
 
 
-def prior(vocabulary: Vocabulary) -> np.ndarray:
-    """Log weights from the vocabulary's own scores: a piece weighs the less the later its rank by score."""
+def ranks(vocabulary: Vocabulary) -> tuple[np.ndarray, float]:
+    """Rank of each piece by its score, and the logarithm of all weights 1 / (rank + 10)."""
     order = np.argsort(-vocabulary.score, kind="stable")
     rank = np.empty(len(order))
     rank[order] = np.arange(len(order))
-    weight = 1.0 / (rank + 10.0)
-    return np.log(weight / weight.sum())
+    return rank, float(np.log((1.0 / (rank + 10.0)).sum()))
+
+
+def prior(vocabulary: Vocabulary) -> np.ndarray:
+    """Log weights from the vocabulary's own scores: a piece weighs the less the later its rank by score."""
+    rank, log_total = ranks(vocabulary)
+    return -np.log(rank + 10.0) - log_total
 
 
 def decoded(text: list[str], byte_of: dict[int, int], ids: list[int]) -> str:

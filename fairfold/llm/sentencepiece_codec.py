@@ -12,10 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairfold.llm.pieces import MODEL, SPACE, Vocabulary, decoded, lattices, load, prior
+from fairfold.llm.pieces import MODEL, SPACE, Vocabulary, decoded, lattices, load, ranks
 from fairfold.llm.text import plain_text, rows_of, shuffle_partitions, stored
 
 CHUNK = 4_000_000  # words a task packs at a time
+UNSPELT = 1 << 23  # marks the code of a character without a piece
 LONG_WORD = 100  # characters; longer words are folded outside the expression, whose states grow with the word
 
 _PACKED = "key long, chunk long, a binary, b binary, c binary"
@@ -120,7 +121,8 @@ def _distinct(table: pa.Table) -> pa.Table:
 
 def piece_weights(vocabulary: Vocabulary) -> np.ndarray:
     """Log weights by the rank of the vocabulary's scores; bytes, which have none, weigh least."""
-    out = prior(vocabulary)
+    rank, log_total = ranks(vocabulary)
+    out = -np.log(rank + 10.0) - log_total
     out[vocabulary.byte] = out.min()
     return out
 
@@ -153,8 +155,9 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, pieces) -> DataFrame:
     """
     spark = words.sparkSession
     logp = piece_weights(vocabulary)
+    rank, log_total = ranks(vocabulary)
     table = spark.createDataFrame(
-        [(vocabulary.text[i], i, float(logp[i])) for n in vocabulary.hashes for i in vocabulary.hashes[n][1].tolist()], "piece string, id int, weight double"
+        [(vocabulary.text[i], int(rank[i]) << 24 | i) for n in vocabulary.hashes for i in vocabulary.hashes[n][1].tolist()], "piece string, code long"
     )
     most = max(vocabulary.hashes)
     length = F.char_length("word")
@@ -162,36 +165,37 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, pieces) -> DataFrame:
     starts = spread.select("key", "word", F.explode(F.sequence(F.lit(1), length)).alias("start"))
     spans = starts.select("key", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), length - F.col("start") + 1))).alias("size"))
     edges = spans.withColumn("piece", F.substring(F.col("word"), F.col("start"), F.col("size"))).join(F.broadcast(table), "piece", "left")
-    # a character without a piece is spelt by its bytes; until then its id is -1 less its code
-    spelt = logp[vocabulary.byte[0]]
-    edges = edges.where("id is not null or size = 1").select(
-        "key", "word", (F.col("start") + F.col("size") - 1).alias("end"), (F.col("start") - 1).alias("begin"),
-        F.coalesce("weight", F.octet_length("piece") * float(spelt)).alias("weight"), F.coalesce("id", -F.ascii("piece") - 1).alias("id"),
-    )
-    lattice = edges.groupBy("key", "word").agg(F.array_sort(F.collect_list(F.struct("end", "begin", "weight", "id"))).alias("edges"))
-    start = F.struct(
-        F.array(F.lit(0.0)).alias("best"), F.array(F.struct(F.lit(0).alias("begin"), F.lit(0).alias("id"))).alias("back")
-    )
+    # an edge is one number: end, begin, rank of the piece, piece; sorted, they come in order of their ends.
+    # A character without a piece is spelt by its bytes: their number stands for the rank, its code for the piece
+    spelt = F.shiftleft(F.octet_length("piece").cast("long"), 24) + UNSPELT + F.ascii("piece")
+    begin = F.shiftleft((F.col("start") - 1).cast("long"), 42)
+    end = F.shiftleft((F.col("start") + F.col("size") - 1).cast("long"), 50)
+    edges = edges.where("code is not null or size = 1").select("key", "word", (end + begin + F.coalesce("code", spelt)).alias("edge"))
+    lattice = edges.groupBy("key", "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    low = (1 << 24) - 1
 
     def step(s, e):
-        score = F.element_at(s["best"], e["begin"] + 1) + e["weight"]
-        own = F.struct(e["begin"].alias("begin"), e["id"].alias("id"))
+        place, found = F.shiftright(e, 24).bitwiseAND((1 << 18) - 1), e.bitwiseAND(low)
+        weight = F.when(found >= UNSPELT, place * float(logp[vocabulary.byte[0]])).otherwise(-F.log(place + F.lit(10.0)) - log_total)
+        score = F.element_at(s["best"], F.shiftright(e, 42).bitwiseAND(255).cast("int") + 1) + weight
+        own = e.bitwiseAND((1 << 50) - 1)
         n = F.size(s["best"])
         added = F.struct(F.array_append(s["best"], score).alias("best"), F.array_append(s["back"], own).alias("back"))
         better = F.struct(F.array_append(F.slice(s["best"], 1, n - 1), score).alias("best"), F.array_append(F.slice(s["back"], 1, n - 1), own).alias("back"))
-        return F.when(n == e["end"], added).when(score > F.element_at(s["best"], -1), better).otherwise(s)
+        return F.when(n == F.shiftright(e, 50), added).when(score > F.element_at(s["best"], -1), better).otherwise(s)
 
-    back = F.aggregate("edges", start, step, lambda s: s["back"])
-    lattice = lattice.select("key", "word", back.alias("back"))
+    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0).cast("long")).alias("back"))
+    lattice = lattice.select("key", "word", F.aggregate("edges", start, step, lambda s: s["back"]).alias("back"))
     walked = F.aggregate(
         F.reverse("back"), F.struct(F.size("back").alias("at"), (F.size("back") - 1).alias("end"), F.array().cast("array<int>").alias("ids")),
         lambda s, b: F.when(
             (s["at"] - 1 == s["end"]) & (s["end"] > 0),
-            F.struct((s["at"] - 1).alias("at"), b["begin"].alias("end"), F.array_prepend(s["ids"], b["id"]).alias("ids")),
+            F.struct((s["at"] - 1).alias("at"), F.shiftright(b, 42).cast("int").alias("end"), F.array_prepend(s["ids"], b.bitwiseAND(low).cast("int")).alias("ids")),
         ).otherwise(F.struct((s["at"] - 1).alias("at"), s["end"].alias("end"), s["ids"].alias("ids"))),
         lambda s: s["ids"],
     )
-    short = lattice.select("key", "word", walked.alias("ids"))
+    # still unspelt: -1 less the character's code
+    short = lattice.select("key", "word", F.transform(walked, lambda i: F.when(i >= UNSPELT, UNSPELT - i - 1).otherwise(i)).alias("ids"))
     sent = spark.sparkContext.broadcast(logp)
 
     def fold(batches: Iterable[pa.RecordBatch]):
