@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fairfold.llm.pieces import MODEL, SPACE, Vocabulary, decoded, lattices, load, ranks
 from fairfold.llm.text import plain_text, rows_of, shuffle_partitions, stored
 
-CHUNK = 4_000_000  # words a task packs at a time
+CHUNK = 2_000_000  # words a task packs at a time
 UNSPELT = 1 << 23  # marks the code of a character without a piece
 LONG_WORD = 100  # characters; longer words are folded outside the expression, whose states grow with the word
 
@@ -161,7 +161,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, pieces) -> DataFrame:
     )
     most = max(vocabulary.hashes)
     length = F.char_length("word")
-    spread = words.where(length <= LONG_WORD).repartition("word")
+    spread = words.where(length <= LONG_WORD).repartition(4 * shuffle_partitions(spark), "word")
     starts = spread.select("key", "word", F.explode(F.sequence(F.lit(1), length)).alias("start"))
     spans = starts.select("key", "word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), length - F.col("start") + 1))).alias("size"))
     edges = spans.withColumn("piece", F.substring(F.col("word"), F.col("start"), F.col("size"))).join(F.broadcast(table), "piece", "left")
