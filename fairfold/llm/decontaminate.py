@@ -103,7 +103,8 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     counts = index.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
     placed = windows.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     # a window with a term that no document holds cannot occur
-    ranked = placed.join(counts, "term", "left").groupBy("window", "size").agg(
+    # a term that most windows hold is not dealt to one task: the counts, one row a term, go to the windows
+    ranked = matching(placed, stored(counts), ["term"], "left").groupBy("window", "size").agg(
         F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by_rarity"), F.count("n").alias("known")
     ).where("known = size").select("window", "size", "by_rarity")
     ranked = stored(ranked)
@@ -125,7 +126,9 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     pairs = stored(pairs.unionByName(alone))
     rest = ranked.select("window", F.explode(F.slice("by_rarity", 3, F.greatest(F.size("by_rarity") - 2, F.lit(0)))).alias("t"))
     rest = rest.select("window", F.col("t.term").alias("term"), F.col("t.offset").alias("offset"))
-    full = pairs.where("size > 2").join(rest, "window").join(postings, ["row", "term"]).where(
+    # few documents are left: only their lists are read on
+    left = stored(pairs.select("row").distinct())
+    full = pairs.where("size > 2").join(rest, "window").join(matching(postings, left, ["row"], "left_semi"), ["row", "term"]).where(
         stands(F.col("positions"), F.col("start"), F.col("offset"))
     ).groupBy("row", "start", "size", "window").agg(F.count("*").alias("n")).where("n = size - 2").drop("n")
     return full.unionByName(pairs.where("size <= 2"))
