@@ -14,30 +14,36 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating stars: first each node hands its larger neighbours to the smallest node it sees, then
     each node links its smaller neighbours to the smallest of them.  Both keep connectivity, and after
     logarithmically many rounds every component is one star.  A hub is only the skewed side of a join
-    with one row per node.
+    with one row per node.  Two rounds are one job; then one count over the nodes says whether all are stars.
     """
     one, two = F.col(a), F.col(b)
-    links = stored(
-        links.where(one != two).select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).distinct()
-    )
-    before = None
-    while True:
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        )
-        links = stored(small.select("e.*").where("u > v").distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    links = links.where(one != two).select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).distinct()
+    links = stored(links)
+    while not _all_stars(links):
+        links = stored(_round(_round(links)))
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Every larger end has one link, and is no link's smaller end."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")), F.struct(F.col("v").alias("node"), F.lit(0).alias("n")))).alias("e"))
+    nodes = ends.select("e.*").groupBy("node").agg(F.sum("n").alias("up"), F.min("n").alias("low"))
+    return nodes.where("up > 1 or up = 1 and low = 0").agg(F.count("*")).first()[0] == 0
+
+
+def _round(links: DataFrame) -> DataFrame:
+    """Larger neighbours to the smallest node in sight, then smaller neighbours to the smallest of them."""
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    large = links.join(low, "v").select("u", F.col("m").alias("v"))
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(
+        F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+    )
+    return small.select("e.*").where("u > v").distinct()
+
+
 def links_in_families(items: DataFrame, link, limit: int, pivots: int, schema: str = "a long, b long") -> DataFrame:
     """``node, component`` of items that link within their family; items are ``family, id`` and what ``link`` reads.
 
