@@ -36,7 +36,7 @@ def _round(links: DataFrame) -> DataFrame:
     """Larger neighbours to the smallest node in sight, then smaller neighbours to the smallest of them."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-    large = links.join(low, "v").select("u", F.col("m").alias("v"))
+    large = links.join(low, "v").select("u", F.col("m").alias("v")).distinct()
     low = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(low, "u").select(
         F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")

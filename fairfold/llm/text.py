@@ -15,7 +15,7 @@ from fairfold.session import ensure_checkpoint_dir
 
 SPACE = r"[\x20\x09-\x0D]"
 # lower-cases A-Z and turns every other ASCII character except digits and a-z into a space
-_ALPHANUMERIC = bytes(
+ALPHANUMERIC = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c > 0x7F else 0x20 for c in range(256)
 )
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -28,7 +28,7 @@ def space_words(text: bytes) -> list[bytes]:
 
 def alphanumeric_words(text: bytes) -> list[bytes]:
     """Lower-cased runs of digits, ASCII letters and non-ASCII characters."""
-    return text.translate(_ALPHANUMERIC).split()
+    return text.translate(ALPHANUMERIC).split()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
