@@ -13,8 +13,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating stars: first each node hands its larger neighbours to the smallest node it sees, then
     each node links its smaller neighbours to the smallest of them.  Both keep connectivity, and after
-    logarithmically many rounds every component is one star.  A hub is only the skewed side of a join
-    with one row per node.  Two rounds are one job; then one count over the nodes says whether all are stars.
+    logarithmically many rounds every component is one star.  A hub's links meet one row of its own in a
+    join; they are not split, so one task reads them.  Two rounds are one job; then one count over the nodes says whether all are stars.
     """
     one, two = F.col(a), F.col(b)
     links = links.where(one != two).select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).distinct()
