@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairfold.llm.pieces import MODEL, Vocabulary, lattices, load, prior
-from fairfold.llm.text import plain_text, rows_of, shuffle_partitions, space_words, stored
+from fairfold.llm.text import plain_text, rows_of, run_id, shuffle_partitions, space_words, stored
 
 CHUNK = 2_000_000  # words a task packs at a time
 ROUNDS = 2  # expectation-maximisation rounds for the piece weights
@@ -40,9 +40,9 @@ def _pack(buckets: int):
         parts: list[np.ndarray] = []
         classes: list[int] = []
         numbers: dict[bytes, int] = {}
-        size = 0
+        size = number = 0
 
-        def flush():
+        def flush(number):
             n = np.array([len(p) for p in parts], np.int64)
             doc = np.repeat(np.arange(len(parts), dtype=np.int64), n)
             pair = np.concatenate(parts) + doc * len(numbers)
@@ -54,7 +54,7 @@ def _pack(buckets: int):
             nulls = np.array([i is None for i in ids], bool)
             mask = zlib.compress(np.array([k if _learns(i) else NOBODY for i, k in zip(ids, classes, strict=True)], np.uint8).tobytes(), 1)
             head = nulls.tobytes() + known.tobytes() + n.tobytes()
-            chunk = xxhash.xxh64_intdigest(head + " ".join(map(str, pair[:1000].tolist())).encode()) >> 1
+            chunk = run_id(number, head)
             rows = [(-1 - chunk % buckets, chunk, head, b"", b"", b"")]
             order = np.argsort(home, kind="stable")
             within = np.empty(len(words), np.int64)
@@ -80,10 +80,11 @@ def _pack(buckets: int):
             parts.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64))
             size += len(words)
             if size >= CHUNK or len(ids) >= 60_000:
-                yield _batch(flush())
+                yield _batch(flush(number))
+                number += 1
                 size = 0
         if ids:
-            yield _batch(flush())
+            yield _batch(flush(number))
 
     return pack
 

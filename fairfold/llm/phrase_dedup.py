@@ -9,12 +9,11 @@ from collections.abc import Iterable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairfold.llm.text import (
-    matching, plain_text, rows_of, shuffle_partitions, space_words, starts_of_runs, stored, window_hashes, word_hashes,
+    matching, plain_text, rows_of, run_id, shuffle_partitions, space_words, starts_of_runs, stored, window_hashes, word_hashes,
 )
 
 WINDOW = 13
@@ -56,7 +55,7 @@ def _pack(width: int, buckets: int, shards: int):
         docs: list[tuple] = []
         size = 0
 
-        def flush():
+        def flush(number):
             docs.sort(key=lambda d: d[:2])
             pieces = [(i, s) for i, d in enumerate(docs) for s in range(0, max(1, len(d[3])), SPAN)]
             of = np.array([p[0] for p in pieces], np.int64)
@@ -80,7 +79,7 @@ def _pack(width: int, buckets: int, shards: int):
                 np.concatenate((piece[owner], piece[later])), np.concatenate((pos[owner], pos[later])),
             )
             head = zlib.compress(np.diff(ids, prepend=0).tobytes() + np.diff(rows, prepend=0).tobytes() + np.diff(base, prepend=0).tobytes(), 1)
-            chunk = xxhash.xxh64_intdigest(head) >> 1
+            chunk = run_id(number, head)
             profile = np.array([d[0] for d in docs], np.int64).tobytes() + np.array([d[1] for d in docs], np.int64).tobytes() + np.array([d[2] for d in docs], np.int64).tobytes()
             out = [(-1 - chunk % buckets, chunk, head, zlib.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in local), 1), profile, b"".join(d[4] for d in docs))]
             kept = ~later  # the first document's own repeats of a window stand or fall with it
@@ -97,7 +96,7 @@ def _pack(width: int, buckets: int, shards: int):
                 ["key", "chunk", "at", "a", "b", "c"],
             )
 
-        pieces = 0
+        pieces = number = 0
         for doc_id, row, text in rows_of(batches):
             words = space_words(text)
             whole = hashlib.sha256(b" ".join(words)).digest()
@@ -105,10 +104,11 @@ def _pack(width: int, buckets: int, shards: int):
             size += len(words)
             pieces += 1 + len(words) // SPAN
             if size >= CHUNK or pieces >= 60_000:
-                yield flush()
+                yield flush(number)
+                number += 1
                 size = pieces = 0
         if docs:
-            yield flush()
+            yield flush(number)
 
     return pack
 

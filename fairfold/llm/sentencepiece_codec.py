@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairfold.llm.pieces import MODEL, SPACE, Vocabulary, decoded, lattices, load, ranks
-from fairfold.llm.text import plain_text, rows_of, shuffle_partitions, stored
+from fairfold.llm.text import plain_text, rows_of, run_id, shuffle_partitions, stored
 
 CHUNK = 2_000_000  # words a task packs at a time
 UNSPELT = 1 << 23  # marks the code of a character without a piece
@@ -62,9 +62,9 @@ def _pack(pattern: str, buckets: int):
         marks: list[int] = []
         parts: list[np.ndarray] = []
         numbers: dict[str, int] = {}
-        size = 0
+        size = number = 0
 
-        def flush():
+        def flush(number):
             words = list(numbers)
             flat = np.concatenate(parts)
             # frequent words get small numbers
@@ -76,7 +76,7 @@ def _pack(pattern: str, buckets: int):
             nulls = np.array([i is None for i in ids], bool)
             head = nulls.tobytes() + np.array([0 if i is None else i for i in ids], np.int64).tobytes() + np.array(marks, np.uint64).tobytes() + lengths.tobytes()
             body = _planes(rank[flat])
-            chunk = xxhash.xxh64_intdigest(head + body) >> 1
+            chunk = run_id(number, head + body)
             rows = [(-1 - chunk % buckets, chunk, head, body, home.astype(np.uint16).tobytes())]
             by: dict[int, list[str]] = {}
             for i, b in zip(order.tolist(), home.tolist(), strict=True):
@@ -93,10 +93,11 @@ def _pack(pattern: str, buckets: int):
             parts.append(np.array([numbers.setdefault(w, len(numbers)) for w in split(whole)], np.int64))
             size += len(parts[-1])
             if size >= CHUNK or len(numbers) > 8_000_000:
-                yield flush()
+                yield flush(number)
+                number += 1
                 size = 0
         if ids:
-            yield flush()
+            yield flush(number)
 
     return pack
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,11 @@ def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.slice(begin, 256).to_pylist() for c in columns), strict=True)
 
 
+def run_id(number: int, content: bytes) -> int:
+    """Positive id of the ``number``-th run that a task packs: equal runs of two tasks differ, a repeated task gives the same ids."""
+    return xxhash.xxh64_intdigest(b"%d/%d/" % (TaskContext.get().partitionId(), number) + content) >> 1
+
+
 def starts_of_runs(values: np.ndarray) -> np.ndarray:
     """True where a sorted array takes a new value."""
     first = np.ones(len(values), bool)
