@@ -2,9 +2,10 @@
 
 import collections
 
+import numpy as np
 import pytest
 
-from fairfold.llm import lm_score, phrase_dedup, sentencepiece_codec
+from fairfold.llm import line_dedup, lm_score, phrase_dedup, sentencepiece_codec
 
 from . import brute
 
@@ -30,3 +31,46 @@ def test_equal_runs_of_two_tasks(spark, docs):
         sizes = collections.Counter((r["doc_id"], r["n_tokens"]) for r in scored)
         assert sizes == collections.Counter((i, len(brute.words(t)) + 1) for i, t in pairs)
         assert all(r["n_known"] <= r["n_tokens"] for r in scored)
+
+
+def edited(rng, line, edits):
+    out = bytearray(line)
+    for _ in range(edits):
+        at, kind = int(rng.integers(len(out))), rng.integers(3)
+        if kind == 0:
+            out.insert(at, int(rng.integers(97, 123)))
+        elif kind == 1:
+            del out[at]
+        else:
+            out[at] = int(rng.integers(97, 123))
+    return bytes(out)
+
+
+def test_near_lines_by_edit_similarity_alone(spark):
+    rng = np.random.default_rng(8)
+    lines = []
+    for n in range(120):
+        words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).tolist()) for _ in range(rng.integers(4, 40))]
+        line = b" ".join(words)
+        lines += [line, edited(rng, line, rng.integers(0, len(line) // 10 + 1)), b" ".join([b"q" * len(words[0]), *words[1:]])]
+    table = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(lines)], "doc_id long, text string")
+    keys = [b" ".join(line_dedup.normal_words(x)) for x in lines]
+    group = list(range(len(keys)))
+    for a in range(len(keys)):
+        for b in range(a):
+            if line_dedup.similar(keys[a], keys[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    want = {i: int(first.setdefault(g, i) != i) for i, g in enumerate(group)}
+    assert sum(want.values()) > 150
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table).collect()} == want
+
+
+def test_short_lines_share_a_segment():
+    rng = np.random.default_rng(9)
+    edits = line_dedup.most_edits(np.arange(72), 0.9).tolist()
+    for _ in range(2000):
+        a = bytes(rng.integers(97, 101, rng.integers(9, 64)).tolist())
+        b = edited(rng, a, rng.integers(1, 7))
+        if a != b and len(b) < 72 and line_dedup.similar(a, b):
+            assert line_dedup.segment_keys(a, edits) & line_dedup.segment_keys(b, edits)
