@@ -74,3 +74,11 @@ def test_short_lines_share_a_segment():
         b = edited(rng, a, rng.integers(1, 7))
         if a != b and len(b) < 72 and line_dedup.similar(a, b):
             assert line_dedup.segment_keys(a, edits) & line_dedup.segment_keys(b, edits)
+
+
+def test_lines_of_few_words(spark):
+    han = "這是一個沒有空格的很長的句子它在兩個文件裡都出現而且完全一樣"
+    texts = ["Ietzte.\n\n***\n" + han, "ietzte\n\n***\n" + han, "a b\n \n***", "A b!\n\t\n---\n" + han + "嗎"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {0: (0, texts[0]), 1: (3, ""), 2: (1, "a b\n "), 3: (2, "\t\n---")}
