@@ -32,8 +32,8 @@ def _words_udf(width: int):
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``window, terms, items``: each distinct word sequence once, with the sorted items that contain it."""
-    rows = items.where(F.col("item_id").isNotNull()).select(
+    """``window, terms, items``: each distinct word sequence once, with the sorted items that contain it; those without item_id name none."""
+    rows = items.select(
         F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     return (
@@ -137,8 +137,8 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids.
 
-    NULL and empty texts have no words and are clean; items without words or without item_id are never
-    found; equal windows of several items count for each of them; repeated documents are judged each for
+    NULL and empty texts have no words and are clean; items without words are never found; those
+    without item_id count for n_hit and contaminated, but not as items; equal windows of several items count for each of them; repeated documents are judged each for
     themselves.  Empty tables give an empty result, or clean documents.  Further columns are ignored.
     """
     spark = docs.sparkSession

@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import pytest
 
-from fairfold.llm import line_dedup, lm_score, phrase_dedup, sentencepiece_codec
+from fairfold.llm import decontaminate, line_dedup, lm_score, phrase_dedup, sentencepiece_codec
 
 from . import brute
 
@@ -82,3 +82,11 @@ def test_lines_of_few_words(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_removed"], r["kept_text"]) for r in line_dedup.dedup_lines(table).collect()}
     assert got == {0: (0, texts[0]), 1: (3, ""), 2: (1, "a b\n "), 3: (2, "\t\n---")}
+
+
+def test_items_without_id_contaminate(spark):
+    docs = spark.createDataFrame([(1, "so " + brute.long(0, 3)), (2, brute.long(20, 23)), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, brute.long(0, 3)), (None, brute.long(20, 23)), (7, brute.long(20, 23))], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["contaminated"], r["item_ids"]) for r in decontaminate.contamination(docs, items).collect()}
+    n = [len(brute.words(brute.long(a, a + 3))) for a in (0, 20)]
+    assert got == {1: (n[0], True, []), 2: (n[1], True, ["7"]), 3: (0, False, [])}
