@@ -149,8 +149,8 @@ def discriminating_terms(with_text: DataFrame, limit: int) -> set[bytes]:
     return {bytes(r["term"]) for r in chosen.select("term").collect()}
 
 
-def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, neighbours (up to 3 example doc_ids).
+def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, neighbours (up to 3 example doc_ids); with ``keyed`` also row, the hash of the text.
 
     Examples are a bounded sample (``max_examples``) of the labelled rows outside the held-out third;
     everything else covers all documents: document frequencies for the idf, and an exact search for each.
@@ -168,23 +168,24 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     def vectors(batches: Iterable[pa.RecordBatch]):
         wanted = space.value
         for batch in batches:
-            ids, keys, counts, lengths = [], [], [], []
-            for doc_id, text in rows_of([batch]):
+            ids, rows, keys, counts, lengths = [], [], [], [], []
+            for doc_id, text, row in rows_of([batch]):
                 own: dict[bytes, int] = {}
                 found, n_words = _terms(text)
                 for w in found:
                     if w in wanted:
                         own[w] = own.get(w, 0) + 1
                 ids.append(doc_id)
+                rows.append(row)
                 lengths.append(n_words)
                 keys.append(sorted(own))
                 counts.append([own[t] for t in keys[-1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int64())],
-                ["doc_id", "terms", "counts", "n_words"],
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int64()), pa.array(rows, pa.int64())],
+                ["doc_id", "terms", "counts", "n_words", "row"],
             )
 
-    sparse = stored(read.mapInArrow(vectors, "doc_id long, terms array<binary>, counts array<int>, n_words long"))
+    sparse = stored(read.withColumn("row", F.xxhash64("text")).mapInArrow(vectors, "doc_id long, terms array<binary>, counts array<int>, n_words long, row long"))
     n_docs = sparse.count()
     df = {bytes(r[0]): r[1] for r in sparse.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
     rows = matching(sparse.withColumnRenamed("doc_id", "id"), chosen, ["id"]).orderBy("id", "n_words", "terms", "counts").collect()
@@ -197,8 +198,8 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
         seen: dict[tuple, tuple[float, list[int]]] = {}
         index = Index(*parts.value)
         for batch in batches:
-            ids, got = [], []
-            for doc_id, keys, counts, n_words in rows_of([batch]):
+            ids, rows, got = [], [], []
+            for doc_id, keys, counts, n_words, row in rows_of([batch]):
                 vector = (tuple(keys), tuple(counts))
                 own = dict(zip(*vector, strict=True))
                 if vector not in seen:
@@ -207,14 +208,15 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
                     seen[vector] = index.vote(own, k)
                 vote, evidence = seen[vector]
                 ids.append(doc_id)
+                rows.append(row)
                 got.append((index.calibrated(vote, own, n_words), evidence))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))],
-                ["doc_id", "score", "neighbours"],
+                [pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array(rows, pa.int64())],
+                ["doc_id", "score", "neighbours", "row"],
             )
 
-    return sparse.mapInArrow(score, "doc_id long, score double, neighbours array<long>").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours"
+    return sparse.mapInArrow(score, "doc_id long, score double, neighbours array<long>, row long").select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours", *(["row"] if keyed else [])
     )
 
 

@@ -5,6 +5,8 @@ import collections
 import numpy as np
 import pytest
 
+import corpus_pipeline
+
 from fairfold.llm import decontaminate, line_dedup, lm_score, phrase_dedup, sentencepiece_codec
 
 from . import brute
@@ -90,3 +92,16 @@ def test_items_without_id_contaminate(spark):
     got = {r["doc_id"]: (r["n_hit"], r["contaminated"], r["item_ids"]) for r in decontaminate.contamination(docs, items).collect()}
     n = [len(brute.words(brute.long(a, a + 3))) for a in (0, 20)]
     assert got == {1: (n[0], True, []), 2: (n[1], True, ["7"]), 3: (0, False, [])}
+
+
+def test_rows_of_one_doc_id_are_decided_each(spark, tmp_path):
+    bad = "you are a zorgle and a frumptious blatherskite"
+    told = [(1000 + i, f"the house number {i} on the hill {bad if i % 3 == 0 else ''}") for i in range(300)]
+    extra = [(5000, f"so {bad}"), (5000, "the house on the hill"), (6000, brute.long(0, 3)), (6000, "bread and butter for tea"), (None, "bread"), (None, brute.long(0, 3))]
+    docs = spark.createDataFrame(told + extra, "doc_id long, text string")
+    docs.where("doc_id < 5000").selectExpr("doc_id", "cast(text like '%zorgle%' as int) toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, brute.long(0, 3))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {tuple(r) for r in corpus_pipeline.not_toxic(spark, docs, str(tmp_path)).collect()}
+    assert extra[0] not in left and extra[1] in left and extra[4] in left
+    clean = {tuple(r) for r in corpus_pipeline.not_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert clean == set(told + extra) - {extra[2], extra[5]}
