@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairfold.llm import (
-    chat_format, decontaminate, exact_dedup, license_scan, line_dedup, lm_score, ngram_join, phrase_dedup, sentencepiece_codec, toxicity,
+    chat_format, decontaminate, exact_dedup, license_scan, line_dedup, lm_score, merkle, ngram_join, packing, periodic, phrase_dedup,
+    sentencepiece_codec, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +147,86 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN of_items USING (doc_id)
 """)
 def op10(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+# crc32 of the decimal doc_id, byte by byte: the table is the polynomial's, eight steps for each value
+CRC32 = """
+table32 AS (
+  SELECT list(list_reduce(list_concat([n], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t FROM range(256) r(n)
+), crc AS (
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                                 lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT DISTINCT doc_id FROM documents), table32
+)"""
+
+
+def _leaf_sql(text: str) -> str:
+    def part(c: str) -> str:
+        return f"coalesce(strlen({c}) || ':' || {c}, '-')"
+
+    return "sha256(" + " || ".join(map(part, ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))) + ")"
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE {CRC32}, leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN h % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS changed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM documents JOIN crc USING (doc_id)
+), trees AS (
+  SELECT source, 0 AS l, list(leaf ORDER BY pos) AS a FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, l + 1, list_transform(range(0, (len(a) + 2) // 3), lambda i: sha256(array_to_string(a[3 * i + 1 : 3 * i + 3], ''))) FROM trees WHERE len(a) > 1
+), subroots AS (
+  SELECT source, a[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM trees WHERE len(a) = 1
+), tops AS (
+  SELECT 0 AS l, list(subroot ORDER BY pos) AS a FROM subroots
+  UNION ALL
+  SELECT l + 1, list_transform(range(0, (len(a) + 2) // 3), lambda i: sha256(array_to_string(a[3 * i + 1 : 3 * i + 3], ''))) FROM tops WHERE len(a) > 1
+), heights AS (SELECT source, max(l) AS height FROM trees GROUP BY source
+), steps AS (
+  SELECT t.source, CAST(NULL AS BIGINT) AS at, t.l, a FROM trees t WHERE len(a) > 1
+  UNION ALL
+  SELECT source, s.pos AS at, height + l, a FROM tops, subroots s JOIN heights USING (source) WHERE len(a) > 1
+), walk AS (
+  SELECT doc_id, leaves.source, leaves.pos AS idx, s.pos AS sub, 0 AS l, coalesce(changed, leaf) AS acc, '' AS proof
+  FROM leaves JOIN subroots s ON leaves.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT doc_id, source, i // 3, sub, l + 1, sha256(lhs || acc || rhs), proof || lhs || rhs FROM (
+    SELECT w.*, i, array_to_string(a[3 * (i // 3) + 1 : i], '') AS lhs, array_to_string(a[i + 2 : 3 * (i // 3) + 3], '') AS rhs FROM (
+      SELECT w.*, s.a, CASE WHEN s.at IS NOT NULL AND w.l = h.height THEN s.at ELSE w.idx END AS i
+      FROM walk w JOIN steps s ON s.source IS NOT DISTINCT FROM w.source AND s.l = w.l JOIN heights h ON h.source IS NOT DISTINCT FROM w.source) w)
+), ends AS (SELECT doc_id, arg_max(acc, l) AS folded_root, arg_max(proof, l) AS proof FROM walk GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroot, a[1] AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = a[1] AS verified
+FROM leaves JOIN subroots s ON leaves.source IS NOT DISTINCT FROM s.source JOIN ends USING (doc_id), tops WHERE len(a) = 1
+""")
+def op11(spark, sf_dir):
+    """Where 2 divides crc32 of the doc_id, the text is read without its line feeds when the leaf is proved."""
+    fields = [F.col(c) for c in merkle.FIELDS[:-1]]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(tampered, merkle.leaf(*fields, F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    out = merkle.manifest(table(spark, sf_dir, "documents").withColumn("changed", changed), ["changed"])
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                     merkle.folded(F.coalesce("changed", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    """Texts of which a tenth repeat a passage to their end (``periodic.repeated_tail``)."""
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.periodic_runs(docs.select("doc_id", periodic.repeated_tail(F.col("doc_id"), F.col("text")).alias("text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_sequence_packing")
+def op13(spark, sf_dir):
+    import public_tokenizers
+
+    out = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
