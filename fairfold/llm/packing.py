@@ -28,12 +28,42 @@ PIECES = "part long, length long, nth long, doc_id long, start long, doc_tokens
 _ARROW = pa.schema([
     ("part", pa.int64()), ("length", pa.int64()), ("nth", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()),
 ])
+# characters that every version of Unicode classifies alike: texts of these alone may take the faster engine
+_COMMON = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
 # a byte-level pre-tokenizer always cuts before a space that something visible follows; the lead bytes left out begin the white space beyond ASCII
 _CUT = re.compile(rb"(?= [!-~\xC3-\xE0\xE4-\xF4])")
 
 
+def _engine(path: str):
+    """The tokenizer's merges as ranks for ``tiktoken``, which gives the same ids in a third of the time; None for another kind of tokenizer.
+
+    That holds for a byte-level BPE with the usual pattern whose merges have their ids in order, as the rank of a merge is then its id.
+    """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    step = told["pre_tokenizer"] or {}
+    plain = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and told["normalizer"] is None
+    model = told["model"]
+    if not plain or model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    vocabulary = model["vocab"]
+    merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if len(vocabulary) != 256 + len(merged) or any(vocabulary[a + b] != 256 + k for k, (a, b) in enumerate(merged)):
+        return None
+    # the visible characters that stand for bytes: printable ones for themselves, the others from U+0100 on
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items()}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Ids of whole texts, piece by piece: equal pieces of a batch, and those seen before, are encoded once."""
+    """Ids of whole texts; what the faster engine may not take goes piece by piece: equal pieces of a batch, and those seen before, are encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
@@ -41,6 +71,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = _engine(path)
         self.known: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a byte-level token has a character for each byte
@@ -64,6 +95,11 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        quick = [self.fast is not None and not t.translate(None, _COMMON) and not any(s in t for s in self.special) for t in texts]
+        others = iter(self.by_pieces([t for t, q in zip(texts, quick, strict=True) if not q]))
+        return [self.fast.encode_to_numpy(t.decode(), disallowed_special=()).astype("<u4").tobytes() if q else next(others) for t, q in zip(texts, quick, strict=True)]
+
+    def by_pieces(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
         if len(known) > KNOWN:
             known.clear()

@@ -262,12 +262,16 @@ def _least(demand, capacity, cost):
     return best
 
 
-def test_encoder_equals_the_tokenizer():
+def test_encoder_equals_the_tokenizer(spark, sf):
     rng = np.random.default_rng(6)
-    marks = [*" \t\n\r\x0b\x0c\x1c\x85\xa0  　ab'sZ9.é日😀-<|", "<|endoftext|>", "  ", " a", " '"]
-    texts = ["".join(marks[i] for i in rng.integers(0, len(marks), rng.integers(0, 30))) for _ in range(5000)]
+    marks = [*" \t\n\r\x0b\x0c\x1c\x85\xa0  　ab'sZ9.é日😀-<|", "<|endoftext|>", "  ", " a", " '"]
+    common = [*" \t\n\rab'sZ9.éßñ-<|!", "  ", " a", " '", "\n\n", "'ll"]
+    texts = ["".join(m[i] for i in rng.integers(0, len(m), rng.integers(0, 30))) for m in (marks, common) for _ in range(5000)]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["x" * 20_000, "ab" * 5_000 + " " * 5_000 + "\n" * 3_000]
     tokenizer, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH)
-    for lo in range(0, 5000, 500):
-        some = texts[lo : lo + 500]
-        for t, ids in zip(some, encode([t.encode() for t in some]), strict=True):
-            assert tokenizer.encode(t, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist(), t
+    assert encode.fast is not None
+    for how in (encode, encode.by_pieces):
+        for lo in range(0, len(texts), 500):
+            some = texts[lo : lo + 500]
+            for t, ids in zip(some, how([t.encode() for t in some]), strict=True):
+                assert tokenizer.encode(t, add_special_tokens=False).ids == np.frombuffer(ids, "<u4").tolist(), t
