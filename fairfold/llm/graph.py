@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairfold.llm.text import stored
+from fairfold.llm.text import removed, stored, stored_at
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,9 +18,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     one, two = F.col(a), F.col(b)
     links = links.where(one != two).select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).distinct()
-    links = stored(links)
+    links, path = stored_at(links)
     while not _all_stars(links):
-        links = stored(_round(_round(links)))
+        before = path
+        links, path = stored_at(_round(_round(links)))
+        removed(links.sparkSession, before)
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

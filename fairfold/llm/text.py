@@ -80,10 +80,31 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut the lineage with a table below the shared checkpoint folder."""
+    return stored_at(df, compression)[0]
+
+
+def stored_at(df: DataFrame, compression: str | None = None) -> tuple[DataFrame, str]:
+    """A stored table and its path, for ``removed`` as soon as nothing reads it any more."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/fairfold-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored_at`` wrote."""
+    if "/fairfold-" not in path:
+        raise ValueError(f"not a stored table: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, made longer until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # rows of a few longs; beyond that the join shuffles both sides

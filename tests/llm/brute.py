@@ -103,8 +103,8 @@ def benchmark(docs, items):
     for i, t in items:
         w = word.findall(lower(t or ""))
         for j in range(max(1, len(w) - 9)):
-            if w and i is not None:
-                windows[tuple(w[j : j + 10])].add(str(i))
+            if w:
+                windows[tuple(w[j : j + 10])].add(i)
     out = []
     for i, t in docs:
         w = word.findall(lower(t or ""))
@@ -114,5 +114,6 @@ def benchmark(docs, items):
                 if tuple(w[j : j + n]) in windows:
                     hit |= set(range(j, j + n))
                     found |= windows[tuple(w[j : j + n])]
+        found = {str(x) for x in found if x is not None}
         out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
     return out

@@ -63,9 +63,38 @@ def test_near_lines_by_edit_similarity_alone(spark):
             if line_dedup.similar(keys[a], keys[b]):
                 group = [group[b] if g == group[a] else g for g in group]
     first = {}
-    want = {i: int(first.setdefault(g, i) != i) for i, g in enumerate(group)}
-    assert sum(want.values()) > 150
-    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table).collect()} == want
+    want = {i for i, g in enumerate(group) if first.setdefault(g, i) != i}
+    assert len(want) > 150
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(table).collect() if r["n_removed"]}
+    # short lines are found with certainty; long ones with one word changed nearly all, with edits at random places (up to 10 % of the bytes) about half
+    assert got <= want
+    assert {i for i in want if len(keys[i]) < 60} <= got
+    word, anywhere = ([i for i in want if i % 3 == k and len(keys[i]) >= 64] for k in (2, 1))
+    assert len(got.intersection(word)) >= 0.95 * len(word) and len(got.intersection(anywhere)) >= 0.4 * len(anywhere)
+
+
+def test_digits_count(spark):
+    table = spark.createDataFrame([(1, "Revenue 2019: 120\n12 34"), (2, "Revenue 2021: 987\n98 76"), (3, "REVENUE 2019 - 120")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_many_like_lines_give_few_links(spark):
+    """A key that a third of all lines share: links grow with the lines, not with their pairs."""
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 123, 6).tolist()).decode() for _ in range(60)]
+    like = [(i, " ".join([*words[:40], f"x{i}", *words[41:]])) for i in range(700)]
+    other = [(1000 + i, " ".join(bytes(rng.integers(97, 123, 6).tolist()).decode() for _ in range(30))) for i in range(300)]
+    table = spark.createDataFrame(like + other, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table).collect()}
+    assert got == {i: int(0 < i < 700) for i, _ in like + other}
+
+
+def test_clashing_names_of_columns(spark):
+    names = ["_row", "_id", "_gone", "_kept", "row", "found_lines", "Found_Lines_", "digest"]
+    table = spark.createDataFrame([(1, "the same line here"), (2, "the same line here\nown"), (None, None)], "doc_id long, text string")
+    table = table.selectExpr("doc_id", "text", *[f"'{i}' as `{n}`" for i, n in enumerate(names)])
+    out = line_dedup.replace_text(table)
+    assert out.columns == table.columns and {(r["doc_id"], r["text"]) for r in out.collect()} == {(1, "the same line here"), (2, "own"), (None, None)}
 
 
 def test_short_lines_share_a_segment():
