@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairfold.llm.text import removed, stored, stored_at
 
+FOREST = 1_000_000  # nodes that a task connects at a time
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of a link; the component is its smallest node.
@@ -17,7 +22,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     join; they are not split, so one task reads them.  Two rounds are one job; then one count over the nodes says whether all are stars.
     """
     one, two = F.col(a), F.col(b)
-    links = links.where(one != two).select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v")).distinct()
+    links = links.where(one != two).select(F.greatest(one, two).alias("u"), F.least(one, two).alias("v"))
+    links = links.mapInArrow(_forest, "u long, v long").distinct()
     links, path = stored_at(links)
     while not _all_stars(links):
         before = path
@@ -27,6 +33,31 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of what up to FOREST links of a task connect: fewer links, and shorter ways between their ends."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    def stars() -> pa.RecordBatch:
+        ends = [(x, y) for x in list(root) if (y := top(x)) != x]
+        root.clear()
+        return pa.RecordBatch.from_arrays([pa.array([e[j] for e in ends], pa.int64()) for j in (0, 1)], ["u", "v"])
+
+    for batch in batches:
+        for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True):
+            x, y = top(u), top(v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+        if len(root) > FOREST:
+            yield stars()
+    yield stars()
+
+
 def _all_stars(links: DataFrame) -> bool:
     """Every larger end has one link, and is no link's smaller end."""
     ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("n")), F.struct(F.col("v").alias("node"), F.lit(0).alias("n")))).alias("e"))

@@ -79,9 +79,9 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in near.where("contaminated").collect()} == {1}
 
 
-@pytest.mark.parametrize("limit", [500, 18])
+@pytest.mark.parametrize("limit", [8, 1])
 def test_line_dedup(spark, docs, monkeypatch, limit):
-    monkeypatch.setattr(line_dedup, "FAMILY", limit)
+    monkeypatch.setattr(line_dedup, "NEIGHBOURS", limit)
     text = "the quick brown fox jumps over the lazy dog again and again until number {} is reached by all of them in the evening"
     more = spark.createDataFrame([(100 + i, text.format(i) + "\nshort\nthe end x" + ("" if i % 2 else ".")) for i in range(40)], "doc_id long, text string")
     table = docs.select("doc_id", "text").unionByName(more)
