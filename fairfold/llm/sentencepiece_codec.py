@@ -81,7 +81,7 @@ def _pack(pattern: str, buckets: int):
             by: dict[int, list[str]] = {}
             for i, b in zip(order.tolist(), home.tolist(), strict=True):
                 by.setdefault(b, []).append(words[i])
-            rows += [(b, chunk, zlib.compress("\0".join(w.replace("\0", "\1\2") for w in own).encode(), 1), b"", b"") for b, own in by.items()]
+            rows += [(b, chunk, _packed_words(own), b"", b"") for b, own in by.items()]
             for x in (ids, marks, parts, numbers):
                 x.clear()
             return _rows(rows)
@@ -109,8 +109,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _packed_words(words: list[str]) -> bytes:
+    """Their number, their lengths in characters and themselves one behind the other: no character is needed to part them."""
+    lengths = np.array([len(w) for w in words], "<u4").tobytes()
+    return zlib.compress(len(words).to_bytes(4, "little") + lengths + "".join(words).encode(), 1)
+
+
 def _words_of(packed: bytes) -> list[str]:
-    return [w.replace("\1\2", "\0") for w in zlib.decompress(packed).decode().split("\0")]
+    held = zlib.decompress(packed)
+    n = int.from_bytes(held[:4], "little")
+    ends = np.cumsum(np.frombuffer(held, "<u4", n, 4)).tolist()
+    text = held[4 + 4 * n :].decode()
+    return [text[b:e] for b, e in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _distinct(table: pa.Table) -> pa.Table:
@@ -213,7 +223,8 @@ def _answer(pieces):
     """In one bucket: the pieces of each run's words, in the order in which the run lists them."""
 
     def answer(packed: pa.Table, encoded: pa.Table) -> pa.Table:
-        byte = Vocabulary(*pieces.value).byte
+        vocabulary = Vocabulary(*pieces.value)
+        byte, narrow = vocabulary.byte, len(vocabulary.text) <= 1 << 16
         codes = dict(zip(encoded["word"].to_pylist(), encoded["ids"].to_pylist(), strict=True))
         for word, ids in codes.items():
             if min(ids) < 0:  # a character without a piece
@@ -222,7 +233,7 @@ def _answer(pieces):
         for key, chunk, a in zip(*(packed[n].to_pylist() for n in ("key", "chunk", "a")), strict=True):
             own = [codes[w] for w in _words_of(a)]
             sizes = np.array([len(x) for x in own], np.int32).tobytes()
-            out.append((key, chunk, b"", zlib.compress(sizes, 1), zlib.compress(np.array([i for x in own for i in x], np.int32).tobytes(), 1)))
+            out.append((key, chunk, b"", zlib.compress(sizes, 1), zlib.compress(np.array([i for x in own for i in x], np.uint16 if narrow else np.int32).tobytes(), 1)))
         return pa.Table.from_batches([_rows(out)])
 
     return answer
@@ -247,7 +258,7 @@ def _assemble(pieces):
                 mine = np.flatnonzero(home == key[i])
                 sizes[mine] = own
                 starts[mine] = held + np.concatenate(([0], np.cumsum(own[:-1])))
-                flat.append(np.frombuffer(zlib.decompress(c[i]), np.int32))
+                flat.append(np.frombuffer(zlib.decompress(c[i]), np.uint16 if len(vocabulary.text) <= 1 << 16 else np.int32))
                 held += len(flat[-1])
         flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
         edges = np.concatenate(([0], np.cumsum(lengths)))

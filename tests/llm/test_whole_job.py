@@ -134,3 +134,11 @@ def test_rows_of_one_doc_id_are_decided_each(spark, tmp_path):
     assert extra[0] not in left and extra[1] in left and extra[4] in left
     clean = {tuple(r) for r in corpus_pipeline.not_contaminated(spark, docs, str(tmp_path)).collect()}
     assert clean == set(told + extra) - {extra[2], extra[5]}
+
+
+def test_control_characters_come_back(spark):
+    texts = ["a\x00b", "a\x01\x02b", "\x00\x00 \x00", "a\x01b \x02", "plain"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sentencepiece_codec.encode_texts(table)
+    assert all(r["round_trip"] for r in got.collect()) and len({tuple(r["ids"]) for r in got.collect()}) == 5
+    assert {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode_ids(got).collect()} == dict(enumerate(texts))
