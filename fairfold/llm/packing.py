@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -34,18 +36,14 @@ _COMMON = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3,
 _CUT = re.compile(rb"(?= [!-~\xC3-\xE0\xE4-\xF4])")
 
 
-def _engine(path: str):
-    """The tokenizer's merges as ranks for ``tiktoken``, which gives the same ids in a third of the time; None for another kind of tokenizer.
+def _engine(told: dict):
+    """The merges of a tokenizer's file as ranks for ``tiktoken``, which gives the same ids in a third of the time; None for another kind of tokenizer.
 
     That holds for a byte-level BPE with the usual pattern whose merges have their ids in order, as the rank of a merge is then its id.
     """
-    import json
-
     import public_tokenizers
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        told = json.load(file)
     step = told["pre_tokenizer"] or {}
     plain = step.get("type") == "ByteLevel" and step.get("use_regex") and not step.get("add_prefix_space") and told["normalizer"] is None
     model = told["model"]
@@ -66,17 +64,28 @@ class Encoder:
     """Ids of whole texts; what the faster engine may not take goes piece by piece: equal pieces of a batch, and those seen before, are encoded once."""
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.special = [t["content"].encode() for t in told["added_tokens"]]
+        self.fast = _engine(told)
+        self.known: dict[bytes, bytes] = {}
+
+    @cached_property
+    def tokenizer(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = _engine(path)
-        self.known: dict[bytes, bytes] = {}
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def bytes(self) -> np.ndarray:
+        """A byte-level token has a character for each byte."""
         vocabulary = self.tokenizer.get_vocab()
-        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a byte-level token has a character for each byte
+        out = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
-            self.bytes[i] = len(token)
+            out[i] = len(token)
+        return out
 
     def _alone(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
@@ -100,6 +109,8 @@ class Encoder:
         return [self.fast.encode_to_numpy(t.decode(), disallowed_special=()).astype("<u4").tobytes() if q else next(others) for t, q in zip(texts, quick, strict=True)]
 
     def by_pieces(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
         known = self.known
         if len(known) > KNOWN:
             known.clear()
