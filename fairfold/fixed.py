@@ -157,7 +157,6 @@ KNN_MAX_TRAIN_ROWS = 200_000
 
 # --- package intake ----------------------------------------------------------------------------
 PACKAGE_MAJOR = 1
-FINGERPRINT_CHUNK = 65_536
 COMPARE_MIN_RUNS = 2
 COMPARE_MAX_RUNS = 6
 FORMATS = {

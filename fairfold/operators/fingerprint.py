@@ -1,8 +1,9 @@
-"""Content identity as a tree of SHA-256 digests.
+"""Content identity as sums over SHA-256 digests.
 
-Every row is hashed on its own, rows are combined per run of 65 536 row ids in id order, runs are
-combined the same way, and so on: order-sensitive like a serial hash, but every group is bounded.
-The algorithm has its own id; it is not the serial column-wise digest.
+Every row is hashed together with its row id, and the digests are added up in lanes of 24 bits: which
+row stands where counts, the order in which tasks meet the rows does not, so tasks send a few sums
+instead of digests.  The algorithm has its own id; it is not the serial column-wise digest, and it tells
+tables apart that differ by accident, not ones made to collide.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairfold import fixed
 from fairfold.functions.scalars import NON_ASCII, dtype_of, logical_type, moment_micros, nfc, plain_decimal, plain_float
 from fairfold.spec import Protocol, RefusedError
 
-ALGORITHM = "row-tree-sha256-v1"
+ALGORITHM = "row-sum-sha256-v1"
+LANES, DIGITS = 10, 6  # hexadecimal digits: sums of 24 bits fit 64 for 5e11 rows
 
 
 def _foreign_text(df: DataFrame, columns: list[str]) -> set[str]:
@@ -50,47 +51,37 @@ def canonical_cell(df: DataFrame, name: str, *, ascii_only: bool = False) -> Col
     return c.cast("string")
 
 
-def row_digest(df: DataFrame, columns: list[str]) -> Column:
-    """SHA-256 over length-prefixed cells; a missing cell differs from an empty one."""
+def row_text(df: DataFrame, columns: list[str]) -> Column:
+    """Length-prefixed cells one behind the other; a missing cell differs from an empty one."""
     pieces = []
     foreign = _foreign_text(df, columns)
     for name in columns:
         text = canonical_cell(df, name, ascii_only=name not in foreign)
         pieces.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-;")))
-    return F.sha2(F.concat(*pieces), 256)
-
-
-def tree_root(rows: DataFrame, row_id: str, digest: Column, header: str, width: int = fixed.FINGERPRINT_CHUNK) -> DataFrame:
-    """One row with the root digest over (row_id, digest)."""
-    level = rows.select(F.col(row_id).cast("long").alias("i"), digest.alias("h"))
-    # three levels of 65 536 cover 2.8e14 rows; no group is larger than ``width``
-    for _ in range(3):
-        level = (
-            level.groupBy(F.floor(F.col("i") / F.lit(width)).cast("long").alias("i2"))
-            .agg(F.sort_array(F.collect_list(F.struct("i", "h"))).alias("x"))
-            .select(
-                F.col("i2").alias("i"),
-                F.sha2(F.array_join(F.transform("x", lambda s: F.concat(s["i"].cast("string"), F.lit("="), s["h"])), "\n"), 256).alias("h"),
-            )
-        )
-    root = level.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "h"))), lambda s: s["h"]), "\n").alias("x"))
-    return root.select(
-        F.lit(ALGORITHM).alias("algorithm"), F.sha2(F.concat(F.lit(header + "\n"), F.col("x")), 256).alias("fingerprint")
-    )
+    return F.concat(*pieces)
+
+
+def summed_root(rows: DataFrame, row_id: str, text: Column, header: str) -> DataFrame:
+    """One row with the root over (row_id, text): the number of rows and the sum of each lane of their digests."""
+    hashed = rows.select(F.sha2(F.concat(F.col(row_id).cast("long").cast("string"), F.lit("="), text), 256).alias("h"))
+    lanes = [F.conv(F.substring("h", k * DIGITS + 1, DIGITS), 16, 10).cast("long") for k in range(LANES)]
+    sums = hashed.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"s{k}") for k, x in enumerate(lanes)])
+    told = F.concat_ws("\n", F.lit(header), *[F.col(c).cast("string") for c in sums.columns])
+    return sums.select(F.lit(ALGORITHM).alias("algorithm"), F.sha2(told, 256).alias("fingerprint"))
 
 
 def content_fingerprint(df: DataFrame, row_id: str) -> DataFrame:
     """Identity of a table: column names, logical types, values and row order."""
     columns = [c for c in df.columns if c != row_id]
     header = json.dumps([(c, logical_type(dtype_of(df, c))) for c in columns], ensure_ascii=False)
-    return tree_root(df, row_id, row_digest(df, columns), header)
+    return summed_root(df, row_id, row_text(df, columns) if columns else F.lit(""), header)
 
 
 def split_fingerprint(assignments: DataFrame, protocol: Protocol) -> DataFrame:
     """Identity of a split, including which side each chunk trains."""
     header = json.dumps([protocol.splitter, protocol.n_splits, protocol.forward])
     text = F.concat_ws("|", F.col("row_id"), F.col("part"), F.coalesce(F.col("chunk").cast("string"), F.lit("-")))
-    return tree_root(assignments, "row_id", F.sha2(text, 256), header)
+    return summed_root(assignments, "row_id", text, header)
 
 
 def condition_fingerprint(runs: DataFrame, conditions: list[str]) -> Column:
@@ -99,4 +90,4 @@ def condition_fingerprint(runs: DataFrame, conditions: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in ordered]), {"ignoreNullFields": "false"}), 256)
 
 
-__all__ = ["ALGORITHM", "canonical_cell", "content_fingerprint", "condition_fingerprint", "row_digest", "split_fingerprint", "tree_root"]
+__all__ = ["ALGORITHM", "canonical_cell", "content_fingerprint", "condition_fingerprint", "row_text", "split_fingerprint", "summed_root"]

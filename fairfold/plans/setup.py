@@ -574,17 +574,15 @@ def folds_rank_buckets(spark, sf):
     return value_rank(ranked, "o_totalprice", "row_id", n_rows=n, out="by_value", rows_per_bucket=1_000).select("row_id", "by_hash", "by_value")
 
 
-def _tree_sql(digests: str, header: str) -> str:
-    """Three levels of runs of 65 536 row ids, then the root, over CTE ``digests(i, h)``."""
-    levels = digests
-    for k in range(3):
-        levels += f""",
-level{k + 1} AS (SELECT i // 65536 AS i, sha256(string_agg(i || '=' || h, chr(10) ORDER BY i)) AS h FROM level{k} GROUP BY i // 65536)"""
-    return levels + f""" SELECT 'row-tree-sha256-v1' AS algorithm, sha256('{header}' || chr(10) || string_agg(h, chr(10) ORDER BY i)) AS fingerprint FROM level3"""
+def _summed_sql(texts: str, header: str) -> str:
+    """The number of rows and the sums of ten lanes of 24 bits, over CTE ``texts(i, t)``."""
+    lanes = "".join(f", sum(CAST('0x' || substr(h, {6 * k + 1}, 6) AS BIGINT))" for k in range(10))
+    return texts + f""", digests AS (SELECT sha256(i || '=' || t) AS h FROM texts)
+SELECT 'row-sum-sha256-v1' AS algorithm, sha256(concat_ws(chr(10), '{header}', count(*){lanes})) AS fingerprint FROM digests"""
 
 
-@query("fingerprint_split", "WITH " + _tree_sql(
-    FORWARD_SQL + ", level0 AS (SELECT row_id AS i, sha256(row_id || '|' || part || '|' || coalesce(CAST(chunk AS VARCHAR), '-')) AS h FROM assigned)",
+@query("fingerprint_split", "WITH " + _summed_sql(
+    FORWARD_SQL + ", texts AS (SELECT row_id AS i, row_id || '|' || part || '|' || coalesce(CAST(chunk AS VARCHAR), '-') AS t FROM assigned)",
     '["forward_chaining", 5, true]'))
 def fingerprint_split(spark, sf):
     return split_fingerprint(fd.assign(d.orders_task(spark, sf), SIMPLE, FORWARD), FORWARD)
@@ -602,8 +600,8 @@ def _cell_sql(name: str, kind: str) -> str:
     return f"strlen({text}) || ':' || {text}"
 
 
-@query("fingerprint_content", "WITH " + _tree_sql(
-    "level0 AS (SELECT row_number() OVER () - 1 AS i, sha256(" + " || ".join(_cell_sql(k, v) for k, v in LINEITEM_TYPES.items()) + ") AS h FROM lineitem)",
+@query("fingerprint_content", "WITH " + _summed_sql(
+    "texts AS (SELECT row_number() OVER () - 1 AS i, " + " || ".join(_cell_sql(k, v) for k, v in LINEITEM_TYPES.items()) + " AS t FROM lineitem)",
     json.dumps(list(LINEITEM_TYPES.items()))))
 def fingerprint_content(spark, sf):
     return content_fingerprint(lineitem_rows(spark, sf), "row_id")

@@ -159,3 +159,14 @@ def test_hexadecimal_ties(spark):
     df = numbered(spark, 1000).select((i % 3).alias("size"), seeded_hash(3, "g", i).alias("h"))
     want = df.withColumn("want", F.row_number().over(Window.orderBy("size", "h")))
     assert value_rank(want, "size", "h", n_rows=1000, hex_tie=True, rows_per_bucket=50).filter("rank <> want").count() == 0
+
+
+def test_fingerprint_sends_sums(spark, sf):
+    """Tasks exchange one row of sums each, never digests."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row_id", F.monotonically_increasing_id())
+    out = content_fingerprint(df, "row_id")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange SinglePartition") == 1 and "hashpartitioning" not in final and "collect_list" not in final
+    assert content_fingerprint(df.limit(0), "row_id").first()["fingerprint"] != out.first()["fingerprint"]
