@@ -11,6 +11,7 @@ from fairfold.llm import (
     chat_format, decontaminate, exact_dedup, license_scan, line_dedup, lm_score, merkle, ngram_join, packing, periodic, phrase_dedup,
     sentencepiece_codec, toxicity,
 )
+from fairfold.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,7 +48,7 @@ def op2(spark, sf_dir):
 
 @query("op3_toxicity")
 def op3(spark, sf_dir):
-    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 @query("op4_chat_format", r"""

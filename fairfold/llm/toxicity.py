@@ -10,108 +10,123 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairfold.llm.text import alphanumeric_words, matching, rows_of, stored
+from fairfold.llm.text import alphanumeric_words, matching, rows_of, stored, word_hashes
 
 THRESHOLD = 0.7
 MAX_EXAMPLES = 20_000  # labelled rows the examples are drawn from, half of them of each label at most
-MAX_TERMS = 20_000  # terms that span the vector space
 NEIGHBOURS = 15
-MIN_GAIN = 24.0  # likelihood ratio a term needs: about one chance finding in a million terms
 BLOCK = 64  # examples per block of the index
+LONG_SHARE, LONG_BYTES = 1 / 32, 1 << 26  # terms that more of the examples hold have long lists, bounded by blocks first; what these lists take at most
 BEGINNINGS = (6, 8)  # bytes of a word's beginning that count as a term of their own
 PRIOR_WEIGHT = 0.5  # votes of the prior beside the neighbours' similarities
+EVEN, HALF_GAIN = 0.02, 20.0  # weight of a term that both labels hold alike; likelihood ratio that gives half of what is above
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def _terms(text: bytes) -> tuple[list[bytes], int]:
-    """Lower-cased words and the beginnings of longer ones (marked ``*``), and the number of words."""
+def term_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of all lower-cased words and of the beginnings of longer ones (marked ``*``)."""
     words = alphanumeric_words(text.decode("utf-8", "replace").lower().encode())
-    beginnings = [w[:n] + b"*" for n in BEGINNINGS for w in words if len(w) > n]
-    return words + beginnings, len(words)
+    return np.unique(word_hashes(words + [w[:n] + b"*" for n in BEGINNINGS for w in words if len(w) > n]), return_counts=True)
 
 
-def _evidence(vote: float, counts: dict[bytes, int], n_words: int) -> np.ndarray:
-    hits = np.log1p(sum(n for t, n in counts.items() if not t.endswith(b"*")))
-    begun = np.log1p(sum(n for t, n in counts.items() if t.endswith(b"*")))
-    return np.array([1.0, vote, hits, begun, np.log1p(len(counts)), np.log1p(n_words)])
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``first[0] .. first[0] + size[0] - 1``, then those of the next, as one array."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
 @dataclass
 class Index:
-    """Postings by term, examples in ascending order, and the greatest weight of each term in each block."""
+    """Postings of all terms of the examples, and block maxima of those with long lists.
 
-    idf: dict[bytes, float]
-    postings: dict[bytes, tuple[np.ndarray, np.ndarray]]
-    block_max: dict[bytes, tuple[np.ndarray, np.ndarray]]
+    Term t's list is ``held[start[t]:start[t + 1]]`` (examples, ascending) with ``weight``.  The longest
+    lists, as many as LONG_BYTES hold, stand block by block in a row each of ``long_weight``, with zeros
+    for examples without the term and their maxima in ``block_max``.
+    """
+
+    terms: np.ndarray
+    factor: np.ndarray  # idf by term, times how far the labels differ in it
+    start: np.ndarray
+    held: np.ndarray
+    weight: np.ndarray
+    long_row: np.ndarray  # row of block_max by term, -1 for short lists
+    block_max: np.ndarray
+    long_weight: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
-    prior: float  # share of label 1 among examples without any term of the space
+    prior: float  # share of label 1 among examples without any term
     curve: np.ndarray | None = None  # coefficients of the calibration
 
-    def nearest(self, query: list[tuple[bytes, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine, ties by example order; exact.
-
-        A block's bound is the sum of its terms' block maxima.  Blocks are opened by falling bound until
-        no unopened one can reach the k-th best cosine found.
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index that a text holds, and their weights in a vector of length 1."""
+        if not len(self.terms):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.searchsorted(self.terms, hashes)
+        at[at == len(self.terms)] = 0
+        known = self.terms[at] == hashes
+        at = at[known]
+        w = (1.0 + np.log(counts[known])) * self.factor[at]
+        return at, w / np.sqrt(w @ w) if len(w) else w
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of greatest positive cosine, to six digits, ties by example order; exact.
+
+        Short lists are added up first.  A block's bound is the best of these sums in it and, at most, what
+        its maxima of the long lists add.  Blocks are opened by falling bound until no unopened one can
+        reach the k-th best cosine found.
         """
-        bound = np.zeros(len(self.labels) // BLOCK + 1)
-        for term, w in query:
-            blocks, most = self.block_max[term]
-            bound[blocks] += w * most
-        order = np.argsort(-bound, kind="stable")
-        order = order[: np.count_nonzero(bound)]
-        opened = np.zeros(len(bound), bool)
-        exact = np.zeros(len(self.labels))
-        kth, at = 0.0, 0
-        while at < len(order) and bound[order[at]] >= kth - 1e-12:
-            opened[:] = False
-            opened[order[at : at + 16]] = True
-            at += 16
-            for term, w in query:
-                held, weights = self.postings[term]
-                here = opened[held // BLOCK]
-                exact[held[here]] += w * weights[here]
-            if np.count_nonzero(exact) >= k:
-                kth = np.partition(exact, -k)[-k]
+        if not len(at):
+            return np.empty(0, np.int64), np.empty(0)
+        row = self.long_row[at]
+        long, short = row[row >= 0], at[row < 0]
+        share, part = w[row >= 0].astype(np.float32), w[row < 0]
+        size = self.start[short + 1] - self.start[short]
+        place = _ranges(self.start[short], size)
+        blocks = self.block_max.shape[1]
+        exact = np.bincount(self.held[place], np.repeat(part, size) * self.weight[place], blocks * BLOCK).astype(float, copy=False)
+        if len(long):
+            by_block = exact.reshape(blocks, BLOCK)
+            bound = by_block.max(axis=1) + share @ self.block_max[long]
+            order = np.argsort(-bound, kind="stable")
+            done, step = 0, 4
+            while done < len(order):
+                kth = np.partition(exact, -k)[-k] if len(exact) > k else 0.0
+                some = order[done : done + step]
+                some = np.sort(some[bound[some] >= kth - 1e-6])
+                if not len(some):
+                    break
+                dense = self.long_weight[long] if len(some) == blocks else self.long_weight[long[:, None], some]
+                by_block[some] += (share @ dense.reshape(len(long), -1)).reshape(len(some), BLOCK)
+                done, step = done + step, 4 * step
+        exact = np.round(exact, 6)
+        kth = np.partition(exact, -k)[-k] if len(exact) > k else 0.0
         found = np.flatnonzero((exact > 0) & (exact >= kth))
         found = found[np.argsort(-exact[found], kind="stable")][:k]
         return found, exact[found]
 
-    def vector(self, counts: dict[bytes, int]) -> list[tuple[bytes, float]]:
-        weights = [(t, (1.0 + np.log(n)) * self.idf[t]) for t, n in sorted(counts.items()) if t in self.idf]
-        norm = float(np.sqrt(sum(w * w for _, w in weights)))
-        return [(t, w / norm) for t, w in weights] if norm else []
-
-    def vote(self, counts: dict[bytes, int], k: int, but: int = -1) -> tuple[float, list[int]]:
-        """Share of label 1 among the neighbours (example ``but`` aside), weighted by closeness and drawn towards the prior."""
-        query = [(t, w) for t, w in self.vector(counts) if t in self.postings]
-        found, scores = self.nearest(query, k + (but >= 0)) if query else (np.empty(0, np.int64), np.empty(0))
-        found, scores = found[found != but][:k], scores[found != but][:k]
-        yes = float(scores @ self.labels[found]) if len(found) else 0.0
-        score = (yes + PRIOR_WEIGHT * self.prior) / (float(scores.sum()) + PRIOR_WEIGHT)
-        return min(1.0, max(0.0, score)), self.ids[found[:3]].tolist()
-
-    def calibrated(self, vote: float, counts: dict[bytes, int], n_words: int) -> float:
-        """Probability of label 1 from the vote and from how much of the text it rests on."""
-        if not counts or self.curve is None:
-            return vote
-        return float(1 / (1 + np.exp(-np.clip(_evidence(vote, counts, n_words) @ self.curve, -30, 30))))
-
-
-def _class_counts(batches: Iterable[pa.RecordBatch]):
-    """Per term: how many examples of each label contain it, combined within a batch."""
-    for batch in batches:
-        counts: dict[bytes, list[int]] = {}
-        for text, label in rows_of([batch]):
-            for w in set(_terms(text)[0]):
-                counts.setdefault(w, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
-            ["term", "clean", "toxic"],
-        )
+    def vote(self, hashes: np.ndarray, counts: np.ndarray, k: int, but: int = -1) -> tuple[list[float], list[int]]:
+        """What the neighbours say (example ``but`` aside), and the ids of the nearest three.
+
+        Share of label 1, weighted by closeness and drawn towards the prior, the greatest cosine of either
+        label, and the mean of all; nothing for a text without any term of the index.
+        """
+        found, cosine = self.nearest(*self.vector(hashes, counts), k + (but >= 0))
+        found, cosine = found[found != but][:k], cosine[found != but][:k]
+        if not len(found):
+            return [], []
+        toxic = self.labels[found] > 0
+        share = (float(cosine[toxic].sum()) + PRIOR_WEIGHT * self.prior) / (float(cosine.sum()) + PRIOR_WEIGHT)
+        most = [float(cosine[x].max(initial=0.0)) for x in (toxic, ~toxic)]
+        return [min(1.0, max(0.0, share)), *most, float(cosine.mean())], self.ids[found[:3]].tolist()
+
+    def calibrated(self, told: list[float]) -> float:
+        """Probability of label 1 from the vote and the similarities it rests on."""
+        if not told or self.curve is None:
+            return told[0] if told else self.prior
+        return float(1 / (1 + np.exp(-np.clip(np.array([1.0, *told]) @ self.curve, -30, 30))))
 
 
 def examples(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -126,107 +141,116 @@ def examples(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return usable.where("label = 1").orderBy(*order).limit(limit // 2).unionByName(usable.where("label = 0").orderBy(*order).limit(limit - limit // 2))
 
 
-def discriminating_terms(with_text: DataFrame, limit: int) -> set[bytes]:
-    """Terms that examples of one label hold markedly more often (likelihood ratio), at most ``limit``.
+def _counted(batches: Iterable[pa.RecordBatch]):
+    """``id, label, terms, counts`` of examples (id, label, text)."""
+    for batch in batches:
+        for doc_id, label, text in rows_of([batch]):
+            terms, counts = term_counts(text)
+            columns = [pa.array([doc_id], pa.int64()), pa.array([label], pa.int32()), pa.array([terms.view(np.int64)], pa.list_(pa.int64())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "terms", "counts"])
 
-    Whole prose vectors are nearest to whatever shares their rare words; in the space of these terms
-    neighbours share what the labels are about.
-    """
-    n = {r["label"]: r["n"] for r in with_text.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not n.get(0) or not n.get(1):
-        return set()
-    a, b, na, nb = F.col("toxic"), F.col("clean"), float(n[1]), float(n[0])
 
-    def part(x, expected):
-        return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+def _frequencies(terms):
+    """How many of a task's texts hold each of the broadcast terms, by its number; -1 counts the texts."""
 
-    share = (a + b) / (na + nb)
-    gain = 2 * (part(a, na * share) + part(b, nb * share) + part(na - a, na * (1 - share)) + part(nb - b, nb * (1 - share)))
-    counts = with_text.select("text", "label").mapInArrow(_class_counts, "term binary, clean long, toxic long")
-    counts = counts.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 3 and clean + toxic < %d" % (na + nb))
-    lift = ((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1))
-    chosen = counts.withColumn("gain", gain).where((lift >= 3) & (F.col("gain") >= MIN_GAIN)).orderBy(F.desc("gain"), "term").limit(limit)
-    return {bytes(r["term"]) for r in chosen.select("term").collect()}
+    def count(batches: Iterable[pa.RecordBatch]):
+        known = terms.value
+        held, n = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            for (text,) in rows_of([batch]):
+                own, _ = term_counts(text)
+                at = np.searchsorted(known, own)
+                at[at == len(known)] = 0
+                held[at[known[at] == own]] += 1
+                n += 1
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(held[some], n))], ["term", "n"])
 
+    return count
 
-def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS, keyed: bool = False) -> DataFrame:
+
+def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, neighbours (up to 3 example doc_ids); with ``keyed`` also row, the hash of the text.
 
-    Examples are a bounded sample (``max_examples``) of the labelled rows outside the held-out third;
-    everything else covers all documents: document frequencies for the idf, and an exact search for each.
-    NULL and empty texts, and texts without any term of the space, get the share of label 1 among examples
-    of that kind.  Without examples of both labels every score is that prior, 0 when there are no examples
-    at all.  Repeated rows get equal scores; a NULL doc_id is not held out; further columns are ignored.
+    Examples are a bounded sample (``max_examples``) of the labelled rows outside the held-out third, with
+    all their words and the beginnings of longer ones; everything else covers all documents: document
+    frequencies for the idf, and an exact search for each.  Of several texts of a labelled doc_id the first in
+    order is the example.  A term weighs by its idf and by how far the
+    labels of the examples differ in it, smoothly and never by nothing.  Words that no example holds say
+    nothing and are left out of a vector's length.  NULL and empty texts, and texts without any term of the
+    examples, get the share of label 1 among examples of that kind.  Without examples of both labels the
+    score is the vote as it is, 0 when there are no examples at all.  Very long texts are read whole.
+    Repeated rows get equal scores; a NULL doc_id is not held out; an empty table gives an empty result; further
+    columns are ignored.
     """
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = stored(examples(docs, labels, max_examples))
-    with_text = matching(read.withColumnRenamed("doc_id", "id"), chosen, ["id"])
-    terms = discriminating_terms(with_text, max_terms)
-    space = spark.sparkContext.broadcast(terms)
-
-    def vectors(batches: Iterable[pa.RecordBatch]):
-        wanted = space.value
-        for batch in batches:
-            ids, rows, keys, counts, lengths = [], [], [], [], []
-            for doc_id, text, row in rows_of([batch]):
-                own: dict[bytes, int] = {}
-                found, n_words = _terms(text)
-                for w in found:
-                    if w in wanted:
-                        own[w] = own.get(w, 0) + 1
-                ids.append(doc_id)
-                rows.append(row)
-                lengths.append(n_words)
-                keys.append(sorted(own))
-                counts.append([own[t] for t in keys[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), pa.array(lengths, pa.int64()), pa.array(rows, pa.int64())],
-                ["doc_id", "terms", "counts", "n_words", "row"],
-            )
-
-    sparse = stored(read.withColumn("row", F.xxhash64("text")).mapInArrow(vectors, "doc_id long, terms array<binary>, counts array<int>, n_words long, row long"))
-    n_docs = sparse.count()
-    df = {bytes(r[0]): r[1] for r in sparse.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}
-    rows = matching(sparse.withColumnRenamed("doc_id", "id"), chosen, ["id"]).orderBy("id", "n_words", "terms", "counts").collect()
-    rows = [(r["id"], r["label"], {bytes(t): n for t, n in zip(r["terms"], r["counts"], strict=True)}, r["n_words"]) for r in rows]
-    built = build_index(rows, df, n_docs)
-    built.curve = fit_curve(built, rows, k)
+    with_text = matching(read.withColumnRenamed("doc_id", "id"), chosen, ["id"]).groupBy("id", "label").agg(F.min("text").alias("text"))
+    known = stored(with_text.mapInArrow(_counted, "id long, label int, terms array<long>, counts array<int>"))
+    held = known.toArrow().combine_chunks()  # bounded by max_examples
+    rows = [held[c].combine_chunks() if held.num_rows else None for c in ("id", "label", "terms", "counts")]
+    vectors = []
+    if held.num_rows:
+        cuts = rows[2].offsets.to_numpy()
+        terms, counts = rows[2].flatten().to_numpy().view(np.uint64), rows[3].flatten().to_numpy()
+        cuts = cuts - cuts[0]
+        vectors = [(rows[0][i].as_py(), rows[1][i].as_py(), terms[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in range(held.num_rows)]
+    vocabulary = np.unique(np.concatenate([v[2] for v in vectors])) if vectors else np.empty(0, np.uint64)
+    df, n_docs = np.zeros(len(vocabulary), np.int64), 0
+    if len(vocabulary):
+        found = read.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        at, n = found["term"].to_numpy(), found["n"].to_numpy()
+        n_docs = int(n[at < 0].sum())
+        df[at[at >= 0]] = n[at >= 0]
+    built = build_index(vectors, vocabulary, df, n_docs)
+    built.curve = fit_curve(spark, built, vectors, k)
     parts = spark.sparkContext.broadcast(tuple(vars(built).values()))
 
     def score(batches: Iterable[pa.RecordBatch]):
-        seen: dict[tuple, tuple[float, list[int]]] = {}
+        seen: dict[int, tuple[float, list[int]]] = {}
         index = Index(*parts.value)
         for batch in batches:
-            ids, rows, got = [], [], []
-            for doc_id, keys, counts, n_words, row in rows_of([batch]):
-                vector = (tuple(keys), tuple(counts))
-                own = dict(zip(*vector, strict=True))
-                if vector not in seen:
+            ids, keys, got = [], [], []
+            for doc_id, text, row in rows_of([batch]):
+                if row not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
-                    seen[vector] = index.vote(own, k)
-                vote, evidence = seen[vector]
+                    told, evidence = index.vote(*term_counts(text), k)
+                    seen[row] = index.calibrated(told), evidence
                 ids.append(doc_id)
-                rows.append(row)
-                got.append((index.calibrated(vote, own, n_words), evidence))
+                keys.append(row)
+                got.append(seen[row])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array(rows, pa.int64())],
+                [pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array(keys, pa.int64())],
                 ["doc_id", "score", "neighbours", "row"],
             )
 
-    return sparse.mapInArrow(score, "doc_id long, score double, neighbours array<long>, row long").select(
+    return read.withColumn("row", F.xxhash64("text")).mapInArrow(score, "doc_id long, score double, neighbours array<long>, row long").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours", *(["row"] if keyed else [])
     )
 
 
-def fit_curve(index: Index, rows: list[tuple], k: int) -> np.ndarray | None:
+def fit_curve(spark, index: Index, vectors: list[tuple], k: int) -> np.ndarray | None:
     """Logistic calibration on the examples' own votes, each found without itself; a little ridge, Newton steps."""
-    told = [(e, r) for e, r in enumerate(rows) if r[2]]
-    if len({r[1] for _, r in told}) < 2:
+    if len(set(index.labels)) < 2:
         return None
-    x = np.array([_evidence(index.vote(r[2], k, but=e)[0], r[2], r[3]) for e, r in told])
-    y = np.array([r[1] for _, r in told], float)
+    parts = spark.sparkContext.broadcast((tuple(vars(index).values()), [v[2:] for v in vectors]))
+
+    def votes(batches: Iterable[pa.RecordBatch]):
+        fields, rows = parts.value
+        own = Index(*fields)
+        for batch in batches:
+            at = batch["id"].to_pylist()
+            told = [own.vote(*rows[e], k, but=e)[0] for e in at]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(told, pa.list_(pa.float64()))], ["id", "told"])
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, len(vectors) // 50))
+    found = spark.range(0, len(vectors), 1, tasks).mapInArrow(votes, "id long, told array<double>").where("size(told) > 0").orderBy("id").collect()
+    y = np.array([index.labels[r["id"]] for r in found])
+    if len(set(y)) < 2:
+        return None
+    x = np.array([[1.0, *r["told"]] for r in found])
     curve = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
@@ -235,25 +259,53 @@ def fit_curve(index: Index, rows: list[tuple], k: int) -> np.ndarray | None:
     return curve
 
 
-def build_index(rows: list[tuple], df: dict[bytes, int], n_docs: int) -> Index:
-    """The index over the examples' vectors; bounded by max_examples and max_terms."""
-    idf = {t: float(np.log((1 + n_docs) / (1 + n)) + 1.0) for t, n in df.items()}
+def contrast(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """How far the labels differ in each term: from EVEN towards 1 with the likelihood ratio of its counts of examples."""
+    if not n_toxic or not n_clean:
+        return np.ones(len(toxic))
+    a, b, share = toxic.astype(float), clean.astype(float), (toxic + clean) / (n_toxic + n_clean)
+    gain = np.zeros(len(a))
+    for x, expected in ((a, n_toxic * share), (b, n_clean * share), (n_toxic - a, n_toxic * (1 - share)), (n_clean - b, n_clean * (1 - share))):
+        some = x > 0
+        gain[some] += 2 * x[some] * np.log(x[some] / expected[some])
+    gain = np.maximum(gain, 0.0)
+    return EVEN + (1 - EVEN) * gain / (gain + HALF_GAIN)
+
+
+def build_index(vectors: list[tuple], terms: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
+    """The index over the examples ``(id, label, hashes, counts)``, which are put in the order of the index."""
+    at = np.searchsorted(terms, np.concatenate([v[2] for v in vectors])) if vectors else np.empty(0, np.int64)
+    size = np.array([len(v[2]) for v in vectors], np.int64)
+    label = np.array([v[1] for v in vectors], np.int64)
+    of_toxic = np.repeat(label, size) > 0
+    toxic, clean = (np.bincount(at[x], minlength=len(terms)) for x in (of_toxic, ~of_toxic))
+    factor = (np.log((1 + n_docs) / (1 + df)) + 1.0) * contrast(toxic, clean, int(label.sum()), int((1 - label).sum()))
     # examples with the same weightiest term stand together, so that few blocks matter to a query
-    rows.sort(key=lambda r: (max(r[2], key=lambda t: (idf[t] * (1 + np.log(r[2][t])), t), default=b""), r[0]))
-    index = Index(idf, {}, {}, np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], np.int64), 0.0)
-    lists: dict[bytes, list[tuple[int, float]]] = {}
-    bare = []
-    for e, (_, label, counts, _) in enumerate(rows):
-        vector = index.vector(counts)
-        if not vector:
-            bare.append(label)
-        for t, w in vector:
-            lists.setdefault(t, []).append((e, w))
-    for t, pairs in lists.items():
-        es, ws = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-        blocks, first = np.unique(es // BLOCK, return_index=True)
-        index.postings[t] = es, ws
-        index.block_max[t] = blocks, np.maximum.reduceat(ws, first)
-    base = float(index.labels.mean()) if len(rows) else 0.0
-    index.prior = (sum(bare) + base) / (len(bare) + 1)
-    return index
+    cuts = np.concatenate(([0], np.cumsum(size)))
+    weights = (1.0 + np.log(np.concatenate([v[3] for v in vectors]) if vectors else np.empty(0))) * factor[at]
+    heaviest = [int(at[lo:hi][np.argmax(weights[lo:hi])]) if hi > lo else -1 for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    order = sorted(range(len(vectors)), key=lambda e: (heaviest[e], vectors[e][0], e))
+    place = _ranges(cuts[:-1][order], size[order])
+    vectors[:] = [vectors[e] for e in order]
+    at, weights, size = at[place], weights[place], size[order]
+    example = np.repeat(np.arange(len(vectors)), size)
+    norm = np.sqrt(np.bincount(example, weights * weights, len(vectors)))
+    weights = weights / norm[example]
+
+    by_term = np.argsort(at, kind="stable")
+    start = np.searchsorted(at[by_term], np.arange(len(terms) + 1))
+    lengths = np.diff(start)
+    blocks = len(vectors) // BLOCK + 1
+    many = np.flatnonzero(lengths > LONG_SHARE * len(vectors))
+    many = many[np.argsort(-lengths[many], kind="stable")][: LONG_BYTES // (4 * BLOCK * blocks)]
+    long_row = np.full(len(terms), -1)
+    long_row[many] = np.arange(len(many))
+    own = long_row[at] >= 0
+    long_weight = np.zeros((len(many), blocks, BLOCK), np.float32)
+    long_weight[long_row[at[own]], example[own] // BLOCK, example[own] % BLOCK] = weights[own]
+    bare = label[order][size == 0]
+    base = float(label.mean()) if len(label) else 0.0
+    return Index(
+        terms, factor, start, example[by_term].astype(np.int32), weights[by_term].astype(np.float32), long_row, long_weight.max(axis=2), long_weight,
+        label[order].astype(float), np.array([v[0] for v in vectors], np.int64), float((bare.sum() + base) / (len(bare) + 1)),
+    )

@@ -205,15 +205,86 @@ def test_toxicity(spark, docs):
 PLAIN = ["the river runs to the sea", "a house on the hill", "they walked in the rain", "bread and butter for tea", "the train left at noon"]
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("long_share", [toxicity.LONG_SHARE, 2.0])
+def test_block_max_search_is_exact(monkeypatch, long_share):
+    monkeypatch.setattr(toxicity, "LONG_SHARE", long_share)
     rng = np.random.default_rng(3)
-    examples = [(i, i % 2, {bytes([97 + t]): int(rng.integers(1, 4)) for t in rng.choice(20, rng.integers(1, 6), replace=False)}, 10) for i in range(500)]
-    index = toxicity.build_index(examples, {bytes([97 + t]): int(rng.integers(5, 90)) for t in range(20)}, 500)
-    vectors = [dict(index.vector(r[2])) for r in examples]
-    for q in vectors[:40]:
-        scores = np.array([sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors])
-        got = index.nearest(sorted(q.items()), 15)[1]
-        assert np.allclose(got, np.sort(scores)[::-1][:15])
+    terms = np.sort(rng.integers(1, 2**63, 90).astype(np.uint64))
+    vectors = []
+    for i in range(700):
+        own = np.sort(rng.choice(terms, rng.integers(0, 9), replace=False, p=np.arange(90, 0, -1) / 4095))
+        vectors.append((i, i % 2, own, rng.integers(1, 4, len(own))))
+    index = toxicity.build_index(vectors, terms, rng.integers(5, 90, 90), 500)
+    assert (len(index.long_weight) > 0) == (long_share < 1)
+    dense = np.zeros((700, 90))
+    for e, v in enumerate(vectors):
+        at, w = index.vector(*v[2:])
+        dense[e, at] = w
+    for e in range(60):
+        found, got = index.nearest(*index.vector(*vectors[e][2:]), 15)
+        want = np.sort(dense @ dense[e])[::-1][:15]
+        assert np.allclose(got, want[want > 0][: len(got)], atol=2e-6) and len(got) == np.count_nonzero(want > 1e-6)
+        assert np.allclose((dense @ dense[e])[found], got, atol=2e-6)
+
+
+def toxicity_by_force(told, marks, k=toxicity.NEIGHBOURS):
+    """Scores of (doc_id, text) rows by all cosines, from the definition; ``marks`` are the examples' labels."""
+    def terms(text):
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
+        return collections.Counter(words + [w[:n] + "*" for n in toxicity.BEGINNINGS for w in words if len(w) > n])
+
+    held = {i: terms(text) for i, text in told}
+    df = collections.Counter(t for c in held.values() for t in c)
+    n = [sum(y == label for y in marks.values()) for label in (0, 1)]
+    of = [collections.Counter(t for i, y in marks.items() if y == label for t in held[i]) for label in (0, 1)]
+
+    def factor(t):
+        both = (of[0][t] + of[1][t]) / sum(n)
+        gain = sum(2 * x * math.log(x / e) for y in (0, 1) for x, e in ((of[y][t], n[y] * both), (n[y] - of[y][t], n[y] * (1 - both))) if x)
+        gain = max(0.0, gain)
+        return (math.log((1 + len(told)) / (1 + df[t])) + 1) * (toxicity.EVEN + (1 - toxicity.EVEN) * gain / (gain + toxicity.HALF_GAIN))
+
+    def vector(c):
+        out = {t: (1 + math.log(x)) * factor(t) for t, x in c.items() if of[0][t] + of[1][t]}
+        norm = math.sqrt(sum(w * w for w in out.values()))
+        return {t: w / norm for t, w in out.items()}
+
+    vectors = {i: vector(c) for i, c in held.items()}
+    bare = [y for i, y in marks.items() if not vectors[i]]
+    prior = (sum(bare) + n[1] / sum(n)) / (len(bare) + 1)
+
+    def said(i, but=None):
+        near = sorted(((sum(w * vectors[e].get(t, 0.0) for t, w in vectors[i].items()), y) for e, y in marks.items() if e != but), reverse=True)[:k]
+        near = [x for x in near if x[0] > 1e-6]
+        total = sum(c for c, _ in near)
+        return [1.0, (sum(c * y for c, y in near) + 0.5 * prior) / (total + 0.5), *(max([c for c, y in near if y == label], default=0.0) for label in (1, 0)), total / len(near)] if near else None
+
+    fit = [(x, y) for i, y in marks.items() if (x := said(i, i))]
+    x, y, curve = np.array([f[0] for f in fit]), np.array([f[1] for f in fit]), np.zeros(5)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-x @ curve))
+        curve -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.1 * np.eye(5), x.T @ (p - y) + 0.1 * curve)
+    return {i: float(1 / (1 + np.exp(-np.array(s) @ curve))) if (s := said(i)) else prior for i in held}
+
+
+def test_toxicity_equals_all_cosines(spark):
+    rng = np.random.default_rng(11)
+    words = [f"word{i}" * (1 + i % 3) for i in range(400)] + ["Ärger", "ça"]
+    told = []
+    for i in range(260):
+        own = rng.choice(words, rng.integers(5, 60)).tolist()
+        own += rng.choice(["zorgle", "blathering", "frump", "word1"], 2).tolist() * (i % 4 == 0)
+        told.append((i, " ".join(own)))
+    told += [(300, None), (301, ""), (302, "unheard words only"), (303, "Zorgle! " * 100_000)]
+    labels = [(i, int(i % 4 == 0 or i % 37 == 0), 1) for i, _ in told[:260]] + [(301, 0, 1)]
+    marks = {i: y for i, y, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    docs = spark.createDataFrame([(i, text, 1, 2) for i, text in told], "doc_id long, text string, score int, row int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs.unionByName(docs).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int, quality int")).collect()}
+    want = toxicity_by_force(told + [(-1 - i, text) for i, text in told], marks)
+    assert set(got) == {i for i, _ in told}
+    for i in got:
+        assert abs(got[i] - want[i]) < 1e-3, (i, got[i], want[i])
+    assert len({round(v, 9) for v in got.values()}) > 250
 
 
 def test_chat(spark):
