@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fairfold.llm.text import alphanumeric_words, matching, rows_of, stored, word_hashes
 
 THRESHOLD = 0.7
-MAX_EXAMPLES = 20_000  # labelled rows the examples are drawn from, half of them of each label at most
+MAX_EXAMPLES = 20_000  # labelled rows that are examples, half of them of each label at most; every task holds the index of all of them
 NEIGHBOURS = 15
 BLOCK = 64  # examples per block of the index
 LONG_SHARE, LONG_BYTES = 1 / 32, 1 << 26  # terms that more of the examples hold have long lists, bounded by blocks first; what these lists take at most
@@ -38,27 +38,48 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)
 
 
+def smallest(values: np.ndarray) -> np.ndarray:
+    """Numbers of 0 and above in the narrowest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 @dataclass
 class Index:
-    """Postings of all terms of the examples, and block maxima of those with long lists.
+    """Postings of all terms of the examples; what tasks are sent is counts, weights follow from them.
 
-    Term t's list is ``held[start[t]:start[t + 1]]`` (examples, ascending) with ``weight``.  The longest
-    lists, as many as LONG_BYTES hold, stand block by block in a row each of ``long_weight``, with zeros
-    for examples without the term and their maxima in ``block_max``.
+    Term t's list is ``held[start[t]:start[t + 1]]`` (examples, ascending) with ``counts`` and, derived,
+    ``weight``.  The longest lists, as many as LONG_BYTES hold, also stand block by block in a row each of
+    ``long_weight``, with zeros for examples without the term and their maxima in ``block_max``.
     """
 
     terms: np.ndarray
     factor: np.ndarray  # idf by term, times how far the labels differ in it
-    start: np.ndarray
+    size: np.ndarray  # of each term's list
     held: np.ndarray
-    weight: np.ndarray
-    long_row: np.ndarray  # row of block_max by term, -1 for short lists
-    block_max: np.ndarray
-    long_weight: np.ndarray
+    counts: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     prior: float  # share of label 1 among examples without any term
-    curve: np.ndarray | None = None  # coefficients of the calibration
+
+    def __post_init__(self):
+        n, size = len(self.labels), self.size.astype(np.int64)
+        self.start = np.concatenate(([0], np.cumsum(size)))
+        self.held = self.held.astype(np.int64)
+        weight = (1.0 + np.log(self.counts)) * np.repeat(self.factor, size)
+        self.weight = (weight / np.sqrt(np.bincount(self.held, weight * weight, n))[self.held] if len(weight) else weight).astype(np.float32)
+        blocks = n // BLOCK + 1
+        many = np.flatnonzero(size > LONG_SHARE * n)
+        many = many[np.argsort(-size[many], kind="stable")][: LONG_BYTES // (4 * BLOCK * blocks)]
+        self.long_row = np.full(len(self.terms), -1)
+        self.long_row[many] = np.arange(len(many))
+        self.long_weight = np.zeros((len(many), blocks, BLOCK), np.float32)
+        place = _ranges(self.start[many], size[many])
+        example = self.held[place]
+        self.long_weight[np.repeat(np.arange(len(many)), size[many]), example // BLOCK, example % BLOCK] = self.weight[place]
+        self.block_max = self.long_weight.max(axis=2)
+
+    def fields(self) -> tuple:
+        return self.terms, self.factor, smallest(self.size), smallest(self.held), self.counts, self.labels, self.ids, self.prior
 
     def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the index that a text holds, and their weights in a vector of length 1."""
@@ -122,11 +143,11 @@ class Index:
         most = [float(cosine[x].max(initial=0.0)) for x in (toxic, ~toxic)]
         return [min(1.0, max(0.0, share)), *most, float(cosine.mean())], self.ids[found[:3]].tolist()
 
-    def calibrated(self, told: list[float]) -> float:
+    def score(self, told: list[float], curve: np.ndarray | None) -> float:
         """Probability of label 1 from the vote and the similarities it rests on."""
-        if not told or self.curve is None:
+        if not told or curve is None:
             return told[0] if told else self.prior
-        return float(1 / (1 + np.exp(-np.clip(np.array([1.0, *told]) @ self.curve, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(np.array([1.0, *told]) @ curve, -30, 30))))
 
 
 def examples(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -186,9 +207,11 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     chosen = stored(examples(docs, labels, max_examples))
-    with_text = matching(read.withColumnRenamed("doc_id", "id"), chosen, ["id"]).groupBy("id", "label").agg(F.min("text").alias("text"))
-    known = stored(with_text.mapInArrow(_counted, "id long, label int, terms array<long>, counts array<int>"))
-    held = known.toArrow().combine_chunks()  # bounded by max_examples
+    with_text = matching(read.withColumnRenamed("doc_id", "id"), chosen, ["id"])
+    if not with_text.groupBy("id").count().where("count > 1").isEmpty():  # else their texts need not be shuffled
+        with_text = with_text.groupBy("id", "label").agg(F.min("text").alias("text"))
+    with_text = with_text.select("id", "label", "text")
+    held = with_text.mapInArrow(_counted, "id long, label int, terms array<long>, counts array<int>").toArrow().combine_chunks()  # bounded by max_examples
     rows = [held[c].combine_chunks() if held.num_rows else None for c in ("id", "label", "terms", "counts")]
     vectors = []
     if held.num_rows:
@@ -199,13 +222,15 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     vocabulary = np.unique(np.concatenate([v[2] for v in vectors])) if vectors else np.empty(0, np.uint64)
     df, n_docs = np.zeros(len(vocabulary), np.int64), 0
     if len(vocabulary):
-        found = read.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        known = spark.sparkContext.broadcast(vocabulary)
+        found = read.select("text").mapInArrow(_frequencies(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        known.destroy()
         at, n = found["term"].to_numpy(), found["n"].to_numpy()
         n_docs = int(n[at < 0].sum())
         df[at[at >= 0]] = n[at >= 0]
     built = build_index(vectors, vocabulary, df, n_docs)
-    built.curve = fit_curve(spark, built, vectors, k)
-    parts = spark.sparkContext.broadcast(tuple(vars(built).values()))
+    parts = spark.sparkContext.broadcast(built.fields())
+    curve = fit_curve(spark, parts, built.labels, k)
 
     def score(batches: Iterable[pa.RecordBatch]):
         seen: dict[int, tuple[float, list[int]]] = {}
@@ -217,7 +242,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
                     if len(seen) > 50_000:
                         seen.clear()
                     told, evidence = index.vote(*term_counts(text), k)
-                    seen[row] = index.calibrated(told), evidence
+                    seen[row] = index.score(told, curve), evidence
                 ids.append(doc_id)
                 keys.append(row)
                 got.append(seen[row])
@@ -231,23 +256,25 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     )
 
 
-def fit_curve(spark, index: Index, vectors: list[tuple], k: int) -> np.ndarray | None:
+def fit_curve(spark, parts, labels: np.ndarray, k: int) -> np.ndarray | None:
     """Logistic calibration on the examples' own votes, each found without itself; a little ridge, Newton steps."""
-    if len(set(index.labels)) < 2:
+    if len(set(labels)) < 2:
         return None
-    parts = spark.sparkContext.broadcast((tuple(vars(index).values()), [v[2:] for v in vectors]))
 
     def votes(batches: Iterable[pa.RecordBatch]):
-        fields, rows = parts.value
-        own = Index(*fields)
+        index = Index(*parts.value)
+        by_example = np.argsort(index.held, kind="stable")  # each example's terms again, ascending
+        cuts = np.searchsorted(index.held[by_example], np.arange(len(index.labels) + 1))
+        terms = np.repeat(index.terms, index.size)[by_example]
         for batch in batches:
             at = batch["id"].to_pylist()
-            told = [own.vote(*rows[e], k, but=e)[0] for e in at]
+            own = [slice(cuts[e], cuts[e + 1]) for e in at]
+            told = [index.vote(terms[x], index.counts[by_example[x]], k, but=e)[0] for e, x in zip(at, own, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(told, pa.list_(pa.float64()))], ["id", "told"])
 
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, len(vectors) // 50))
-    found = spark.range(0, len(vectors), 1, tasks).mapInArrow(votes, "id long, told array<double>").where("size(told) > 0").orderBy("id").collect()
-    y = np.array([index.labels[r["id"]] for r in found])
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, len(labels) // 50))
+    found = spark.range(0, len(labels), 1, tasks).mapInArrow(votes, "id long, told array<double>").where("size(told) > 0").orderBy("id").collect()
+    y = np.array([labels[r["id"]] for r in found])
     if len(set(y)) < 2:
         return None
     x = np.array([[1.0, *r["told"]] for r in found])
@@ -273,7 +300,7 @@ def contrast(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
 
 
 def build_index(vectors: list[tuple], terms: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
-    """The index over the examples ``(id, label, hashes, counts)``, which are put in the order of the index."""
+    """The index over the examples ``(id, label, hashes, counts)``."""
     at = np.searchsorted(terms, np.concatenate([v[2] for v in vectors])) if vectors else np.empty(0, np.int64)
     size = np.array([len(v[2]) for v in vectors], np.int64)
     label = np.array([v[1] for v in vectors], np.int64)
@@ -282,30 +309,15 @@ def build_index(vectors: list[tuple], terms: np.ndarray, df: np.ndarray, n_docs:
     factor = (np.log((1 + n_docs) / (1 + df)) + 1.0) * contrast(toxic, clean, int(label.sum()), int((1 - label).sum()))
     # examples with the same weightiest term stand together, so that few blocks matter to a query
     cuts = np.concatenate(([0], np.cumsum(size)))
-    weights = (1.0 + np.log(np.concatenate([v[3] for v in vectors]) if vectors else np.empty(0))) * factor[at]
+    counts = np.concatenate([v[3] for v in vectors]) if vectors else np.empty(0, np.int64)
+    weights = (1.0 + np.log(counts)) * factor[at]
     heaviest = [int(at[lo:hi][np.argmax(weights[lo:hi])]) if hi > lo else -1 for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
     order = sorted(range(len(vectors)), key=lambda e: (heaviest[e], vectors[e][0], e))
     place = _ranges(cuts[:-1][order], size[order])
-    vectors[:] = [vectors[e] for e in order]
-    at, weights, size = at[place], weights[place], size[order]
-    example = np.repeat(np.arange(len(vectors)), size)
-    norm = np.sqrt(np.bincount(example, weights * weights, len(vectors)))
-    weights = weights / norm[example]
-
+    at, counts, size, label = at[place], counts[place], size[order], label[order]
     by_term = np.argsort(at, kind="stable")
-    start = np.searchsorted(at[by_term], np.arange(len(terms) + 1))
-    lengths = np.diff(start)
-    blocks = len(vectors) // BLOCK + 1
-    many = np.flatnonzero(lengths > LONG_SHARE * len(vectors))
-    many = many[np.argsort(-lengths[many], kind="stable")][: LONG_BYTES // (4 * BLOCK * blocks)]
-    long_row = np.full(len(terms), -1)
-    long_row[many] = np.arange(len(many))
-    own = long_row[at] >= 0
-    long_weight = np.zeros((len(many), blocks, BLOCK), np.float32)
-    long_weight[long_row[at[own]], example[own] // BLOCK, example[own] % BLOCK] = weights[own]
-    bare = label[order][size == 0]
     base = float(label.mean()) if len(label) else 0.0
     return Index(
-        terms, factor, start, example[by_term].astype(np.int32), weights[by_term].astype(np.float32), long_row, long_weight.max(axis=2), long_weight,
-        label[order].astype(float), np.array([v[0] for v in vectors], np.int64), float((bare.sum() + base) / (len(bare) + 1)),
+        terms, factor.astype(np.float32), np.bincount(at, minlength=len(terms)), np.repeat(np.arange(len(vectors)), size)[by_term], smallest(counts[by_term]),
+        label.astype(float), np.array([vectors[e][0] for e in order], np.int64), float((label[size == 0].sum() + base) / ((size == 0).sum() + 1)),
     )

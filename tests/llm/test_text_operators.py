@@ -216,6 +216,7 @@ def test_block_max_search_is_exact(monkeypatch, long_share):
         vectors.append((i, i % 2, own, rng.integers(1, 4, len(own))))
     index = toxicity.build_index(vectors, terms, rng.integers(5, 90, 90), 500)
     assert (len(index.long_weight) > 0) == (long_share < 1)
+    vectors = [vectors[i] for i in index.ids]
     dense = np.zeros((700, 90))
     for e, v in enumerate(vectors):
         at, w = index.vector(*v[2:])
