@@ -16,7 +16,8 @@ THRESHOLD = 0.7
 MAX_EXAMPLES = 20_000  # labelled rows that are examples, half of them of each label at most; every task holds the index of all of them
 NEIGHBOURS = 15
 BLOCK = 64  # examples per block of the index
-LONG_SHARE, LONG_BYTES = 1 / 32, 1 << 26  # terms that more of the examples hold have long lists, bounded by blocks first; what these lists take at most
+OPENED = 8  # blocks opened first
+LONG_SHARE, LONG_BYTES = 1 / 16, 1 << 26  # terms that more of the examples hold have long lists, bounded by blocks first; what these lists take at most
 BEGINNINGS = (6, 8)  # bytes of a word's beginning that count as a term of their own
 PRIOR_WEIGHT = 0.5  # votes of the prior beside the neighbours' similarities
 EVEN, HALF_GAIN = 0.02, 20.0  # weight of a term that both labels hold alike; likelihood ratio that gives half of what is above
@@ -96,8 +97,8 @@ class Index:
         """The k examples of greatest positive cosine, to six digits, ties by example order; exact.
 
         Short lists are added up first.  A block's bound is the best of these sums in it and, at most, what
-        its maxima of the long lists add.  Blocks are opened by falling bound until no unopened one can
-        reach the k-th best cosine found.
+        its maxima of the long lists add.  The blocks of the greatest bounds are opened first, then all
+        others that could reach the k-th best cosine found in them.
         """
         if not len(at):
             return np.empty(0, np.int64), np.empty(0)
@@ -111,17 +112,18 @@ class Index:
         if len(long):
             by_block = exact.reshape(blocks, BLOCK)
             bound = by_block.max(axis=1) + share @ self.block_max[long]
-            order = np.argsort(-bound, kind="stable")
-            done, step = 0, 4
-            while done < len(order):
-                kth = np.partition(exact, -k)[-k] if len(exact) > k else 0.0
-                some = order[done : done + step]
-                some = np.sort(some[bound[some] >= kth - 1e-6])
-                if not len(some):
-                    break
-                dense = self.long_weight[long] if len(some) == blocks else self.long_weight[long[:, None], some]
-                by_block[some] += (share @ dense.reshape(len(long), -1)).reshape(len(some), BLOCK)
-                done, step = done + step, 4 * step
+            first = np.argpartition(-bound, OPENED)[:OPENED] if blocks > OPENED else np.arange(blocks)
+            by_block[first] += (share @ self.long_weight[long[:, None], first].reshape(len(long), -1)).reshape(len(first), BLOCK)
+            kth = np.partition(exact, -k)[-k] if len(exact) > k else 0.0
+            bound[first] = -1.0
+            some = np.flatnonzero(bound >= kth - 1e-6)
+            if 4 * len(some) < blocks:
+                by_block[some] += (share @ self.long_weight[long[:, None], some].reshape(len(long), -1)).reshape(len(some), BLOCK)
+            else:  # whole rows are read faster than many blocks of them
+                dense = np.zeros((blocks, BLOCK), np.float32)
+                for x, r in zip(share, long, strict=True):
+                    dense += x * self.long_weight[r]
+                by_block[some] += dense[some]
         exact = np.round(exact, 6)
         kth = np.partition(exact, -k)[-k] if len(exact) > k else 0.0
         found = np.flatnonzero((exact > 0) & (exact >= kth))
@@ -273,7 +275,8 @@ def fit_curve(spark, parts, labels: np.ndarray, k: int) -> np.ndarray | None:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(told, pa.list_(pa.float64()))], ["id", "told"])
 
     tasks = max(1, min(spark.sparkContext.defaultParallelism, len(labels) // 50))
-    found = spark.range(0, len(labels), 1, tasks).mapInArrow(votes, "id long, told array<double>").where("size(told) > 0").orderBy("id").collect()
+    found = spark.range(0, len(labels), 1, tasks).mapInArrow(votes, "id long, told array<double>").where("size(told) > 0").collect()
+    found.sort(key=lambda r: r["id"])
     y = np.array([labels[r["id"]] for r in found])
     if len(set(y)) < 2:
         return None
