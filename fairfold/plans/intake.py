@@ -86,6 +86,61 @@ def scan_bad_cells(spark, sf):
     return read.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.round("s_acctbal", 2).alias("s_acctbal"))
 
 
+@query("scan_csv_header_order", SUPPLIER)
+def scan_csv_header_order(spark, sf):
+    path, s = f"{scratch(spark)}/orders.csv", table(spark, sf, "supplier")
+    for i, columns in enumerate((s.columns, s.columns[::-1])):
+        s.filter(F.col("s_suppkey") % 2 == i).select(*columns).write.mode("append").option("header", True).csv(path)
+    return _supplier(rd.read_table(spark, path))
+
+
+@query("scan_csv_quoted_breaks", "SELECT s_suppkey, s_name || chr(10) || 'second, line' AS s_name FROM supplier")
+def scan_csv_quoted_breaks(spark, sf):
+    path, s = f"{scratch(spark)}/breaks.csv", table(spark, sf, "supplier")
+    s.select("s_suppkey", F.concat("s_name", F.lit("\nsecond, line")).alias("s_name")).write.option("header", True).csv(path)
+    return rd.read_table(spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
+
+
+@query("scan_csv_late_types", "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 9 THEN 'n/a' ELSE CAST(s_nationkey AS VARCHAR) END AS cell FROM supplier")
+def scan_csv_late_types(spark, sf):
+    path, s = f"{scratch(spark)}/late.csv", table(spark, sf, "supplier")
+    cell = F.when(F.col("s_suppkey") % 10 == 9, "n/a").otherwise(F.col("s_nationkey").cast("string"))
+    s.select("s_suppkey", cell.alias("cell")).write.option("header", True).csv(path)
+    return rd.read_table(spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "cell")
+
+
+@query("scan_csv_long_ids", """
+SELECT CASE WHEN s_suppkey % 2 = 0 THEN CAST(CAST('12345678901234567890' AS HUGEINT) + s_suppkey AS VARCHAR) ELSE CAST(s_suppkey AS VARCHAR) END AS id,
+       CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS s_nationkey, s_name FROM supplier
+""")
+def scan_csv_long_ids(spark, sf):
+    """Ids of 20 digits in some files, and a column that has no cell in the others, under two header orders."""
+    path, s = f"{scratch(spark)}/ids.csv", table(spark, sf, "supplier")
+    even = F.col("s_suppkey") % 2 == 0
+    long = (F.lit("12345678901234567890").cast("decimal(38,0)") + F.col("s_suppkey")).cast("decimal(38,0)")
+    s.filter(even).select(long.alias("id"), "s_nationkey", "s_name").write.option("header", True).csv(path)
+    s.filter(~even).select("s_name", F.lit(None).cast("int").alias("s_nationkey"), F.col("s_suppkey").alias("id")).write.mode("append").option("header", True).csv(path)
+    return rd.read_table(spark, path).select(F.col("id").cast("string").alias("id"), F.col("s_nationkey").cast("int").alias("s_nationkey"), "s_name")
+
+
+@query("scan_json_documents", SUPPLIER)
+def scan_json_documents(spark, sf):
+    """A file is one array, and each object in it goes over two lines."""
+    path, s = f"{scratch(spark)}/documents.json", table(spark, sf, "supplier")
+    row = F.regexp_replace(F.to_json(F.struct("*")), '^\\{"s_suppkey":(\\d+),', '{"s_suppkey": $1,\n')
+    files = s.select(F.col("s_suppkey").alias("k"), row.alias("row")).groupBy((F.col("k") % 7).alias("g")).agg(F.array_join(F.collect_list("row"), ",\n").alias("rows"))
+    files.select("g", F.concat(F.lit("["), "rows", F.lit("\n]")).alias("value")).write.partitionBy("g").text(path)
+    return _supplier(rd.read_table(spark, path))
+
+
+@query("scan_json_bad_lines", """SELECT '{"s_suppkey": ' || s_suppkey AS line FROM supplier WHERE s_suppkey % 10 = 9""")
+def scan_json_bad_lines(spark, sf):
+    path, s = f"{scratch(spark)}/lines.jsonl", table(spark, sf, "supplier")
+    bad = F.concat(F.lit('{"s_suppkey": '), F.col("s_suppkey").cast("string"))
+    s.select(F.when(F.col("s_suppkey") % 10 == 9, bad).otherwise(F.to_json(F.struct("*"))).alias("value")).write.text(path)
+    return rd.bad_json_lines(spark, path).select("line")
+
+
 @query("scan_ordered_parts", """SELECT row_number() OVER (ORDER BY part, s_suppkey) - 1 AS row_id, s_suppkey FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 2 WHEN s_suppkey % 3 = 1 THEN 0 ELSE 1 END AS part FROM supplier)""")
 def scan_ordered_parts(spark, sf):
     root, s = scratch(spark), table(spark, sf, "supplier")

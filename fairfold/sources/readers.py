@@ -45,10 +45,16 @@ def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame
 
 
 def _json_parts(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Files with one object a line, and files that are one document; each file says so by its first line."""
-    first = _lines(spark, path).groupBy("file").agg(F.min_by(F.trim("value"), "place").alias("first"))
-    documents = (F.col("first").startswith("[") & ~F.col("first").endswith("]")) | (F.col("first") == "{")
-    found = first.select("file", documents.alias("document")).collect()
+    """Files with one value a line, and files that are one document.
+
+    A file is a document if its first line is no whole object or array and most other lines are none either.
+    """
+    text = F.trim("value")
+    whole = (text.startswith("{") & text.endswith("}") | text.startswith("[") & text.endswith("]")) & F.try_parse_json(text).isNotNull()
+    facts = _lines(spark, path).select("file", "place", whole.alias("whole")).groupBy("file").agg(
+        F.min_by("whole", "place").alias("first"), (2 * F.count_if("whole") >= F.count("*")).alias("most")
+    )
+    found = facts.select("file", (~F.col("first") & ~F.col("most")).alias("document")).collect()
     return sorted(unquote(r["file"]) for r in found if not r["document"]), sorted(unquote(r["file"]) for r in found if r["document"])
 
 
@@ -119,22 +125,58 @@ def sniff_dialects(spark: SparkSession, path: str) -> DataFrame:
     return file_facts(spark, path).select("file", "delimiter")
 
 
-def _wider(kinds: list[T.DataType]) -> T.DataType:
-    """One type that holds the cells of all groups of files; text where nothing else does."""
-    order = (T.IntegerType, T.LongType, T.DecimalType, T.DoubleType)
+def _wider(kinds: list[T.DataType], exact: bool) -> T.DataType:
+    """One type that holds the cells of all groups of files; text where nothing else does.
+
+    ``exact`` says that all long values are below 2^53, so that a double holds them.
+    """
+    if not kinds:
+        return T.StringType()
     if all(k == kinds[0] for k in kinds):
         return kinds[0]
-    if all(isinstance(k, order) for k in kinds):
-        widest = max(kinds, key=lambda k: [isinstance(k, o) for o in order].index(True))
-        return T.DoubleType() if isinstance(widest, T.DecimalType) else widest
+    held = {type(k) for k in kinds}
+    if held <= {T.IntegerType, T.LongType}:
+        return T.LongType()
+    if held <= {T.IntegerType, T.LongType, T.DecimalType}:
+        return T.DecimalType(38, max(k.scale for k in kinds if isinstance(k, T.DecimalType)))
+    if held <= {T.IntegerType, T.LongType, T.DoubleType} and exact:
+        return T.DoubleType()
     return T.StringType()
 
 
+def _common_types(groups: list[tuple[DataFrame, T.StructType]]) -> dict[str, T.DataType]:
+    """The type of every column over groups of files (frame, inferred schema).
+
+    Only where groups disagree, their cells are looked at again: a column without any cell in a group has
+    no say, and long values next to doubles must fit into them.
+    """
+    kinds: dict[str, list[T.DataType]] = {}
+    for _, schema in groups:
+        for f in schema:
+            kinds.setdefault(f.name, []).append(f.dataType)
+    split = {c for c, k in kinds.items() if any(x != k[0] for x in k)}
+    said: dict[str, list[T.DataType]] = {c: [] if c in split else k for c, k in kinds.items()}
+    exact = dict.fromkeys(kinds, True)
+    for frame, schema in groups:
+        asked = [f for f in schema if f.name in split]
+        if not asked:
+            continue
+        cells = [F.count(F.col(f"`{f.name}`")) for f in asked]
+        most = [F.max(F.greatest(F.col(f"`{f.name}`"), -F.col(f"`{f.name}`"))) if isinstance(f.dataType, T.LongType) else F.lit(None) for f in asked]
+        row = frame.agg(*[x.alias(f"c{i}") for i, x in enumerate(cells + most)]).first()
+        for i, f in enumerate(asked):
+            if row[i]:
+                said[f.name].append(f.dataType)
+                exact[f.name] &= row[len(asked) + i] is None or 0 <= row[len(asked) + i] < 2**53
+    return {c: _wider(said[c], exact[c]) for c in kinds}
+
+
 def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A CSV file, or a folder of them in several dialects, as one table; cells are matched by header.
 
     Files with one delimiter and header line are read together, those with line breaks in quoted cells
-    whole.  Types come from all rows of all files: a column with a cell that is no number is text, so no
+    whole.  Types come from all rows of all files: a column with a cell that is no number is text, long
+    integers stay exact (as decimals, or as text next to fractions), files without a cell in a column have no say in its type, so no
     cell gets lost by its type.  Cells beyond the header's are cut off, missing ones are NULL.
     """
     groups: dict[tuple, list[str]] = {}
@@ -143,19 +185,15 @@ def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, en
         groups.setdefault((separator or r["delimiter"], r["header"], r["breaks"]), []).append(unquote(r["file"]))
     if not groups:
         raise RefusedError("table_unreadable", path)
-    readers, kinds = [], {}
+    readers = []
     for (delimiter, _, breaks), files in sorted(groups.items()):
 
         def reader(delimiter=delimiter, breaks=breaks):
             return spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", breaks).option("mode", "PERMISSIVE")
 
-        schema = reader().option("inferSchema", True).option("prefersDate", True).csv(files).schema
-        readers.append((reader, files, schema))
-        for f in schema:
-            kinds.setdefault(f.name, []).append(f.dataType)
-    frames = [
-        reader().schema(T.StructType([T.StructField(f.name, _wider(kinds[f.name])) for f in schema])).csv(files) for reader, files, schema in readers
-    ]
+        readers.append((reader, files, reader().option("inferSchema", True).option("prefersDate", True).csv(files).schema))
+    kinds = _common_types([(reader().schema(schema).csv(files), schema) for reader, files, schema in readers])
+    frames = [reader().schema(T.StructType([T.StructField(f.name, kinds[f.name]) for f in schema])).csv(files) for reader, files, schema in readers]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -47,6 +47,26 @@ def test_headers_breaks_and_bad_lines(spark, tmp_path):
     assert [r["line"] for r in rd.bad_json_lines(spark, str(tmp_path / "c.json")).collect()] == ['{"a": ']
 
 
+def test_types_over_groups_of_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,v,w,big\n12345678901234567890,10,1.5,9007199254740993\n12345678901234567891,20,2,9007199254740992\n")
+    (tmp_path / "b.csv").write_text("v,id,big,w,none\n,7,0.5,9007199254740,\n,8,1.5,3,\n")
+    rows = rd.read_csv(spark, str(tmp_path))
+    assert dict(rows.dtypes) == {"id": "decimal(38,0)", "v": "int", "w": "double", "big": "string", "none": "string"}
+    got = {str(r["id"]): (r["v"], r["w"], r["big"]) for r in rows.collect()}
+    assert got == {"12345678901234567890": (10, 1.5, "9007199254740993"), "12345678901234567891": (20, 2.0, "9007199254740992"),
+                   "7": (None, 9007199254740.0, "0.5"), "8": (None, 3.0, "1.5")}
+
+
+def test_json_documents_over_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1,\n "b": {"c": 2}}')
+    assert [(r["a"], r["b"]["c"]) for r in rd.read_table(spark, str(tmp_path / "a.json")).collect()] == [(1, 2)]
+    (tmp_path / "b.json").write_text('[{"a": 1},\n{"a": 2}]\n')
+    assert sorted(r["a"] for r in rd.read_table(spark, str(tmp_path / "b.json")).collect()) == [1, 2]
+    (tmp_path / "c.json").write_text('{"a": 1,\n{"a": 2}\n{"a": 3}\n')  # lines, the first of them broken
+    assert sorted(r["a"] for r in rd.read_table(spark, str(tmp_path / "c.json")).collect()) == [2, 3]
+    assert rd.bad_json_lines(spark, str(tmp_path / "c.json")).count() == 1
+
+
 def test_declared_order_on_encoded_paths(spark, tmp_path):
     parts = [str(tmp_path / f"part {i}") for i in (1, 0)]
     for i, part in enumerate(parts):
