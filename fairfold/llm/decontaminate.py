@@ -137,6 +137,7 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids.
 
+    With ``slop`` the words of a window that stand within ``slop`` of their places are hit, each once.
     NULL and empty texts have no words and are clean; items without words are never found; those
     without item_id count for n_hit and contaminated, but not as items; equal windows of several items count for each of them; repeated documents are judged each for
     themselves.  Empty tables give an empty result, or clean documents.  Further columns are ignored.
@@ -146,7 +147,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop:
     vocabulary = stored(windows.select(F.explode("terms").alias("term")).distinct())
     index = positional_index(spark, docs, vocabulary)
     found = stored(matches(index, windows, slop))
-    hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("p"))
+    if slop:  # the words found, not all between them
+        placed = windows.select("window", F.posexplode("terms").alias("offset", "term"))
+        postings = matching(index.where(F.col("term").isNotNull()).select("row", "term", "positions"), stored(found.select("row").distinct()), ["row"], "left_semi")
+        near = F.filter("positions", lambda p: F.abs(p - F.col("start") - F.col("offset")) <= slop)
+        hit = found.select("row", "start", "window").join(placed, "window").join(postings, ["row", "term"]).select("row", F.explode(near).alias("p"))
+    else:
+        hit = found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("p"))
     hit = hit.groupBy("row", "p").agg(F.lit(1)).groupBy("row").agg(F.count("*").alias("n_hit"))
     of_item = found.select("row", "window").distinct().join(windows.select("window", "items"), "window")
     of_item = of_item.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))

@@ -288,6 +288,14 @@ def test_toxicity_equals_all_cosines(spark):
     assert len({round(v, 9) for v in got.values()}) > 250
 
 
+def test_proximity_counts_words_once(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "x a b q c"), (3, "c x x x a"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "a a a"), ("j", "a b c")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.contamination(docs, items, slop=2).collect()}
+    assert got[1] == (1, 1, ["i"]) and got[2] == (5, 3, ["i", "j"]) and got[4] == (0, 0, [])
+    assert got[3] == (5, 1, ["i"])
+
+
 def test_chat(spark):
     turns = spark.createDataFrame(
         [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|x"), (1, 2, "bob", None), (1, 70, "ann", "é"), (2, 0, None, "me"), (None, None, "ann", "x"), (3, 0, "system", "alone"), (1, 1, "ann", "hi <|x")],
