@@ -101,6 +101,15 @@ def scan_csv_quoted_breaks(spark, sf):
     return rd.read_table(spark, path).select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name")
 
 
+@query("scan_csv_texts", "SELECT doc_id, source || '\"' || doc_id || '\"' AS name, text FROM documents")
+def scan_csv_texts(spark, sf):
+    """Whole texts with line breaks, delimiters and doubled quotes in their cells."""
+    path, t = f"{scratch(spark)}/texts.csv", table(spark, sf, "documents")
+    rows = t.select("doc_id", F.concat("source", F.lit('"'), "doc_id", F.lit('"')).alias("name"), "text")
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return rd.read_table(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "name", "text")
+
+
 @query("scan_csv_late_types", "SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 9 THEN 'n/a' ELSE CAST(s_nationkey AS VARCHAR) END AS cell FROM supplier")
 def scan_csv_late_types(spark, sf):
     path, s = f"{scratch(spark)}/late.csv", table(spark, sf, "supplier")

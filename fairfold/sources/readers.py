@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairfold import fixed
+from fairfold.session import ensure_checkpoint_dir
+from fairfold.sources import quoted
 from fairfold.spec import RefusedError
 
 BAD_LINE = "_corrupt_record"
@@ -174,8 +176,10 @@ def _common_types(groups: list[tuple[DataFrame, T.StructType]]) -> dict[str, T.D
 def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """A CSV file, or a folder of them in several dialects, as one table; cells are matched by header.
 
-    Files with one delimiter and header line are read together, those with line breaks in quoted cells
-    whole.  Types come from all rows of all files: a column with a cell that is no number is text, long
+    Files with one delimiter and header line are read together, each by as many tasks as it has blocks, also
+    those with line breaks in quoted cells (see ``quoted``); only files in encodings of several bytes a
+    character or with lone carriage returns are then one task each.  A quote inside a quoted cell is
+    doubled.  Types come from all rows of all files: a column with a cell that is no number is text, long
     integers stay exact (as decimals, or as text next to fractions), files without a cell in a column have no say in its type, so no
     cell gets lost by its type.  Cells beyond the header's are cut off, missing ones are NULL.
     """
@@ -187,16 +191,47 @@ def read_csv(spark: SparkSession, path: str, *, separator: str | None = None, en
         raise RefusedError("table_unreadable", path)
     readers = []
     for (delimiter, _, breaks), files in sorted(groups.items()):
+        serial = files
+        if breaks and not encoding.upper().startswith(("UTF-16", "UTF-32")):
+            serial, split = _by_blocks(spark, files, delimiter, encoding)
+            if split:
+                readers.append(split)
+        if not serial:
+            continue
 
         def reader(delimiter=delimiter, breaks=breaks):
-            return spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding).option("multiLine", breaks).option("mode", "PERMISSIVE")
+            options = {"header": True, "sep": delimiter, "escape": '"', "encoding": encoding, "multiLine": breaks, "mode": "PERMISSIVE"}
+            return spark.read.options(**options)
+
+        def typed(schema, reader=reader, files=serial):
+            return reader().schema(schema).csv(files)
 
-        readers.append((reader, files, reader().option("inferSchema", True).option("prefersDate", True).csv(files).schema))
-    kinds = _common_types([(reader().schema(schema).csv(files), schema) for reader, files, schema in readers])
-    frames = [reader().schema(T.StructType([T.StructField(f.name, kinds[f.name]) for f in schema])).csv(files) for reader, files, schema in readers]
+        readers.append((typed, reader().option("inferSchema", True).option("prefersDate", True).csv(serial).schema))
+    kinds = _common_types([(typed(schema), schema) for typed, schema in readers])
+    frames = [typed(T.StructType([T.StructField(f.name, kinds[f.name]) for f in schema])) for typed, schema in readers]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _by_blocks(spark: SparkSession, files: list[str], delimiter: str, encoding: str) -> tuple[list[str], tuple | None]:
+    """Files that have to be read serially, and a reader with its schema for the others."""
+    ensure_checkpoint_dir(spark)
+    size = quoted.block_size(spark)
+    states = quoted.block_states(spark, files, delimiter, size, encoding).checkpoint()  # one row a block
+    # one entry per file, like the file listing the driver holds anyway
+    lone = {unquote(r["file"]) for r in states.groupBy("file").agg(F.max("lone").alias("lone")).where("lone").collect()}
+    rest = [f for f in files if f not in lone]
+    if not rest:
+        return files, None
+    # the header's names as Spark makes them; no more than the first record of a file is read for them
+    named = spark.read.options(header=True, sep=delimiter, escape='"', encoding=encoding, multiLine=True).csv(rest[:1]).schema
+    rows = quoted.records(spark, rest, delimiter, size, states, encoding).where("start > 0 or place > 0")  # the first one is the header
+
+    def typed(schema):
+        return quoted.parsed(rows, schema, delimiter)
+
+    return sorted(lone), (typed, quoted.infer_types(typed(T.StructType([T.StructField(f.name, T.StringType()) for f in named]))))
+
+
 read_mixed_csv = read_csv
 
 

@@ -1,3 +1,8 @@
+import csv
+import io
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,6 +12,7 @@ from fairfold.operators import history as hs
 from fairfold.operators.rowid import with_row_id
 from fairfold.plans.intake import write_package
 from fairfold.sources import package as pk
+from fairfold.sources import quoted
 from fairfold.sources import readers as rd
 from fairfold.sources import snapshots as sn
 from fairfold.spec import RefusedError
@@ -114,3 +120,82 @@ def test_run_comparison_bounds(spark):
         hs.compare_runs(runs, ["a"])
     with pytest.raises(RefusedError):
         hs.compare_runs(runs, ["a", "nope"])
+
+
+@pytest.fixture
+def small_blocks(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    yield lambda size: [spark.conf.set(k, str(size)) for k in kept]
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def _csv_text(rows, end="\n"):
+    out = io.StringIO()
+    csv.writer(out, lineterminator=end).writerows(rows)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_breaks_by_blocks(spark, tmp_path, small_blocks, end):
+    """Every block is a task, wherever its border lies: in a cell, between doubled quotes, in a cell longer than a block."""
+    dice = random.Random(3)
+    word = ["a", "b,", '"', '""', "\n", "\n\n", 'say "hi"', " ", "é", ',"', '"\n', "x" * 30]
+    rows = [[k, "".join(dice.choices(word, k=dice.randrange(1, 8))) + "z", k / 4] for k in range(400)]
+    rows[200][1] = "long\n" * 600
+    path = tmp_path / "a.csv"
+    path.write_text(_csv_text([["id", 'the "text",\nit is', "v"], *rows], end), newline="")
+    small_blocks(700)
+    states = quoted.block_states(spark, [str(path)], ",", 700)
+    blocks = states.count()
+    assert blocks >= path.stat().st_size // 700 - 10 and states.where("starts_inside").count() > 3
+    assert quoted.records(spark, [str(path)], ",", 700, states).rdd.getNumPartitions() >= blocks
+    found = rd.read_csv(spark, str(path))
+    assert [t for _, t in found.dtypes] == ["int", "string", "double"]
+    assert sorted(tuple(r) for r in found.collect()) == [(k, t, v) for k, t, v in rows]
+
+
+def test_quotes_that_open_no_cell(spark, tmp_path, small_blocks):
+    text = 'id,size,note\n1,5" pipe,"a\nb"\n2,6",plain\n\n3,"7""","c\n\nd"\n4,,"not closed\nto the end\n'
+    (tmp_path / "a.csv").write_text(text)
+    want = [(1, '5" pipe', "a\nb"), (2, '6"', "plain"), (3, '7"', "c\n\nd"), (4, None, "not closed\nto the end\n")]
+    for size in (8, 20, 1000):
+        small_blocks(size)
+        got = sorted(tuple(r) for r in rd.read_csv(spark, str(tmp_path)).collect())
+        assert got[:3] == want[:3] and got[3][:2] == want[3][:2] and got[3][2].strip('"\n') == "not closed\nto the end"
+
+
+def test_lone_carriage_returns_are_read_serially(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b\r1,"x\ry"\r2,z\r', newline="")
+    (tmp_path / "b.csv").write_text('a,b\n3,"x\ny"\n')
+    assert sorted(r["a"] for r in rd.read_csv(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_line_states_against_a_reader_of_characters():
+    def plain(line, inside):
+        state, i = "cell" if inside else "begin", 0
+        while i < len(line):
+            c = line[i]
+            if state == "cell":
+                if c == '"' and line[i + 1 : i + 2] == '"':
+                    i += 1
+                elif c == '"':
+                    state = "rest"
+            elif c == ",":
+                state = "begin"
+            else:
+                state = "cell" if state == "begin" and c == '"' else "rest"
+            i += 1
+        return state == "cell"
+
+    for n in range(8):
+        for line in map("".join, itertools.product('",x', repeat=n)):
+            for inside in (False, True):
+                assert quoted.ends_inside(line, inside, ",") == plain(line, inside), (line, inside)
+
+
+def test_types_of_text_cells(spark):
+    cells = {"i": ["1", "-2"], "l": ["1", "3000000000"], "d": ["1", "12345678901234567890"], "f": ["1", "2.5e3"], "t": ["2024-01-02", None],
+             "m": ["2024-01-02 03:04:05", "2024-01-02"], "b": ["true", "False"], "s": ["1", "n/a"], "none": [None, None], "bad": ["2024-13-02", "2024-01-02"]}
+    df = spark.createDataFrame(list(zip(*cells.values(), strict=True)), ", ".join(f"{c} string" for c in cells))
+    assert [f.dataType.simpleString() for f in quoted.infer_types(df)] == ["int", "bigint", "decimal(38,0)", "double", "date", "timestamp", "boolean", "string", "string", "string"]
