@@ -153,7 +153,6 @@ UNKNOWN_ORDINAL = -1.0
 
 # --- models ------------------------------------------------------------------------------------
 KNN_NEIGHBOURS = 15
-KNN_MAX_TRAIN_ROWS = 200_000
 
 # --- package intake ----------------------------------------------------------------------------
 PACKAGE_MAJOR = 1

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairfold.functions.scalars import feature_kinds
-from fairfold.ml.contenders import Contender, Fitted, finish
+from fairfold.ml.contenders import Contender, Fitted, KnnFitted, finish
+from fairfold.ml.neighbours import Neighbours
 from fairfold.operators.predictions import wide_probabilities
 from fairfold.spec import RefusedError, TaskSpec
 
@@ -31,13 +32,13 @@ def folder_checksum(spark: SparkSession, folder: str) -> str:
 
 
 def save(
-    fitted: Fitted, folder: str, *, run_id: str, dataset: str, protocol: dict, training_rows: int, sample: DataFrame
+    fitted: Fitted | KnnFitted, folder: str, *, run_id: str, dataset: str, protocol: dict, training_rows: int, sample: DataFrame
 ) -> dict:
     """Write model and manifest; ``sample`` supplies the feature types."""
     spec, spark = fitted.spec, sample.sparkSession
-    if not isinstance(fitted, Fitted):
-        raise RefusedError("artifact_not_supported", "this contender keeps its training rows and is not saved")
     fitted.model.write().overwrite().save(f"{folder}/model")
+    if isinstance(fitted, KnnFitted):
+        fitted.index.save(f"{folder}/model/index")  # the training rows are the model
     kinds = feature_kinds(sample, spec.features)
     manifest = {
         "format": FORMAT, "format_version": VERSION, "run_id": run_id, "contender_key": fitted.contender.key,
@@ -59,7 +60,7 @@ def save(
     return manifest
 
 
-def load(spark: SparkSession, folder: str) -> tuple[Fitted, dict]:
+def load(spark: SparkSession, folder: str) -> tuple[Fitted | KnnFitted, dict]:
     """Verify the checksum before anything of the model is loaded."""
     manifest = json.loads(spark.read.text(f"{folder}/manifest").first()["value"])
     if manifest.get("format") != FORMAT or manifest.get("format_version") != VERSION:
@@ -74,7 +75,10 @@ def load(spark: SparkSession, folder: str) -> tuple[Fitted, dict]:
         manifest["contender_key"], manifest["adapter"], manifest["profile"], (task["task_type"],), manifest["proba"],
         params=manifest["params"],
     )
-    return Fitted(contender, spec, PipelineModel.load(f"{folder}/model"), manifest["classes"]), manifest
+    model = PipelineModel.load(f"{folder}/model")
+    if contender.adapter == "knn":
+        return KnnFitted(contender, spec, model, Neighbours.load(spark, f"{folder}/model/index")), manifest
+    return Fitted(contender, spec, model, manifest["classes"]), manifest
 
 
 def check_columns(columns: list[str], spec: TaskSpec) -> tuple[list[str], list[str]]:
@@ -82,13 +86,17 @@ def check_columns(columns: list[str], spec: TaskSpec) -> tuple[list[str], list[s
     return [c for c in spec.features if c not in columns], [c for c in columns if c not in spec.features]
 
 
-def score(fitted: Fitted, rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(fitted: Fitted | KnnFitted, rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Batch scoring: no ``fit`` on this path, columns in the order the model was trained with."""
     missing, _ = check_columns(rows.columns, fitted.spec)
     if missing:
         raise RefusedError("schema_mismatch", ", ".join(missing))
     ordered = rows.select(*keep, *[c for c in fitted.spec.features if c not in keep])
-    scored = finish(fitted.model.transform(ordered), list(keep), fitted.spec, fitted.contender, fitted.classes)
+    if isinstance(fitted, KnnFitted):
+        scored = fitted.predict(ordered)
+        scored = scored.select(*keep, *[c for c in ("y_pred", "proba") if c in scored.columns])
+    else:
+        scored = finish(fitted.model.transform(ordered), list(keep), fitted.spec, fitted.contender, fitted.classes)
     return scored.withColumnRenamed("y_pred", "prediction")
 
 

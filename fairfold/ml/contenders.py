@@ -9,8 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -23,10 +21,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fairfold import fixed
 from fairfold.functions.scalars import dtype_of, label_text
+from fairfold.ml.neighbours import Neighbours
 from fairfold.ml.recipe import fit_recipe, sql_number, sql_text
 from fairfold.operators.predictions import align_probabilities, labels_literal
 from fairfold.operators.ranking import exact_quantiles
@@ -177,7 +175,8 @@ def fit(contender: Contender, train: DataFrame, spec: TaskSpec, seed: int) -> Fi
         prepared = stage.transform(prepared)
     prepared = prepared.select("row_id", "label", "features")
     if contender.adapter == "knn":
-        return KnnFitted(contender, spec, PipelineModel(recipe.stages), prepared)
+        points = prepared.select("row_id", "label", vector_to_array("features").alias("x"))
+        return KnnFitted(contender, spec, PipelineModel(recipe.stages), Neighbours.build(points, contender.params["n_neighbors"]))
     if spec.is_classification and train.select("label").distinct().limit(2).count() < 2:
         raise RefusedError("fit_failed", "one class in the training rows")
     # the fit makes several passes over the assembled vectors; spilling to disk is fine
@@ -228,59 +227,35 @@ def _combine(scored: DataFrame, spec: TaskSpec) -> DataFrame:
 
 
 class KnnFitted:
-    """Exact nearest neighbours against a training side of proven size.
+    """Exact nearest neighbours over an index of all training rows (see ``neighbours``).
 
-    The training matrix has at most 200 000 rows (larger ones are refused, as too many for this
-    method), so it is broadcast; query rows stay partitioned and are compared in Arrow batches.
+    Equal distances are ordered by row id.  Votes count alike; of classes with equal votes the first wins.
+    Searching runs jobs of its own, so ``predict`` is not lazy.
     """
 
-    def __init__(self, contender: Contender, spec: TaskSpec, recipe: PipelineModel, prepared: DataFrame) -> None:
-        limit = fixed.KNN_MAX_TRAIN_ROWS
-        kept = prepared.select("row_id", "label", vector_to_array("features").alias("x")).limit(limit + 1)
-        rows = kept.toPandas()
-        if len(rows) > limit:
-            raise RefusedError("not_applicable", f"more than {limit} training rows")
-        rows = rows.sort_values("row_id")
-        self.contender, self.spec, self.model = contender, spec, recipe
-        self.x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, 1))
-        self.label = rows["label"].to_numpy(float)
-        if not len(rows):
-            raise RefusedError("fit_failed", "no training rows")
+    def __init__(self, contender: Contender, spec: TaskSpec, recipe: PipelineModel, index: Neighbours) -> None:
+        self.contender, self.spec, self.model, self.index = contender, spec, recipe, index
+        self.classes = list(spec.labels)
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        spec, contender = self.spec, self.contender
-        k = min(contender.params["n_neighbors"], len(self.label))
-        classes = len(spec.labels)
-        spark = rows.sparkSession
-        shared = spark.sparkContext.broadcast((self.x, (self.x**2).sum(1), self.label))
-        keep = rows.columns
-        wide = self.model.transform(rows).select(*keep, vector_to_array("features").alias("__x"))
-        schema = T.StructType([*rows.schema.fields, T.StructField("prediction", T.DoubleType())])
-        if spec.is_classification:
-            schema = schema.add("probability", T.ArrayType(T.DoubleType()))
-
-        def nearest(batches):
-            train, norms, label = shared.value
-            for pdf in batches:
-                out = pdf[keep].copy()
-                votes = []
-                guesses = []
-                points = np.stack(pdf["__x"].to_numpy()) if len(pdf) else np.zeros((0, train.shape[1]))
-                step = max(1, 8_000_000 // len(train))  # keeps a distance block below 64 MB
-                for start in range(0, len(points), step):
-                    block = points[start : start + step]
-                    distance = norms[None, :] - 2 * block @ train.T  # the query's own norm is constant
-                    chosen = np.argpartition(distance, k - 1, axis=1)[:, :k]
-                    near = label[chosen]
-                    if classes:
-                        share = np.stack([(near == c).mean(1) for c in range(classes)], axis=1)
-                        votes += list(share)
-                        guesses += list(share.argmax(1).astype(float))
-                    else:
-                        guesses += list(near.mean(1))
-                out["prediction"] = pd.Series(guesses, index=out.index, dtype=float)
-                if classes:
-                    out["probability"] = pd.Series(votes, index=out.index, dtype=object)
-                yield out
-
-        return finish(wide.mapInPandas(nearest, schema), keep, spec, contender, list(spec.labels))
+        """``rows`` plus y_pred and, for classification, proba."""
+        spec, keep = self.spec, rows.columns
+        query, near = free_name(keep, "query"), free_name(keep, "near")
+        # numbered once and kept: the search reads them several times
+        wide = self.model.transform(rows).select(*keep, vector_to_array("features").alias(near), F.monotonically_increasing_id().alias(query)).checkpoint()
+        found = self.index.search(wide.select(F.col(query).alias("qid"), F.col(near).alias("x"))).select(F.col("qid").alias(query), F.col("near").alias(near))
+        scored = wide.drop(near).join(found, query)
+        label = F.transform(near, lambda n: n["label"])
+        if not spec.is_classification:
+            total = F.aggregate(label, F.lit(0.0), lambda a, b: a + b)
+            return finish(scored.withColumn("prediction", total / F.size(label)), keep, spec, self.contender, self.classes)
+        share = F.transform(F.sequence(F.lit(0), F.lit(len(spec.labels) - 1)), lambda c: F.size(F.filter(label, lambda x: x == c)) / F.size(label))
+        scored = scored.withColumn("probability", share)
+        best = F.array_position("probability", F.array_max("probability")) - 1
+        return finish(scored.withColumn("prediction", best.cast("double")), keep, spec, self.contender, self.classes)
+
+
+def free_name(taken: list[str], name: str) -> str:
+    while name in taken:
+        name += "_"
+    return name

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -225,14 +226,42 @@ best AS (SELECT vec_id, first(label ORDER BY share DESC, label) AS y_pred, max(s
 SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS y, y_pred, round(CAST(CAST(share AS FLOAT) AS DOUBLE), 6) AS share FROM best JOIN embeddings USING (vec_id)""")
 def model_nearest_neighbours(spark, sf):
     """Label of an embedding from its nearest embeddings."""
+    return _neighbours(spark, sf, (0,))
+
+
+def _neighbours(spark, sf, folds):
     e = table(spark, sf, "embeddings")
     size = len(e.select("embedding").first()["embedding"])
     wide = e.select(F.col("vec_id").alias("row_id"), F.col("label").cast("string").alias("kind"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(size)])
     labels = tuple(r["kind"] for r in wide.select("kind").distinct().orderBy("kind").collect())
     spec = TaskSpec("kind", "multiclass", tuple(f"e{i}" for i in range(size)), labels)
-    rows = ct.with_target(fd.assign(wide, spec, K5, keep=(*spec.features, "kind")), spec).drop("kind")
-    fitted = ct.fit(ct.REGISTRY["knn"], rows.filter(fd.train_of(0, K5)), spec, 42)
-    return fitted.predict(rows.filter(fd.validation_of(0, K5))).select("row_id", "y", "y_pred", F.round(F.array_max("proba").cast("double"), 6).alias("share"))
+    assigned = fd.assign(wide, spec, K5, keep=(*spec.features, "kind"))
+    rows = ct.with_target(assigned, spec).drop("kind")
+    parts = []
+    for fold in folds:
+        fitted = ct.fit(ct.REGISTRY["knn"], rows.filter(fd.train_of(fold, K5)), spec, 42)
+        if fold:  # the index is the model: it scores from its saved files
+            folder = scratch(spark)
+            ar.save(fitted, folder, run_id="run-1", dataset="embeddings", protocol={}, training_rows=fitted.index.rows, sample=assigned)
+            fitted, _ = ar.load(spark, folder)
+        parts.append(fitted.predict(rows.filter(fd.validation_of(fold, K5))).select("row_id", "y", "y_pred", F.round(F.array_max("proba").cast("double"), 6).alias("share")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("model_nearest_neighbours_folds", """
+WITH h AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY 1 ORDER BY md5('42:order:' || vec_id), vec_id) AS r, count(*) OVER () AS n FROM embeddings),
+pool AS (SELECT *, ntile(5) OVER (ORDER BY r) - 1 AS chunk FROM h WHERE r > ceil(2e-1 * n)),
+cells AS (SELECT vec_id, label, chunk, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM pool),
+scale AS (SELECT f.chunk AS fold, d, avg(x) AS m, stddev_pop(x) AS s FROM cells JOIN (SELECT DISTINCT chunk FROM pool) f ON cells.chunk <> f.chunk GROUP BY ALL),
+z AS (SELECT fold, vec_id, label, chunk, list((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END ORDER BY d) AS z FROM cells JOIN scale USING (d) GROUP BY ALL),
+pairs AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.z, t.z), t.vec_id) AS place
+          FROM z q JOIN z t ON q.fold = t.fold AND q.chunk = q.fold AND t.chunk <> t.fold),
+votes AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, count(*) / 15e0 AS share FROM pairs WHERE place <= 15 GROUP BY 1, 2),
+best AS (SELECT vec_id, first(label ORDER BY share DESC, label) AS y_pred, max(share) AS share FROM votes GROUP BY vec_id)
+SELECT vec_id AS row_id, CAST(label AS VARCHAR) AS y, y_pred, round(CAST(CAST(share AS FLOAT) AS DOUBLE), 6) AS share FROM best JOIN embeddings USING (vec_id)""")
+def model_nearest_neighbours_folds(spark, sf):
+    """The same for all five folds; from the second on the saved model answers."""
+    return _neighbours(spark, sf, range(K5.n_splits))
 
 
 @query("model_regression_contenders")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fairfold.ml import artifact as ar
 from fairfold.ml import contenders as ct
+from fairfold.ml import neighbours as nb
 from fairfold.ml import recipe as rc
 from fairfold.ml import reports as rp
 from fairfold.ml import tournament as tm
@@ -192,3 +193,54 @@ def test_error_rows_keep_the_target_out_of_the_features(spark):
     assert set(rows[0]["context"].asDict()) == {"y", "other"} and rows[0]["probabilities"]["yes"] == pytest.approx(0.9)
     with pytest.raises(RefusedError):
         er.holdout_rows(p.withColumn("split", F.lit("holdout")), snapshot.filter("row_id > 3"))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_neighbour_index_against_all_pairs(spark, monkeypatch, tmp_path, kind):
+    """Clusters, many copies and ties on a grid; small blocks, and blocks sent to several tasks."""
+    rng = np.random.default_rng(1)
+    clusters = rng.normal(size=(600, 3)) + rng.integers(0, 6, size=(600, 1)) * 5
+    x = np.concatenate([clusters, np.zeros((400, 3)), rng.integers(0, 3, size=(200, 3))])
+    queries = np.concatenate([x[::17], rng.normal(size=(20, 3)) * 5])
+    monkeypatch.setattr(nb, "BLOCK_BYTES", 24 * 32)
+    monkeypatch.setattr(nb, "QUERIES_A_TASK", 10)
+
+    def frame(rows):
+        return spark.createDataFrame([(k, float(k % 3), [float(v) for v in r]) for k, r in enumerate(rows)], "row_id long, label double, x array<double>")
+
+    index = nb.Neighbours.build(frame(x).withColumn("row_id", F.lpad(F.col("row_id").cast("string"), 6, "0").cast(kind)), 7)
+    assert index.rows < 1000 and index.listed["n"].max() <= 32  # of 400 copies each task keeps seven
+    index.save(str(tmp_path))
+    asked = frame(queries).withColumnRenamed("row_id", "qid")
+    for one in (index, nb.Neighbours.load(spark, str(tmp_path))):
+        got = {r["qid"]: [(n["distance"], int(n["row_id"]), n["label"]) for n in r["near"]] for r in one.search(asked).collect()}
+        distance = ((queries[:, None] - x[None]) ** 2).sum(2)
+        order = [np.lexsort((np.arange(len(x)), d))[:7] for d in distance]
+        assert got == {q: [(distance[q][j], j, float(j % 3)) for j in near] for q, near in enumerate(order)}
+
+
+def test_neighbours_prune_blocks(spark, monkeypatch):
+    """Far clusters are not visited, and fewer rows than neighbours are all found."""
+    monkeypatch.setattr(nb, "BLOCK_BYTES", 16 * 20)
+    rows = spark.range(1000).selectExpr("id as row_id", "0D as label", "array((id % 10) * 1000D, (id div 10) * 0.01D) as x")
+    index = nb.Neighbours.build(rows, 5)
+    asked = rows.where("row_id < 50").selectExpr("row_id as qid", "x")
+    first = asked.mapInArrow(index._asked(False), "qid long, block long").groupBy("qid").count()
+    assert len(index.listed["n"]) >= 50 and first.agg(F.max("count")).first()[0] <= 3  # some blocks have fewer than five rows
+    found = index.search(asked)
+    assert found.where("exists(near, n -> n.distance > 0.01)").count() == 0
+    rest = asked.withColumn("most", F.lit(0.01)).mapInArrow(index._asked(True), "qid long, block long, most double").groupBy("qid").count()
+    assert rest.agg(F.max("count")).first()[0] <= len(index.listed["n"]) / 8
+    few = nb.Neighbours.build(rows.where("row_id < 3"), 5).search(asked)
+    assert {r["s"] for r in few.selectExpr("size(near) as s").collect()} == {3}
+    assert index.search(asked.limit(0)).count() == 0
+
+
+def test_neighbours_are_saved(spark, tmp_path):
+    rows = churn_rows(spark)
+    spec = TaskSpec("amount", "regression", ("tenure", "plan"))
+    fitted = ct.fit(ct.REGISTRY["knn"], ct.with_target(rows, spec), spec, 1)
+    ar.save(fitted, str(tmp_path), run_id="r", dataset="d", protocol={}, training_rows=300, sample=rows)
+    loaded, _ = ar.load(spark, str(tmp_path))
+    a = ar.score(fitted, rows, keep=("row_id",)).collect()
+    assert sorted(a) == sorted(ar.score(loaded, rows, keep=("row_id",)).collect()) and len(a) == 300
