@@ -61,7 +61,6 @@ CLASS_SHARE = 0.05
 MIN_CLASS_LIMIT = 20
 MAX_CLASSES_ALLOWED = 1_000
 MIN_TIMESTAMPS = 10
-TIME_SAMPLE_ROWS = 200
 TIME_PARSE_FAILURES = 0.1
 GROUP_RATIO_LOW = 0.02
 GROUP_RATIO_HIGH = 0.6

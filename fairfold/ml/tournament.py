@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fairfold import fixed
 from fairfold.ml.contenders import UNAVAILABLE, Contender, fit, with_target
 from fairfold.operators import folds as fd
-from fairfold.operators.predictions import PART, oof_coverage, violations
+from fairfold.operators.predictions import PART, oof_coverage, part_coverage, violations
 from fairfold.spec import Protocol, RefusedError, TaskSpec
 
 RUN_CONTENDERS = (
@@ -87,6 +87,9 @@ def run(
     probes = spark.read.parquet(f"{path}/probes/run_id={run_id}")
     pool = assigned.filter("part = 'pool'").select("row_id")
     spec_in = replace(spec, row_id="row_id")
+    # what has to be predicted besides the pool
+    held = assigned.filter("part = 'holdout'").select(F.lit(fixed.SPLIT_HOLDOUT).alias("split"), F.lit(fixed.HOLDOUT_FOLD).alias("fold"), "row_id")
+    asked = held.unionByName(probes.select(F.lit(fixed.SPLIT_PROBE).alias("split"), "fold", "row_id"))
 
     def one(entry: Contender | str) -> Outcome:
         if isinstance(entry, str):
@@ -106,6 +109,9 @@ def run(
             verdict = oof_coverage(written, pool, protocol).first()["verdict"]
             if verdict not in ("complete", "first_period_only_trains"):
                 return Outcome(entry, "FAILED", "invalid_predictions", verdict)
+            other = part_coverage(written.filter(F.col("split") != fixed.SPLIT_CV), asked).filter("verdict <> 'complete'").orderBy("split", "fold").first()
+            if other:
+                return Outcome(entry, "FAILED", "invalid_predictions", f"{other['split']} {other['fold']}: {other['verdict']}")
             return Outcome(entry, "SUCCEEDED", predictions=written, model=model, coverage=verdict)
         except RefusedError as error:
             state = "SKIPPED" if error.code in ("not_applicable", "task_not_supported", "vocabulary_too_large") else "FAILED"

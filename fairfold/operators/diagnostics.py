@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairfold import fixed
+from fairfold.operators.gram import strong_correlations
 from fairfold.operators.predictions import labels_literal, of_split
 from fairfold.operators.ranking import exact_quantiles
 from fairfold.spec import TaskSpec
@@ -266,21 +267,7 @@ def largest_errors(predictions: DataFrame, keep: int = fixed.LARGEST_ERRORS) ->
 
 def correlated_pairs(df: DataFrame, columns: list[str], limit: float = fixed.HIGH_CORRELATION) -> DataFrame:
     """Pairs of numeric columns with a strong Pearson correlation over rows where both are known."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    rows: list[tuple] = []
-    for start in range(0, len(pairs), 400):  # keeps one aggregation within compilable size
-        block = pairs[start : start + 400]
-        both = [
-            F.corr(F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))).alias(f"c{i}")
-            for i, (a, b) in enumerate(block)
-        ]
-        values = df.agg(*both).first()
-        rows += [
-            (a, b, round(float(v), 4))
-            for (a, b), v in zip(block, values, strict=True)
-            if v is not None and v == v and abs(v) >= limit
-        ]
-    return df.sparkSession.createDataFrame(rows, "first string, second string, correlation double")
+    return strong_correlations(df, columns, limit)
 
 
 # --- the whole report ------------------------------------------------------------------------------------

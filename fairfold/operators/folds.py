@@ -267,18 +267,43 @@ def overlap(assignments: DataFrame, protocol: Protocol) -> DataFrame:
     )
 
 
+PROBE_EXCESS = 4  # so many times the rows wanted are ranked
+
+
 # --- samples inside the training side ----------------------------------------------------------------
 
 
 def train_probe(assignments: DataFrame, protocol: Protocol, rows: int = fixed.PROBE_ROWS_PER_FOLD) -> DataFrame:
     """fold, row_id: the first ``rows`` training rows of each fold in a seeded order.
 
-    The rank filter runs before the shuffle as well, so a task forwards at most ``rows`` per fold.
+    Only rows below a cut of the hash are ranked, a few times ``rows`` per fold whatever its size: hashes are
+    uniform, so the cut follows from the fold's size.  A count says whether it leaves enough; where it does
+    not, it is raised, so the result never depends on it.
     """
-    members = assignments.filter("part = 'pool'").select("row_id", F.explode(training_folds(protocol)).alias("fold"))
+    members = assignments.filter("part = 'pool'").select("row_id", training_folds(protocol).alias("folds"))
     hashed = members.withColumn("__h", seeded_hash(protocol.seed, "probe", F.col("row_id")))
+    sizes = {r["fold"]: r["train_rows"] for r in fold_sizes(assignments, protocol).collect()}  # one row a fold
+    share = {fold: PROBE_EXCESS * rows / max(1, n) for fold, n in sizes.items()}
+    while True:
+        below = _below(hashed, share)
+        held = {r["fold"]: r["n"] for r in below.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+        short = [fold for fold, n in sizes.items() if share[fold] < 1 and held.get(fold, 0) < min(rows, n)]
+        if not short:
+            break
+        share |= {fold: share[fold] * PROBE_EXCESS for fold in short}
     order = Window.partitionBy("fold").orderBy("__h", "row_id")
-    return hashed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).select("fold", "row_id")
+    return below.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).select("fold", "row_id")
+
+
+def _below(hashed: DataFrame, share: dict[int, float]) -> DataFrame:
+    """``fold, row_id, __h`` of (row_id, folds, __h) whose hash is among the fold's lowest ``share``."""
+    if not share:
+        return hashed.select(F.explode("folds").alias("fold"), "row_id", "__h")
+    # hex digits compare as text; "g" is above all of them
+    cut = {fold: f"{int(s * 16**12):012x}" if s < 1 else "g" for fold, s in share.items()}
+    cuts = F.create_map(*[x for fold, c in cut.items() for x in (F.lit(fold).cast("int"), F.lit(c))])
+    rows = hashed.filter(F.col("__h") < max(cut.values())).select(F.explode("folds").alias("fold"), "row_id", "__h")
+    return rows.filter(F.col("__h") < F.coalesce(F.try_element_at(cuts, F.col("fold").cast("int")), F.lit("g")))
 
 
 def subset_size(train_rows: int, fraction: float) -> int:

@@ -136,6 +136,38 @@ def oof_coverage(predictions: DataFrame, pool: DataFrame, protocol: Protocol) ->
     )
 
 
+def part_coverage(predictions: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per contender and part (split, fold): expected, covered, duplicated, stray rows and the verdict.
+
+    ``expected`` holds ``split, fold, row_id`` of every row a contender has to predict, holdout and probes
+    included.  A part without any prediction is ``incomplete``, a predicted part nobody asked for ``stray``.
+    """
+    who = ["run_id", "contender_key"]
+    # one row per split and fold
+    sizes = [(r["split"], r["fold"], r["n"]) for r in expected.groupBy("split", "fold").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if not sizes:
+        every = predictions.select(*PART, F.lit(0).cast("long").alias("expected_rows")).limit(0)
+    else:
+        parts = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(f).cast("int").alias("fold"), F.lit(n).cast("long").alias("expected_rows")) for s, f, n in sizes])
+        every = predictions.select(*who).distinct().select(*who, F.inline(parts))
+    known = expected.select("split", F.col("fold").cast("int").alias("fold"), "row_id", F.lit(1).alias("known"))
+    per = (
+        predictions.groupBy(*PART, "row_id").agg(F.count(F.lit(1)).alias("n"))
+        .join(known, ["split", "fold", "row_id"], "left")
+        .groupBy(*PART)
+        .agg(
+            F.count("known").alias("covered_rows"), F.count_if(F.col("n") > 1).alias("duplicated_rows"),
+            F.count_if(F.col("known").isNull()).alias("stray_rows"),
+        )
+    )
+    counts = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("expected_rows", "covered_rows", "duplicated_rows", "stray_rows")}
+    verdict = (
+        F.when(F.col("duplicated_rows") > 0, "duplicated").when(F.col("stray_rows") > 0, "stray")
+        .when(F.col("covered_rows") == F.col("expected_rows"), "complete").otherwise("incomplete")
+    )
+    return every.join(per, list(PART), "full").select(*PART, *counts.values()).withColumn("verdict", verdict)
+
+
 def strays(predictions: DataFrame, pool: DataFrame) -> DataFrame:
     """Rows predicted although they are outside the pool."""
     return (

@@ -77,7 +77,7 @@ def recommend(
     features = {c: stats[c] for c in spec.features if c in stats}
     warnings: list[str] = []
     if not spec.time:
-        found = time_candidates(rows_df, features, spec.row_id)
+        found = time_candidates(rows_df, features)
         if found:
             warnings.append("time_columns_not_used:" + ",".join(found))
     if not spec.group:

@@ -117,7 +117,7 @@ def _features(stats: dict[str, ColumnStats], spec: TaskSpec) -> list:
 def _protocol(df: DataFrame, spec: TaskSpec, protocol: Protocol, rows: int, stats: dict[str, ColumnStats], c: dict) -> list:
     found = []
     if not protocol.forward and not spec.time:
-        names = time_candidates(df, stats, spec.row_id)
+        names = time_candidates(df, stats)
         if names:
             found.append(_row("time_structure_ignored", "high_risk", "protocol", {"columns": ",".join(names)}, columns=names))
     if protocol.splitter not in GROUP_AWARE and not spec.group:

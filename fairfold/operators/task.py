@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fairfold import fixed
 from fairfold.functions.scalars import FLOATING, NUMERIC, TEMPORAL, dtype_of, feature_kinds, label_text, moment
-from fairfold.operators.profile import ColumnStats, column_stats, first_values
+from fairfold.operators.profile import ColumnStats, column_stats
 from fairfold.spec import RefusedError, TaskSpec
 
 
@@ -85,32 +85,22 @@ def task_types(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def time_candidates(df: DataFrame, stats: dict[str, ColumnStats], row_id: str) -> list[str]:
-    """Temporal columns with enough distinct moments, or strings whose first values parse as dates."""
-    texts = {
-        n: s for n, s in stats.items() if isinstance(s.dtype, T.StringType) and s.present >= fixed.MIN_TIMESTAMPS
-    }
-    parsed = {}
+def time_candidates(df: DataFrame, stats: dict[str, ColumnStats]) -> list[str]:
+    """Temporal columns with enough distinct moments, or text columns whose cells are dates, but for a few.
+
+    All cells have a say, in one aggregate; distinct moments are only counted as far as they must be.
+    """
+    texts = [n for n, s in stats.items() if isinstance(s.dtype, T.StringType) and s.present >= fixed.MIN_TIMESTAMPS]
+    parsed = [moment(f"`{n.replace('`', '``')}`", T.StringType()) for n in texts]
+    dates: set[str] = set()
     if texts:
-        sample = first_values(df, texts, row_id, fixed.TIME_SAMPLE_ROWS).withColumn("ts", moment("text", T.StringType()))
-        for r in sample.groupBy("column").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts").isNull()).alias("bad"),
-            F.count_distinct(F.struct("ts")).alias("moments"),
-        ).collect():
-            parsed[r["column"]] = r
-    chosen = []
-    for name, s in stats.items():
-        if s.is_temporal and s.unique >= fixed.MIN_TIMESTAMPS:
-            chosen.append(name)
-        elif name in parsed:
-            r = parsed[name]
-            if (
-                r["n"] >= fixed.MIN_TIMESTAMPS
-                and r["bad"] / r["n"] <= fixed.TIME_PARSE_FAILURES
-                and r["moments"] >= fixed.MIN_TIMESTAMPS
-            ):
-                chosen.append(name)
-    return chosen
+        row = df.agg(*[F.count(p).alias(f"c{i}") for i, p in enumerate(parsed)]).first()
+        for i, (name, p) in enumerate(zip(texts, parsed, strict=True)):
+            if row[i] >= (1 - fixed.TIME_PARSE_FAILURES) * stats[name].present:
+                some = df.select(p.alias("ts")).where("ts is not null").distinct().limit(fixed.MIN_TIMESTAMPS).count()
+                if some >= fixed.MIN_TIMESTAMPS:
+                    dates.add(name)
+    return [n for n, s in stats.items() if n in dates or s.is_temporal and s.unique >= fixed.MIN_TIMESTAMPS]
 
 
 def group_candidates(rows: int, stats: dict[str, ColumnStats]) -> list[str]:
@@ -257,7 +247,7 @@ def propose_task(
         warnings.append("very_many_classes")
     return TaskProposal(
         target, task, labels, positive, features, tuple((n, why) for n, why, _ in excluded),
-        tuple(time_candidates(df, others, row_id)), tuple(group_candidates(rows, others)),
+        tuple(time_candidates(df, others)), tuple(group_candidates(rows, others)),
         rows, goal.present, tuple(warnings),
     )
 

@@ -254,6 +254,27 @@ def predictions_oof_coverage(spark, sf):
     return pr.oof_coverage(p, _cv_pool(spark, sf), K5).drop("run_id")
 
 
+@query("predictions_part_coverage", "WITH " + d.BINARY_SQL + """,
+e AS (SELECT split, fold, row_id FROM bin_every WHERE contender_key = 'baseline'),
+k AS (SELECT contender_key, split, fold, row_id FROM bin_every WHERE NOT (contender_key = 'fair' AND split = 'holdout' AND row_id % 11 = 0) AND NOT (contender_key = 'noproba' AND split = 'train_probe' AND fold = 3)
+      UNION ALL SELECT contender_key, split, fold, row_id FROM bin_every WHERE contender_key = 'good' AND split = 'holdout' AND row_id % 13 = 0),
+s AS (SELECT contender_key, split, fold, row_id, count(*) AS n FROM k GROUP BY ALL),
+w AS (SELECT DISTINCT contender_key FROM bin_every),
+p AS (SELECT split, fold, count(*) AS expected_rows FROM e GROUP BY ALL),
+c AS (SELECT contender_key, split, fold, count(*) AS covered_rows, count(*) FILTER (n > 1) AS duplicated_rows FROM s GROUP BY ALL)
+SELECT contender_key, split, fold, expected_rows, coalesce(covered_rows, 0) AS covered_rows, coalesce(duplicated_rows, 0) AS duplicated_rows, CAST(0 AS BIGINT) AS stray_rows,
+       CASE WHEN duplicated_rows > 0 THEN 'duplicated' WHEN covered_rows = expected_rows THEN 'complete' ELSE 'incomplete' END AS verdict
+FROM w CROSS JOIN p LEFT JOIN c USING (contender_key, split, fold)""")
+def predictions_part_coverage(spark, sf):
+    """A part of one contender's holdout missing, a whole probe of another, rows of a third twice."""
+    p = d.binary_predictions(spark, sf, probes=True)
+    key, split, i = F.col("contender_key"), F.col("split"), F.col("row_id")
+    expected = p.filter(key == "baseline").select("split", "fold", "row_id")
+    kept = p.filter(~((key == "fair") & (split == "holdout") & (i % 11 == 0)) & ~((key == "noproba") & (split == "train_probe") & (F.col("fold") == 3)))
+    kept = kept.unionByName(p.filter((key == "good") & (split == "holdout") & (i % 13 == 0)))
+    return pr.part_coverage(kept, expected).drop("run_id")
+
+
 @query("predictions_strays", "WITH " + d.BINARY_SQL + " SELECT contender_key, row_id FROM bin WHERE split = 'cv' AND row_id % 17 = 0")
 def predictions_strays(spark, sf):
     return pr.strays(d.binary_predictions(spark, sf), _cv_pool(spark, sf).filter("row_id % 17 <> 0"))

@@ -241,7 +241,7 @@ def task_time_candidates(spark, sf):
         "event_type", "props", "value",
     )
     _, stats, _ = pf.column_stats(e, [c for c in e.columns if c != "row_id"])
-    names = tk.time_candidates(e, stats, "row_id")
+    names = tk.time_candidates(e, stats)
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 

@@ -170,3 +170,18 @@ def test_fingerprint_sends_sums(spark, sf):
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("Exchange SinglePartition") == 1 and "hashpartitioning" not in final and "collect_list" not in final
     assert content_fingerprint(df.limit(0), "row_id").first()["fingerprint"] != out.first()["fingerprint"]
+
+
+@pytest.mark.parametrize("splitter,excess", [("k_fold", 4), ("k_fold", 1.02), ("forward_chaining", 4)])
+def test_train_probe_ranks_a_few_rows(spark, monkeypatch, splitter, excess):
+    """The first rows by hash of every fold, also where the first cut leaves too few; only some times as many are ranked."""
+    monkeypatch.setattr(fd, "PROBE_EXCESS", excess)
+    protocol = Protocol(splitter, 5, "random" if splitter == "k_fold" else "temporal")
+    a = spark.range(20_000).select(F.col("id").alias("row_id"), F.lit("pool").alias("part"), (F.col("id") % 100 * F.col("id") % 7 % 5).cast("int").alias("chunk")).cache()
+    members = a.select("row_id", F.explode(fd.training_folds(protocol)).alias("fold")).withColumn("h", seeded_hash(protocol.seed, "probe", F.col("row_id")))
+    order = Window.partitionBy("fold").orderBy("h", "row_id")
+    for count in (30, 100_000):
+        want = {(r["fold"], r["row_id"]) for r in members.withColumn("p", F.row_number().over(order)).filter(F.col("p") <= count).collect()}
+        assert {tuple(r) for r in fd.train_probe(a, protocol, count).collect()} == want
+    hashed = a.select("row_id", fd.training_folds(protocol).alias("folds"), seeded_hash(protocol.seed, "probe", F.col("row_id")).alias("__h"))
+    assert fd._below(hashed, {f: 0.01 for f in range(6)}).groupBy("fold").count().agg(F.max("count")).first()[0] < 300

@@ -1,11 +1,14 @@
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fairfold.operators import leaderboard as lb
 from fairfold.operators import metrics as mt
 from fairfold.operators import predictions as pr
+from fairfold.operators.gram import strong_correlations
 from fairfold.spec import Constraint, Objective, Protocol, RefusedError, TaskSpec
 from tests.tables import accuracy_folds, facts
 
@@ -186,3 +189,31 @@ def test_alignment_fills_unseen_and_refuses_unknown_classes(spark):
     assert pr.unseen_classes(["c", "a"], ("a", "b", "c")) == ["b"]
     with pytest.raises(RefusedError):
         pr.align_probabilities(F.col("p"), ["z", "a"], ("a", "b", "c"))
+
+
+def test_every_part_is_counted(spark):
+    p = spark.createDataFrame([("r", "m", "holdout", -1, 1), ("r", "m", "cv", 0, 2), ("r", "m", "cv", 0, 2), ("r", "m", "cv", 1, 3), ("r", "m", "cv", 1, 9)],
+                              "run_id string, contender_key string, split string, fold int, row_id long")
+    want = spark.createDataFrame([("holdout", -1, 1), ("holdout", -1, 4), ("cv", 0, 2), ("cv", 1, 3), ("train_probe", 0, 3)], "split string, fold int, row_id long")
+    got = {(r["split"], r["fold"]): (r["expected_rows"], r["covered_rows"], r["verdict"]) for r in pr.part_coverage(p, want).collect()}
+    assert got == {("holdout", -1): (2, 1, "incomplete"), ("cv", 0): (1, 1, "duplicated"), ("cv", 1): (1, 1, "stray"), ("train_probe", 0): (1, 0, "incomplete")}
+    assert {r["verdict"] for r in pr.part_coverage(p, want.limit(0)).collect()} == {"stray", "duplicated"}
+
+
+def test_correlations_in_one_pass(spark):
+    """Against all pairs: gaps, a constant, large offsets, values that are not finite, more columns than a block."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(500, 3))
+    x = np.concatenate([base @ rng.normal(size=(3, 20)) + 0.3 * rng.normal(size=(500, 20)), 1e9 + base, np.full((500, 1), 7.1)], axis=1)
+    names = [f"k{i}" for i in range(x.shape[1])] + ["bad one"]
+    rows = [[None if rng.random() < 0.1 and j < 20 else float(v) for j, v in enumerate(r)] + [float("nan") if i == 50 else float(r[0])] for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    got = {(r["first"], r["second"]): r["correlation"] for r in strong_correlations(df, names, 0.8).collect()}
+    r = pd.DataFrame([row[:-1] for row in rows], columns=names[:-1], dtype=float).corr()  # over rows where both are known
+    want = {(a, b): r.loc[a, b] for i, a in enumerate(names[:-1]) for b in names[i + 1 : -1] if abs(r.loc[a, b]) >= 0.8 and "k23" not in (a, b)}
+    # the value that is no number is in row 50: only a column with a gap there goes with it
+    assert all(rows[50][names.index(a)] is None for a, b in got if b == "bad one")
+    got = {p: v for p, v in got.items() if p[1] != "bad one"}
+    assert len(want) > 30 and got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=2e-4) for p in want)
+    plan = strong_correlations(df, names, 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and strong_correlations(df.limit(0), names, 0.8).count() == 0

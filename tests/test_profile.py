@@ -118,3 +118,15 @@ def test_protocol_rules(spark):
     two = recommend(timed.withColumn("t", F.timestamp_seconds(i % 2)), time="t")
     assert (two.splitter, two.holdout) == ("k_fold", "temporal")
     assert "small_dataset" in recommend(balanced.limit(40)).warnings
+
+
+def test_time_candidates_read_whole_columns(spark):
+    """Dates at the head alone are none; a few bad cells are forgiven; nine moments are too few."""
+    i = F.col("id")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), i.cast("int")).cast("string")
+    df = spark.range(1000).select(
+        i.alias("row_id"), F.when(i < 300, day).otherwise("n/a").alias("head"), F.when(i % 20 == 0, "?").otherwise(day).alias("few bad"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (i % 9).cast("int")).cast("string").alias("nine"), F.when(i > 900, day).alias("late"),
+    )
+    _, stats, _ = pf.column_stats(df, df.columns[1:])
+    assert tk.time_candidates(df, stats) == ["few bad", "late"]
