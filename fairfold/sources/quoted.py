@@ -168,7 +168,8 @@ def records(spark: SparkSession, files: list[str], delimiter: str, size: int, st
     order = Window.partitionBy("file").orderBy("start", "place")
     parts = parts.withColumn("number", F.sum(F.col("opens").cast("int")).over(order))
     joined = parts.groupBy("file", "number").agg(F.min(F.struct("start", "place")).alias("at"), F.array_sort(F.collect_list(F.struct("start", "place", "record"))).alias("parts"))
-    crossing = joined.select("file", "at.start", "at.place", F.array_join("parts.record", "\n").alias("record"))
+    # at most one record a block, joined once and kept, so that reading the records is one scan
+    crossing = joined.select("file", "at.start", "at.place", F.array_join("parts.record", "\n").alias("record")).checkpoint()
     return pieces.where("opens and closes").select("file", "start", "place", "record").unionByName(crossing)
 
 
