@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -161,15 +162,31 @@ def test_hexadecimal_ties(spark):
     assert value_rank(want, "size", "h", n_rows=1000, hex_tie=True, rows_per_bucket=50).filter("rank <> want").count() == 0
 
 
-def test_fingerprint_sends_sums(spark, sf):
-    """Tasks exchange one row of sums each, never digests."""
-    df = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row_id", F.monotonically_increasing_id())
-    out = content_fingerprint(df, "row_id")
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("== Initial Plan ==")[0]
-    assert final.count("Exchange SinglePartition") == 1 and "hashpartitioning" not in final and "collect_list" not in final
-    assert content_fingerprint(df.limit(0), "row_id").first()["fingerprint"] != out.first()["fingerprint"]
+def test_fingerprint_is_the_tree_of_whole_digests(spark):
+    """Rows, runs of 65 536 row ids in id order, three levels and a root, as hashlib has it."""
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def root(header, rows):
+        level = dict(rows)
+        for _ in range(3):
+            runs = {}
+            for k in sorted(level):
+                runs.setdefault(k // 65_536, []).append(f"{k}={level[k]}")
+            level = {k: digest("\n".join(v)) for k, v in runs.items()}
+        return digest(header + "\n" + "\n".join(level[k] for k in sorted(level)))
+
+    ids = [0, 1, 65_535, 65_536, 200_000]
+    df = spark.createDataFrame([(k, f"t{k}", None if k == 1 else k) for k in ids], "row_id long, t string, n long")
+    cells = {k: digest(f"{len(f't{k}')}:t{k}" + ("-;" if k == 1 else f"{len(str(k))}:{k}")) for k in ids}
+    out = content_fingerprint(df, "row_id").first()
+    assert tuple(out) == ("row-tree-sha256-v1", root('[["t", "string"], ["n", "integer"]]', cells.items()))
+    assert content_fingerprint(df.limit(0), "row_id").first()["fingerprint"] == digest('[["t", "string"], ["n", "integer"]]\n')
+    sides = spark.createDataFrame([(k, "pool", k % 2) for k in ids] + [(7, "holdout", None)], "row_id long, part string, chunk int")
+    texts = {**{k: f"{k}|pool|{k % 2}" for k in ids}, 7: "7|holdout|-"}
+    want = root('["k_fold", 5, false]', [(k, digest(v)) for k, v in texts.items()])
+    assert split_fingerprint(sides, Protocol("k_fold", 5)).first()["fingerprint"] == want
 
 
 @pytest.mark.parametrize("splitter,excess", [("k_fold", 4), ("k_fold", 1.02), ("forward_chaining", 4)])
