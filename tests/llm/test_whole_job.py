@@ -73,6 +73,33 @@ def test_near_lines_by_edit_similarity_alone(spark):
     assert len(got.intersection(word)) >= 0.95 * len(word) and len(got.intersection(anywhere)) >= 0.4 * len(anywhere)
 
 
+def test_no_long_pair_is_left_out(spark):
+    """Edits spread over whole lines, as many as are allowed, and chains of lines that meet under few keys."""
+    rng = np.random.default_rng(12)
+    lines = []
+    for n in range(150):
+        line = bytes(rng.integers(97, 101, rng.integers(64, 400)).tolist())
+        place = np.linspace(0, len(line) - 1, int(len(line) * 0.1)).astype(int)
+        other = bytearray(line)
+        for at in place:
+            other[at] = 122
+        lines += [line, bytes(other), edited(rng, line, len(line) // 12)]
+    chain = bytearray(rng.integers(97, 123, 200).tolist())
+    for at in range(0, 200, 5):  # each within reach of the next ones only
+        chain[at : at + 5] = b"xyxyx"
+        lines.append(bytes(chain))
+    table = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(lines)], "doc_id long, text string")
+    group = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if line_dedup.similar(lines[a], lines[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    first = {}
+    want = {i for i, g in enumerate(group) if first.setdefault(g, i) != i}
+    assert len(want) > 300
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(table).collect() if r["n_removed"]} == want
+
+
 def test_digits_count(spark):
     table = spark.createDataFrame([(1, "Revenue 2019: 120\n12 34"), (2, "Revenue 2021: 987\n98 76"), (3, "REVENUE 2019 - 120")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(table).collect()} == {1: 0, 2: 0, 3: 1}
