@@ -14,6 +14,7 @@ from fairfold.plans import derived as d
 from fairfold.plans.compete import scratch
 from fairfold.plans.registry import query, table
 from fairfold.plans.setup import lineitem_rows
+from fairfold.session import balanced
 from fairfold.sources import package as pk
 from fairfold.sources import readers as rd
 from fairfold.sources import snapshots as sn
@@ -310,7 +311,7 @@ def snapshot_store(spark, sf):
     root, rows = scratch(spark), lineitem_rows(spark, sf)
     cards = [
         ("first", sn.store(rows, root, "lineitem", row_id="row_id")),
-        ("again", sn.store(rows.repartition(5), root, "copy", row_id="row_id")),
+        ("again", sn.store(balanced(rows, "row_id"), root, "copy", row_id="row_id")),
         ("changed", sn.store(rows.withColumn("l_tax", F.col("l_tax") + 1), root, "other", row_id="row_id")),
     ]
     return spark.createDataFrame([(k, c["stored"], c["row_count"]) for k, c in cards], "step string, stored boolean, row_count long")

@@ -1,5 +1,7 @@
 """What the physical plans must not contain, and results that must not depend on partitioning."""
 
+import importlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from fairfold.operators import folds as fd
 from fairfold.operators import leakage as lk
 from fairfold.operators import metrics as mt
 from fairfold.plans import derived
+from fairfold.session import balanced
 from fairfold.spec import Protocol, TaskSpec
 from tests.tables import honest
 
@@ -60,3 +63,26 @@ def test_growth_is_linear_in_rows(spark):
     a = fd.assign(one, SPEC, STRATIFIED, keep=("spend", "plan", "churned"))
     got = lk.duplicate_crossing(a, SPEC, STRATIFIED).first()
     assert got["crossing_validation_rows"] == 160 and got["share"] == 1.0
+
+
+def test_dealt_rows_a_task_do_not_grow(spark):
+    """More rows of one partition make more partitions, none of them larger."""
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        largest = []
+        for n in (100_000, 400_000):
+            rows = balanced(spark.range(0, n, 1, 1).withColumnRenamed("id", "row_id"), "row_id")
+            sizes = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+            assert sum(r["count"] for r in sizes) == n
+            largest.append(max(r["count"] for r in sizes))
+        assert largest[1] < 100_000 and largest[1] < 2 * largest[0]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+@pytest.mark.parametrize("name", ["predictions_sink", "snapshot_store"])
+def test_writers_deal_their_rows(spark, sf, monkeypatch, name):
+    module = importlib.import_module("fairfold.plans.compete" if name == "predictions_sink" else "fairfold.plans.intake")
+    dealt, real = [], module.balanced
+    monkeypatch.setattr(module, "balanced", lambda df, by: dealt.append(by) or real(df, by))
+    assert getattr(module, name)(spark, sf).count() and dealt == ["row_id"]
