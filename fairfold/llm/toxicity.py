@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,9 +80,6 @@ class Index:
         self.long_weight[np.repeat(np.arange(len(many)), size[many]), example // BLOCK, example % BLOCK] = self.weight[place]
         self.block_max = self.long_weight.max(axis=2)
 
-    def fields(self) -> tuple:
-        return self.terms, self.factor, smallest(self.size), smallest(self.held), self.counts, self.labels, self.ids, self.prior
-
     def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the index that a text holds, and their weights in a vector of length 1."""
         if not len(self.terms):
@@ -213,26 +211,26 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
     if not with_text.groupBy("id").count().where("count > 1").isEmpty():  # else their texts need not be shuffled
         with_text = with_text.groupBy("id", "label").agg(F.min("text").alias("text"))
     with_text = with_text.select("id", "label", "text")
-    held = with_text.mapInArrow(_counted, "id long, label int, terms array<long>, counts array<int>").toArrow().combine_chunks()  # bounded by max_examples
-    rows = [held[c].combine_chunks() if held.num_rows else None for c in ("id", "label", "terms", "counts")]
-    vectors = []
-    if held.num_rows:
-        cuts = rows[2].offsets.to_numpy()
-        terms, counts = rows[2].flatten().to_numpy().view(np.uint64), rows[3].flatten().to_numpy()
-        cuts = cuts - cuts[0]
-        vectors = [(rows[0][i].as_py(), rows[1][i].as_py(), terms[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]]) for i in range(held.num_rows)]
-    vocabulary = np.unique(np.concatenate([v[2] for v in vectors])) if vectors else np.empty(0, np.uint64)
+    held = with_text.mapInArrow(_counted, "id long, label int, terms array<long>, counts array<int>").toArrow()  # bounded by max_examples
+    ids, marks, size = (x.to_numpy() for x in (held["id"], held["label"], pa.compute.list_value_length(held["terms"])))
+    # task by task, so that no copy of all terms is made
+    lists = [c.flatten().to_numpy().view(np.uint64) for c in held["terms"].chunks]
+    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(x) for x in lists)]))
+    at = np.concatenate([np.empty(0, np.int32), *(np.searchsorted(vocabulary, x).astype(np.int32) for x in lists)])
+    counts = np.concatenate([np.empty(0, np.uint8), *(smallest(c.flatten().to_numpy()) for c in held["counts"].chunks)])
+    del held, lists
     df, n_docs = np.zeros(len(vocabulary), np.int64), 0
     if len(vocabulary):
         known = spark.sparkContext.broadcast(vocabulary)
         found = read.select("text").mapInArrow(_frequencies(known), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         known.destroy()
-        at, n = found["term"].to_numpy(), found["n"].to_numpy()
-        n_docs = int(n[at < 0].sum())
-        df[at[at >= 0]] = n[at >= 0]
-    built = build_index(vectors, vocabulary, df, n_docs)
-    parts = spark.sparkContext.broadcast(built.fields())
-    curve = fit_curve(spark, parts, built.labels, k)
+        term, n = found["term"].to_numpy(), found["n"].to_numpy()
+        n_docs = int(n[term < 0].sum())
+        df[term[term >= 0]] = n[term >= 0]
+    fields = index_fields(ids, marks, size, at, counts, vocabulary, df, n_docs)
+    del at, counts
+    parts = spark.sparkContext.broadcast(fields)
+    curve = fit_curve(spark, parts, fields[5], k)
 
     def score(batches: Iterable[pa.RecordBatch]):
         seen: dict[int, tuple[float, list[int]]] = {}
@@ -302,25 +300,40 @@ def contrast(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return EVEN + (1 - EVEN) * gain / (gain + HALF_GAIN)
 
 
-def build_index(vectors: list[tuple], terms: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
-    """The index over the examples ``(id, label, hashes, counts)``."""
-    at = np.searchsorted(terms, np.concatenate([v[2] for v in vectors])) if vectors else np.empty(0, np.int64)
-    size = np.array([len(v[2]) for v in vectors], np.int64)
-    label = np.array([v[1] for v in vectors], np.int64)
-    of_toxic = np.repeat(label, size) > 0
-    toxic, clean = (np.bincount(at[x], minlength=len(terms)) for x in (of_toxic, ~of_toxic))
-    factor = (np.log((1 + n_docs) / (1 + df)) + 1.0) * contrast(toxic, clean, int(label.sum()), int((1 - label).sum()))
+def index_fields(ids: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.ndarray, counts: np.ndarray, terms: np.ndarray, df: np.ndarray, n_docs: int) -> tuple:
+    """What tasks are sent of the index: of each example its id, label and ``size`` numbers (``at``) and counts of terms, one behind the other.
+
+    The driver makes nothing but this: lists are filled example by example, weights follow in the tasks.
+    """
+    cuts = np.concatenate(([0], np.cumsum(size, dtype=np.int64))).tolist()
+    toxic, clean = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    for e, y in enumerate(label.tolist()):
+        (toxic if y > 0 else clean)[at[cuts[e] : cuts[e + 1]]] += 1  # an example's terms are distinct
+    n_toxic = int(label.sum())
+    factor = (np.log((1 + n_docs) / (1 + df)) + 1.0) * contrast(toxic, clean, n_toxic, len(label) - n_toxic)
     # examples with the same weightiest term stand together, so that few blocks matter to a query
-    cuts = np.concatenate(([0], np.cumsum(size)))
-    counts = np.concatenate([v[3] for v in vectors]) if vectors else np.empty(0, np.int64)
-    weights = (1.0 + np.log(counts)) * factor[at]
-    heaviest = [int(at[lo:hi][np.argmax(weights[lo:hi])]) if hi > lo else -1 for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-    order = sorted(range(len(vectors)), key=lambda e: (heaviest[e], vectors[e][0], e))
-    place = _ranges(cuts[:-1][order], size[order])
-    at, counts, size, label = at[place], counts[place], size[order], label[order]
-    by_term = np.argsort(at, kind="stable")
+    heaviest = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own = at[lo:hi]
+        heaviest.append(int(own[np.argmax((1.0 + np.log(counts[lo:hi].astype(float))) * factor[own])]) if hi > lo else -1)
+    order = sorted(range(len(ids)), key=lambda e: (heaviest[e], ids[e], e))
+    listed = toxic + clean
+    place = np.cumsum(listed) - listed  # where the next example of a term goes
+    held, again = np.zeros(len(at), np.min_scalar_type(max(0, len(ids) - 1))), np.zeros_like(counts)
+    for number, e in enumerate(order):
+        own = at[cuts[e] : cuts[e + 1]]
+        held[place[own]] = number
+        again[place[own]] = counts[cuts[e] : cuts[e + 1]]
+        place[own] += 1
+    size, label = size[order], label[order].astype(float)
     base = float(label.mean()) if len(label) else 0.0
-    return Index(
-        terms, factor.astype(np.float32), np.bincount(at, minlength=len(terms)), np.repeat(np.arange(len(vectors)), size)[by_term], smallest(counts[by_term]),
-        label.astype(float), np.array([vectors[e][0] for e in order], np.int64), float((label[size == 0].sum() + base) / ((size == 0).sum() + 1)),
-    )
+    prior = float((label[size == 0].sum() + base) / ((size == 0).sum() + 1))
+    return terms, factor.astype(np.float32), smallest(listed), held, again, label, ids[order].astype(np.int64), prior
+
+
+def build_index(vectors: list[tuple], terms: np.ndarray, df: np.ndarray, n_docs: int) -> Index:
+    """The index over the examples ``(id, label, hashes, counts)``."""
+    ids, label, size = (np.array([f(v) for v in vectors], np.int64) for f in (lambda v: v[0], lambda v: v[1], lambda v: len(v[2])))
+    at = np.searchsorted(terms, np.concatenate([v[2] for v in vectors])).astype(np.int32) if vectors else np.empty(0, np.int32)
+    counts = smallest(np.concatenate([v[3] for v in vectors])) if vectors else np.empty(0, np.uint8)
+    return Index(*index_fields(ids, label, size, at, counts, terms, df, n_docs))

@@ -1,6 +1,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -228,6 +229,27 @@ def test_block_max_search_is_exact(monkeypatch, long_share):
         assert np.allclose((dense @ dense[e])[found], got, atol=2e-6)
 
 
+def test_index_is_made_in_little_memory():
+    rng = np.random.default_rng(5)
+    terms = np.sort(rng.choice(2**62, 2000, replace=False)).astype(np.uint64)
+    size = rng.integers(0, 400, 3000)
+    at = np.concatenate([np.sort(rng.choice(2000, n, replace=False)) for n in size]).astype(np.int32)
+    counts = rng.integers(1, 9, len(at)).astype(np.uint8)
+    ids, label = rng.permutation(3000), np.arange(3000) % 3 // 2
+    tracemalloc.start()
+    fields = toxicity.index_fields(ids, label, size, at, counts, terms, rng.integers(5, 90, 2000), 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * len(at) + 1_000_000  # a list's entry has 3 bytes
+    index = toxicity.Index(*fields)
+    cuts = np.concatenate(([0], np.cumsum(size)))
+    want = {(int(ids[e]), int(t)): int(c) for e in range(3000) for t, c in zip(at[cuts[e] : cuts[e + 1]], counts[cuts[e] : cuts[e + 1]], strict=True)}
+    term = np.repeat(np.arange(2000), index.size)
+    assert {(int(i), int(t)): int(c) for i, t, c in zip(index.ids[index.held], term, index.counts, strict=True)} == want
+    assert all((np.diff(index.held[index.start[t] : index.start[t + 1]]) > 0).all() for t in range(2000))
+    assert {int(i): int(y) for i, y in zip(index.ids, index.labels, strict=True)} == dict(zip(ids.tolist(), label.tolist(), strict=True))
+
+
 def toxicity_by_force(told, marks, k=toxicity.NEIGHBOURS):
     """Scores of (doc_id, text) rows by all cosines, from the definition; ``marks`` are the examples' labels."""
     def terms(text):
