@@ -125,6 +125,28 @@ def test_exact_quantiles_by_narrowing(spark):
     assert nearest == [ordered[int(2999 * q + 0.5)] for q in (0.25, 0.75)]
 
 
+def test_quantiles_need_a_sketch_only_where_steps_do_not_cut(spark, monkeypatch):
+    from fairfold.operators import ranking
+
+    i = F.col("id")
+    df = spark.range(6000).select(
+        (i * 37 % 6000).cast("double").alias("even"), (i % 3).alias("few"), F.lit(2.5).alias("flat"), F.when(i % 2 == 0, i * 1e-3).otherwise(0.0).alias("half"),
+        F.when(i == 0, 1e300).otherwise(i * 1.0).alias("far"), F.when(i < 9, float("inf")).otherwise(-i).alias("open"), F.pow(10.0, (i % 600) - 300.0).alias("steep"),
+    )
+    sketched = []
+    sketch = ranking._narrow_by_sketch
+    monkeypatch.setattr(ranking, "_narrow_by_sketch", lambda df, brackets: sketched.append({b.column for b in brackets}) or sketch(df, brackets))
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = exact_quantiles(df, {c: shares for c in df.columns}, rule="nearest", final_rows=40)
+    for c in df.columns:
+        ordered = sorted(r[0] for r in df.select(F.col(c).cast("double")).collect())
+        assert got[c] == [ordered[int(5999 * p + 0.5)] for p in shares]
+    assert sketched and set().union(*sketched) <= {"open", "steep", "far"}
+    sketched.clear()
+    exact_quantiles(df, {c: shares for c in ("even", "few", "flat", "half")}, final_rows=40)
+    assert not sketched
+
+
 def test_samples_inside_the_training_side(spark):
     protocol = Protocol("k_fold", 3)
     a = fd.assign(honest(spark), SPEC, protocol)

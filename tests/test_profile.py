@@ -130,3 +130,13 @@ def test_time_candidates_read_whole_columns(spark):
     )
     _, stats, _ = pf.column_stats(df, df.columns[1:])
     assert tk.time_candidates(df, stats) == ["few bad", "late"]
+
+
+def test_distinct_counts_of_all_types(spark):
+    df = spark.sql(
+        "select id % 7 as a, if(id % 3 = 0, null, cast(id % 5 as double)) as b, cast(id % 2 as boolean) as c, date_add(date '2020-01-01', cast(id % 9 as int)) as d, "
+        "timestamp_micros(id % 11) as e, cast(id % 4 as string) as f, cast(id % 6 as decimal(10, 2)) as g, array(id % 8) as h, cast(null as string) as i, "
+        "case id % 4 when 0 then double('NaN') when 1 then -0D when 2 then 0D end as j, cast(id % 10 as tinyint) as k, timestamp_ntz '2020-01-01' as l from range(500)"
+    )
+    assert pf.distinct_counts(df, df.columns) == [7, 6, 2, 9, 11, 4, 6, 8, 1, 3, 10, 1]
+    assert pf.distinct_counts(df.limit(0), df.columns) == [0] * 12
