@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairfold import fixed
-from fairfold.ml.contenders import Contender, fit, with_target
+from fairfold.ml.contenders import Contender, fit, free_name, with_target
 from fairfold.operators import folds as fd
 from fairfold.operators import metrics as mt
 from fairfold.operators.predictions import of_split
+from fairfold.session import written
 from fairfold.spec import Protocol, RefusedError, TaskSpec
 
 POINT = "fraction double, train_rows long, folds_measured long, mean double, spread double"
@@ -36,7 +37,9 @@ def learning_curve(
     chosen = metric or fixed.PRIMARY_METRIC[spec.task_type]
     keep = tuple(dict.fromkeys([*spec.features, spec.target]))
     # read again for every fit, so written once to the shared checkpoint folder
-    assigned = with_target(fd.assign(df, spec, protocol, keep=keep), spec).drop(spec.target).checkpoint()
+    assigned = with_target(fd.assign(df, spec, protocol, keep=keep), spec).drop(spec.target)
+    order = free_name(assigned.columns, "subset_order")
+    assigned = assigned.withColumn(order, fd.subset_hash(protocol)).checkpoint()
     cuts = fd.subset_cuts(assigned, protocol, fractions)
     sizes = {key: n for key, (n, _) in cuts.items()}
     parts, skipped = [], []
@@ -46,7 +49,7 @@ def learning_curve(
             if n < fixed.MIN_SUBSET_ROWS:
                 skipped.append((fraction, fold, "too_few_rows"))
                 continue
-            training = assigned.filter(fd.train_of(fold, protocol) & fd.in_subset(protocol, cuts[fraction, fold][1]))
+            training = assigned.filter(fd.train_of(fold, protocol) & fd.in_subset(F.col(order), cuts[fraction, fold][1]))
             try:
                 fitted = fit(contender, training, spec, protocol.seed)
             except RefusedError as error:
@@ -60,7 +63,7 @@ def learning_curve(
     left_out = spark.createDataFrame(skipped, "fraction double, fold int, reason string")
     if not parts:
         return spark.createDataFrame([], POINT), left_out
-    predictions = reduce(lambda a, b: a.unionByName(b), parts)
+    predictions = written(reduce(lambda a, b: a.unionByName(b), parts))  # metrics read them several times
     rows = spark.createDataFrame([(f, fold, n) for (f, fold), n in sizes.items()], "fraction double, fold int, n long")
     scores = (
         mt.fold_metrics(predictions, spec).filter(F.col("metric") == chosen)
@@ -130,7 +133,7 @@ def permutation_importance(
     scored = fitted.predict(every)
     out = [F.lit("importance").alias("run_id"), F.col("feature").alias("contender_key"), "row_id",
            F.lit(fixed.SPLIT_HOLDOUT).alias("split"), F.col("repeat").alias("fold"), F.col("y").alias("y_true"), "y_pred"]
-    predictions = scored.select(*out, *(["proba"] if "proba" in scored.columns else []))
+    predictions = written(scored.select(*out, *(["proba"] if "proba" in scored.columns else [])))
     values = mt.fold_metrics(predictions, spec).filter(F.col("metric") == chosen).select(
         F.col("contender_key").alias("feature"), F.col("fold").alias("repeat"), "value"
     )
