@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fairfold import fixed
 from fairfold.ml.contenders import UNAVAILABLE, Contender, fit, with_target
+from fairfold.ml.recipe import Once
 from fairfold.operators import folds as fd
 from fairfold.operators.predictions import PART, oof_coverage, part_coverage, violations
 from fairfold.spec import Protocol, RefusedError, TaskSpec
@@ -44,22 +45,23 @@ def _part(fitted, rows: DataFrame, run_id: str, key: str, split: str, fold: int)
 
 
 def compete(
-    assigned: DataFrame, probes: DataFrame, spec: TaskSpec, protocol: Protocol, contender: Contender, run_id: str
+    assigned: DataFrame, probes: DataFrame, spec: TaskSpec, protocol: Protocol, contender: Contender, run_id: str,
+    once: dict[int, Once],
 ) -> tuple[DataFrame, object]:
     """Fit per fold, predict validation and probe rows, then fit on the whole pool for the holdout.
 
     ``assigned`` carries row_id, part, chunk, the features, ``y`` and ``label``; which rows a fit may
-    see is a predicate on ``chunk``.
+    see is a predicate on ``chunk``.  ``once`` has, by fold, what contenders share of a training side.
     """
     parts = []
     for fold in range(protocol.n_splits):
         training = assigned.filter(fd.train_of(fold, protocol))
-        fitted = fit(contender, training, spec, protocol.seed)
+        fitted = fit(contender, training, spec, protocol.seed, once[fold])
         parts.append(_part(fitted, assigned.filter(fd.validation_of(fold, protocol)), run_id, contender.key, fixed.SPLIT_CV, fold))
         # at most 2 000 ids
         ids = F.broadcast(probes.filter(F.col("fold") == fold).select("row_id"))
         parts.append(_part(fitted, training.join(ids, "row_id", "left_semi"), run_id, contender.key, fixed.SPLIT_PROBE, fold))
-    final = fit(contender, assigned.filter("part = 'pool'"), spec, protocol.seed)
+    final = fit(contender, assigned.filter("part = 'pool'"), spec, protocol.seed, once[fixed.HOLDOUT_FOLD])
     parts.append(_part(final, assigned.filter("part = 'holdout'"), run_id, contender.key, fixed.SPLIT_HOLDOUT, fixed.HOLDOUT_FOLD))
     return reduce(lambda a, b: a.unionByName(b), parts), final
 
@@ -91,13 +93,15 @@ def run(
     held = assigned.filter("part = 'holdout'").select(F.lit(fixed.SPLIT_HOLDOUT).alias("split"), F.lit(fixed.HOLDOUT_FOLD).alias("fold"), "row_id")
     asked = held.unionByName(probes.select(F.lit(fixed.SPLIT_PROBE).alias("split"), "fold", "row_id"))
 
+    once = {fold: Once() for fold in (*range(protocol.n_splits), fixed.HOLDOUT_FOLD)}
+
     def one(entry: Contender | str) -> Outcome:
         if isinstance(entry, str):
             code = "unavailable" if entry in UNAVAILABLE else "unknown_contender"
             stub = Contender(entry, "none", "passthrough_dummy", ())
             return Outcome(stub, "SKIPPED", code, "no estimator for it is installed")
         try:
-            predictions, model = compete(assigned, probes, spec_in, protocol, entry, run_id)
+            predictions, model = compete(assigned, probes, spec_in, protocol, entry, run_id, once)
             target = f"{path}/predictions/run_id={run_id}/contender_key={entry.key}"
             predictions.drop("run_id", "contender_key").write.mode("overwrite").option("compression", "zstd").parquet(target)
             written = spark.read.parquet(target).withColumns({"run_id": F.lit(run_id), "contender_key": F.lit(entry.key)})
