@@ -11,6 +11,7 @@ from fairfold.ml import tournament as tm
 from fairfold.operators import diagnostics as dg
 from fairfold.operators import errors as er
 from fairfold.operators import metrics as mt
+from fairfold.plans import compete
 from fairfold.spec import Protocol, RefusedError, TaskSpec
 from tests.tables import accuracy_folds, numbered, pick
 
@@ -244,3 +245,39 @@ def test_neighbours_are_saved(spark, tmp_path):
     loaded, _ = ar.load(spark, str(tmp_path))
     a = ar.score(fitted, rows, keep=("row_id",)).collect()
     assert sorted(a) == sorted(ar.score(loaded, rows, keep=("row_id",)).collect()) and len(a) == 300
+
+
+def test_queries_meet_bundles_of_blocks(spark, monkeypatch):
+    """Visits of the second round send groups and bundles, not a vector a visit; results are those of all pairs."""
+    monkeypatch.setattr(nb, "BLOCK_BYTES", 64 * 20)
+    monkeypatch.setattr(nb, "GROUP_BYTES", 64 * 60)
+    rng = np.random.default_rng(4)
+    x, queries = rng.normal(size=(900, 8)).round(1), rng.normal(size=(150, 8)).round(1)
+
+    def frame(rows):
+        return spark.createDataFrame([(k, float(k % 3), v.tolist()) for k, v in enumerate(rows)], "row_id long, label double, x array<double>")
+
+    index = nb.Neighbours.build(frame(x), 5)
+    asked = frame(queries).selectExpr("row_id as qid", "x")
+    most = asked.withColumn("most", F.lit(30.0))
+    visits = most.mapInArrow(index._asked(True), "qid long, block long, most double").count()
+    sent = []
+    deal = type(most).repartition
+    monkeypatch.setattr(type(most), "repartition", lambda df, *a: sent.append(df.count()) or deal(df, *a))
+    index._visit_together(most).count()
+    assert visits > 2000 and sum(sent) < visits / 5
+    distance = ((queries[:, None] - x[None]) ** 2).sum(2)
+    for q, near in ((r["qid"], r["near"]) for r in index.search(asked).collect()):
+        want = np.lexsort((np.arange(900), distance[q]))[:5]
+        assert [(n["distance"], n["row_id"]) for n in near] == [(distance[q][j], j) for j in want]
+
+
+def test_rows_of_a_fit_are_ranked_once(spark, sf):
+    a = compete._folded(spark, sf, compete.BINARY, compete.THREE)
+    assert "Window" not in a._jdf.queryExecution().toString()
+    once = rc.Once()
+    made = [rc.fit_recipe(a, ("signal", "o_orderstatus"), p, once=once) for p in ("scaled_onehot", "tree_ordinal")]
+    alone = [rc.fit_recipe(a, ("signal", "o_orderstatus"), p) for p in ("scaled_onehot", "tree_ordinal")]
+    assert [[s.getStatement() for s in r.stages if hasattr(s, "getStatement")] for r in made] == [[s.getStatement() for s in r.stages if hasattr(s, "getStatement")] for r in alone]
+    calls = []
+    assert [once("x", lambda: calls.append(1) or 7) for _ in range(3)] == [7, 7, 7] and calls == [1]
