@@ -17,6 +17,7 @@ THRESHOLD = 0.7
 MAX_EXAMPLES = 20_000  # labelled rows that are examples, half of them of each label at most; every task holds the index of all of them
 NEIGHBOURS = 15
 BLOCK = 64  # examples per block of the index
+TOGETHER = 64  # texts that are searched at a time
 OPENED = 8  # blocks opened first
 LONG_SHARE, LONG_BYTES = 1 / 16, 1 << 26  # terms that more of the examples hold have long lists, bounded by blocks first; what these lists take at most
 BEGINNINGS = (6, 8)  # bytes of a word's beginning that count as a term of their own
@@ -80,68 +81,103 @@ class Index:
         self.long_weight[np.repeat(np.arange(len(many)), size[many]), example // BLOCK, example % BLOCK] = self.weight[place]
         self.block_max = self.long_weight.max(axis=2)
 
-    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the index that a text holds, and their weights in a vector of length 1."""
+    def vectors(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Terms of the index that each text (hashes, counts) holds, and their weights in a vector of length 1."""
         if not len(self.terms):
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.searchsorted(self.terms, hashes)
+            return [(np.empty(0, np.int64), np.empty(0))] * len(texts)
+        hashes, where = np.unique(np.concatenate([t[0] for t in texts]), return_inverse=True)
+        at = np.searchsorted(self.terms, hashes)  # all texts' terms in order: neighbours in the vocabulary are looked up together
         at[at == len(self.terms)] = 0
-        known = self.terms[at] == hashes
-        at = at[known]
-        w = (1.0 + np.log(counts[known])) * self.factor[at]
-        return at, w / np.sqrt(w @ w) if len(w) else w
+        at = np.where(self.terms[at] == hashes, at, -1)[where]
+        out, begin = [], 0
+        for own, counts in texts:
+            found = at[begin : begin + len(own)]
+            begin += len(own)
+            counts, found = counts[found >= 0], found[found >= 0]
+            w = (1.0 + np.log(counts)) * self.factor[found]
+            out.append((found, w / np.sqrt(w @ w) if len(w) else w))
+        return out
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.vectors([(hashes, counts)])[0]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine, to six digits, ties by example order; exact.
+        return self.nearest_of([(at, w)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of greatest positive cosine, to six digits, ties by example order; exact.
 
         Short lists are added up first.  A block's bound is the best of these sums in it and, at most, what
         its maxima of the long lists add.  The blocks of the greatest bounds are opened first, then all
-        others that could reach the k-th best cosine found in them.
+        others that could reach the k-th best cosine found in them.  Vectors for which these are many get
+        the long lists' share of all examples by one matrix product for the lot.
         """
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        row = self.long_row[at]
-        long, short = row[row >= 0], at[row < 0]
-        share, part = w[row >= 0].astype(np.float32), w[row < 0]
-        size = self.start[short + 1] - self.start[short]
-        place = _ranges(self.start[short], size)
         blocks = self.block_max.shape[1]
-        exact = np.bincount(self.held[place], np.repeat(part, size) * self.weight[place], blocks * BLOCK).astype(float, copy=False)
-        if len(long):
-            by_block = exact.reshape(blocks, BLOCK)
-            bound = by_block.max(axis=1) + share @ self.block_max[long]
+        share = np.zeros((len(queries), len(self.long_weight)), np.float32)
+        exact = np.zeros((len(queries), blocks * BLOCK))
+        whole, left = [], []
+        for q, (at, w) in enumerate(queries):
+            row = self.long_row[at]
+            long, short, part = row[row >= 0], at[row < 0], w[row < 0]
+            size = self.start[short + 1] - self.start[short]
+            place = _ranges(self.start[short], size)
+            exact[q] = np.bincount(self.held[place], np.repeat(part, size) * self.weight[place], blocks * BLOCK)
+            if not len(long):
+                continue
+            share[q, long] = w[row >= 0]
+            by_block = exact[q].reshape(blocks, BLOCK)
+            bound = by_block.max(axis=1) + share[q, long] @ self.block_max[long]
             first = np.argpartition(-bound, OPENED)[:OPENED] if blocks > OPENED else np.arange(blocks)
-            by_block[first] += (share @ self.long_weight[long[:, None], first].reshape(len(long), -1)).reshape(len(first), BLOCK)
-            kth = np.partition(exact, -k)[-k] if len(exact) > k else 0.0
+            self._open(by_block, first, share[q, long], long)
+            # the k-th best so far stands in the opened blocks, or there are too few of them: then all others are opened
+            best = by_block[first].ravel()
+            kth = np.partition(best, -k)[-k] if len(best) > k else 0.0
             bound[first] = -1.0
             some = np.flatnonzero(bound >= kth - 1e-6)
             if 4 * len(some) < blocks:
-                by_block[some] += (share @ self.long_weight[long[:, None], some].reshape(len(long), -1)).reshape(len(some), BLOCK)
-            else:  # whole rows are read faster than many blocks of them
-                dense = np.zeros((blocks, BLOCK), np.float32)
-                for x, r in zip(share, long, strict=True):
-                    dense += x * self.long_weight[r]
-                by_block[some] += dense[some]
-        exact = np.round(exact, 6)
-        kth = np.partition(exact, -k)[-k] if len(exact) > k else 0.0
-        found = np.flatnonzero((exact > 0) & (exact >= kth))
-        found = found[np.argsort(-exact[found], kind="stable")][:k]
-        return found, exact[found]
-
-    def vote(self, hashes: np.ndarray, counts: np.ndarray, k: int, but: int = -1) -> tuple[list[float], list[int]]:
-        """What the neighbours say (example ``but`` aside), and the ids of the nearest three.
+                self._open(by_block, some, share[q, long], long)
+            else:
+                whole.append(q)
+                left.append(some)
+        if whole:
+            dense = (share[whole] @ self.long_weight.reshape(len(self.long_weight), -1)).reshape(len(whole), blocks, BLOCK)
+            for q, some, added in zip(whole, left, dense, strict=True):
+                exact[q].reshape(blocks, BLOCK)[some] += added[some]
+        return [self._best(cosines, k) for cosines in exact]
+
+    def _open(self, by_block: np.ndarray, some: np.ndarray, share: np.ndarray, long: np.ndarray):
+        """Add what the long lists give in some blocks."""
+        by_block[some] += (share @ self.long_weight[long[:, None], some].reshape(len(long), -1)).reshape(len(some), BLOCK)
+
+    def _best(self, cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        # rounding keeps the order: what is not among the k best before it only ties with them afterwards
+        kth = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+        found = np.flatnonzero((cosines >= kth - 2e-6) & (cosines > 0))
+        value = np.round(cosines[found], 6)
+        order = np.argsort(-value, kind="stable")[:k]
+        order = order[value[order] > 0]
+        return found[order], value[order]
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[list[float], list[int]]]:
+        """What each text's neighbours say (its own example in ``but`` aside), and the ids of the nearest three.
 
         Share of label 1, weighted by closeness and drawn towards the prior, the greatest cosine of either
         label, and the mean of all; nothing for a text without any term of the index.
         """
-        found, cosine = self.nearest(*self.vector(hashes, counts), k + (but >= 0))
-        found, cosine = found[found != but][:k], cosine[found != but][:k]
-        if not len(found):
-            return [], []
-        toxic = self.labels[found] > 0
-        share = (float(cosine[toxic].sum()) + PRIOR_WEIGHT * self.prior) / (float(cosine.sum()) + PRIOR_WEIGHT)
-        most = [float(cosine[x].max(initial=0.0)) for x in (toxic, ~toxic)]
-        return [min(1.0, max(0.0, share)), *most, float(cosine.mean())], self.ids[found[:3]].tolist()
+        out = []
+        for begin in range(0, len(texts), TOGETHER):
+            some = self.vectors(texts[begin : begin + TOGETHER])
+            for number, (found, cosine) in enumerate(self.nearest_of(some, k + (but is not None)), begin):
+                if but is not None:
+                    found, cosine = found[found != but[number]][:k], cosine[found != but[number]][:k]
+                if not len(found):
+                    out.append(([], []))
+                    continue
+                toxic = self.labels[found] > 0
+                share = (float(cosine[toxic].sum()) + PRIOR_WEIGHT * self.prior) / (float(cosine.sum()) + PRIOR_WEIGHT)
+                most = [float(cosine[x].max(initial=0.0)) for x in (toxic, ~toxic)]
+                out.append(([min(1.0, max(0.0, share)), *most, float(cosine.mean())], self.ids[found[:3]].tolist()))
+        return out
 
     def score(self, told: list[float], curve: np.ndarray | None) -> float:
         """Probability of label 1 from the vote and the similarities it rests on."""
@@ -178,12 +214,13 @@ def _frequencies(terms):
         known = terms.value
         held, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
-            for (text,) in rows_of([batch]):
-                own, _ = term_counts(text)
+            for begin in range(0, batch.num_rows, TOGETHER):
+                texts = [term_counts(text)[0] for (text,) in rows_of([batch.slice(begin, TOGETHER)])]
+                own, texts_with = np.unique(np.concatenate(texts), return_counts=True)
                 at = np.searchsorted(known, own)
                 at[at == len(known)] = 0
-                held[at[known[at] == own]] += 1
-                n += 1
+                held[at[known[at] == own]] += texts_with[known[at] == own]
+                n += len(texts)
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(held[some], n))], ["term", "n"])
 
@@ -236,16 +273,17 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES,
         seen: dict[int, tuple[float, list[int]]] = {}
         index = Index(*parts.value)
         for batch in batches:
-            ids, keys, got = [], [], []
-            for doc_id, text, row in rows_of([batch]):
-                if row not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    told, evidence = index.vote(*term_counts(text), k)
+            ids, keys = batch["doc_id"].to_pylist(), batch["row"].to_pylist()
+            if len(seen) > 50_000:
+                seen.clear()
+            new = {row: i for i, row in enumerate(keys) if row not in seen}
+            rows = list(new)
+            at = pa.array(list(new.values()), pa.int64())
+            for begin in range(0, len(rows), TOGETHER):
+                texts = [term_counts(text) for (text,) in rows_of([batch.select(["text"]).take(at[begin : begin + TOGETHER])])]
+                for row, (told, evidence) in zip(rows[begin : begin + TOGETHER], index.votes(texts, k), strict=True):
                     seen[row] = index.score(told, curve), evidence
-                ids.append(doc_id)
-                keys.append(row)
-                got.append(seen[row])
+            got = [seen[row] for row in keys]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array(keys, pa.int64())],
                 ["doc_id", "score", "neighbours", "row"],
@@ -269,7 +307,7 @@ def fit_curve(spark, parts, labels: np.ndarray, k: int) -> np.ndarray | None:
         for batch in batches:
             at = batch["id"].to_pylist()
             own = [slice(cuts[e], cuts[e + 1]) for e in at]
-            told = [index.vote(terms[x], index.counts[by_example[x]], k, but=e)[0] for e, x in zip(at, own, strict=True)]
+            told = [vote for vote, _ in index.votes([(terms[x], index.counts[by_example[x]]) for x in own], k, at)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(told, pa.list_(pa.float64()))], ["id", "told"])
 
     tasks = max(1, min(spark.sparkContext.defaultParallelism, len(labels) // 50))

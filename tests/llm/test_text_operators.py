@@ -229,6 +229,40 @@ def test_block_max_search_is_exact(monkeypatch, long_share):
         assert np.allclose((dense @ dense[e])[found], got, atol=2e-6)
 
 
+@pytest.mark.parametrize("opened", [toxicity.OPENED, 1])
+def test_texts_that_are_searched_together_get_what_each_gets_alone(monkeypatch, opened):
+    monkeypatch.setattr(toxicity, "OPENED", opened)
+    rng = np.random.default_rng(8)
+    terms = np.sort(rng.integers(1, 2**63, 300).astype(np.uint64))
+    share = np.arange(300, 0, -1) / (300 * 301 / 2)
+    vectors = []
+    for i in range(3000):
+        own = np.sort(rng.choice(terms, rng.integers(0, 25), replace=False, p=share))
+        vectors.append((i, int(i % 3 == 0), own, np.ones(len(own), np.int64)))
+    index = toxicity.build_index(vectors, terms, rng.integers(5, 900, 300), 3500)
+    assert len(index.long_weight)
+    dense = np.zeros((3000, 300))
+    for e, i in enumerate(index.ids.tolist()):
+        at, w = index.vector(*vectors[i][2:])
+        dense[e, at] = w
+    unknown = (np.array([5], np.uint64), np.array([1]))
+    texts = [v[2:] for v in vectors[:150]] + [unknown, (np.empty(0, np.uint64), np.empty(0, np.int64))]
+    lot = index.votes(texts, 15)
+    assert len(lot) == len(texts) and lot[150:] == [([], [])] * 2
+    own = {int(i): e for e, i in enumerate(index.ids)}
+    without = index.votes(texts[:150], 15, [own[i] for i in range(150)])
+    for i in range(150):
+        assert index.votes(texts[i : i + 1], 15)[0][1] == lot[i][1]
+        if not len(texts[i][0]):
+            continue
+        cosines = dense @ dense[own[i]]
+        best = np.sort(cosines)[::-1][:15]
+        assert abs(lot[i][0][3] - best[best > 0].mean()) < 2e-6
+        cosines[own[i]] = 0
+        best = np.sort(cosines)[::-1][:15]
+        assert i not in without[i][1] and abs(without[i][0][3] - best[best > 0].mean()) < 2e-6
+
+
 def test_index_is_made_in_little_memory():
     rng = np.random.default_rng(5)
     terms = np.sort(rng.choice(2**62, 2000, replace=False)).astype(np.uint64)
