@@ -1,13 +1,15 @@
 """The operators on what they once left out: repeated runs, far edits, short lines, whole licences, common words."""
 
 import collections
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 
-from fairfold.llm import decontaminate, line_dedup, lm_score, phrase_dedup, sentencepiece_codec
+from fairfold.llm import decontaminate, line_dedup, lm_score, phrase_dedup, sentencepiece_codec, text
 
 from . import brute
 
@@ -169,3 +171,31 @@ def test_control_characters_come_back(spark):
     got = sentencepiece_codec.encode_texts(table)
     assert all(r["round_trip"] for r in got.collect()) and len({tuple(r["ids"]) for r in got.collect()}) == 5
     assert {r["doc_id"]: r["text"] for r in sentencepiece_codec.decode_ids(got).collect()} == dict(enumerate(texts))
+
+
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(1 for d in dirs for _ in Path(d.getPath()).rglob("shuffle_*"))
+
+
+def test_shuffles_go_when_a_table_is_stored(spark):
+    before = _shuffle_files(spark)
+    table = text.stored(spark.range(1000).selectExpr("id % 7 k").groupBy("k").count())
+    until = time.time() + 20
+    while _shuffle_files(spark) > before and time.time() < until:
+        time.sleep(0.2)
+    assert _shuffle_files(spark) <= before and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_lines_are_the_same_in_many_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}x{i * 7 % 31}" for i in range(60)]
+    long = [" ".join(rng.choice(words, 25)) for _ in range(30)]
+    lines = long + [x[:20] + "q" + x[24:] for x in long[::2]] + [x[:30] for x in long[::3]] + [x[:29] + "z" for x in long[::6]]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    keys = [b" ".join(line_dedup.normal_words(x.encode())) for x in lines]
+    want = {b for b in range(len(keys)) for a in range(b) if line_dedup.similar(keys[a], keys[b])}
+    monkeypatch.setattr(line_dedup, "PART_BYTES", 1)
+    monkeypatch.setattr(line_dedup, "PARTS", 2)
+    assert want and {r["doc_id"] for r in line_dedup.dedup_lines(table).where("n_removed > 0").collect()} == want
