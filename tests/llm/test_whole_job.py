@@ -5,6 +5,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -199,3 +200,75 @@ def test_lines_are_the_same_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "PART_BYTES", 1)
     monkeypatch.setattr(line_dedup, "PARTS", 2)
     assert want and {r["doc_id"] for r in line_dedup.dedup_lines(table).where("n_removed > 0").collect()} == want
+
+
+class _Even:
+    value = np.zeros(line_dedup.COUNTERS, np.uint8)
+
+
+def _keys_of(lines, **part):
+    ids, size = np.arange(len(lines)), np.array([len(x) for x in lines], np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(size), pa.array(lines, pa.binary())], ["id", "label", "size", "normal"])
+    part = {"lower": 0, "upper": 1 << 40, "slices": 1, "rest": 0, "buckets": 1} | part
+    return [x for found in line_dedup._keys(0.9, _Even, *part.values())([batch]) for x in found["rows"].to_pylist()]
+
+
+def test_keys_of_lines_are_packed():
+    rng = np.random.default_rng(5)
+    lines = [bytes(rng.integers(97, 123, 400).tolist()) for _ in range(200)]
+    assert sum(map(len, _keys_of(lines))) < 16 * sum(map(len, lines))  # rows of a key each took more than 40 bytes a byte
+
+
+def test_a_passage_that_returns_in_a_line_is_compared_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    passage = bytes(rng.integers(97, 123, 40).tolist())
+    lines = [bytes(rng.integers(97, 123, 60).tolist()) + passage * 200, passage * 200 + bytes(rng.integers(97, 123, 70).tolist())]
+    compared, test = [], line_dedup._test
+
+    def counted(*of):
+        found = test(*of)
+        return lambda near, far, line, i, j: compared.append(len(i)) or found(near, far, line, i, j)
+
+    monkeypatch.setattr(line_dedup, "_test", counted)
+    out = line_dedup._close(0.9, None, 0, 1 << 40)(pa.table({"rows": pa.array(_keys_of(lines), pa.binary())}))
+    assert out.to_pylist() == [{"a": 0, "b": 1}] and sum(compared) < 5000  # 200 * 200 of each of some twenty keys
+
+
+def test_lines_with_one_label_meet_others_only():
+    rng = np.random.default_rng(7)
+    line = bytes(rng.integers(97, 123, 300).tolist())
+    lines = [edited(rng, line, 3) for _ in range(40)]
+    ids, size = np.arange(40), np.array([len(x) for x in lines], np.int32)
+    label = np.where(ids < 38, 0, ids)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label), pa.array(size), pa.array(lines, pa.binary())], ["id", "label", "size", "normal"])
+    blobs = [x for found in line_dedup._keys(0.9, _Even, 0, 1 << 40, 1, 0, 1)([batch]) for x in found["rows"].to_pylist()]
+    out = line_dedup._close(0.9, None, 0, 1 << 40)(pa.table({"rows": pa.array(blobs, pa.binary())})).to_pylist()
+    assert {tuple(sorted(p.values())) for p in out} == {(a, b) for b in (38, 39) for a in range(b)}
+
+
+@pytest.mark.parametrize("least", [0.9, 0.8])
+def test_many_pairs_are_verified_as_each(least):
+    rng = np.random.default_rng(11)
+    one = [bytes(rng.integers(97, 101, rng.integers(1, 400)).tolist()) for _ in range(1500)]
+    other = [edited(rng, x, rng.integers(0, max(2, len(x) // 7))) for x in one]
+    want = [line_dedup.similar(a, b, least) for a, b in zip(one, other, strict=True)]
+    assert any(want) and not all(want) and line_dedup.all_similar(one, other, least).tolist() == want
+
+
+def test_similar_lines_meet_in_every_range_of_lengths():
+    """Edits spread evenly, as many as there may be: lengths from the first that can have one."""
+    rng = np.random.default_rng(13)
+    lines = []
+    for n in [*range(10, 130), 200, 351, 1000, 3000]:
+        line = bytes(rng.integers(97, 123, n).tolist())
+        other = bytearray(line)
+        for at in np.linspace(0, n - 1, n // 10 + 2).astype(int)[1:-1]:
+            other[at] = 48
+        lines += [line, bytes(other)]
+    ranges = [(0, 30, 1, 0), (30, 64, 2, 0), (30, 64, 2, 1), (64, 1 << 40, 1, 0)]
+    met = set()
+    for lower, upper, slices, rest in ranges:
+        blobs = _keys_of(lines, lower=lower, upper=upper, slices=slices, rest=rest)
+        out = line_dedup._close(0.9, None, lower, upper)(pa.table({"rows": pa.array(blobs, pa.binary())}))
+        met |= {tuple(sorted(p.values())) for p in out.to_pylist()}
+    assert {(i, i + 1) for i in range(0, len(lines), 2) if line_dedup.similar(lines[i], lines[i + 1])} <= met and len(lines) // 2 <= len(met)
